@@ -72,7 +72,7 @@ def syllables_sql(word: str) -> str:
 
 
 def phonetic_sql(word: str) -> str:
-    key = f"regexp_replace(upper({word}), '[^A-Z]', '', 'g')"
+    key = f"regexp_replace(upper(replace({word}, 'ß', 'ss')), '[^A-Z]', '', 'g')"
     for pattern, code in PHONETIC_RULES:
         key = f"regexp_replace({key}, '{pattern}', '{code}', 'g')"
     return f"upper(replace(substr({key}, 1, 6), 'q', 'ks'))"
