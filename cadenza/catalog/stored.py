@@ -212,7 +212,7 @@ assets AS (
   SELECT prefix || lpad(CAST(i AS VARCHAR), 12, '0') AS asset_id,
          'f' || CAST(i AS VARCHAR) || ['.mp3', '.wav', '.ttf', '.exe'][i % 4 + 1] AS name,
          ['', 'audio/mpeg', 'text/plain', 'video/mp4', 'font/ttf'][i % 5 + 1] AS mime,
-         octet_length(CAST(body AS BLOB)) AS size, sha256(body) AS sha, i
+         strlen(body) AS size, sha256(body) AS sha, i
   FROM src
 )"""
 

@@ -6,13 +6,18 @@ distinct non-ASCII tokens of a vocabulary, never for running text.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# the Arrow function travels with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # What counts as white space between words.
 SPACE = (
     "[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
@@ -158,6 +163,11 @@ def number_words(digits: Column) -> Column:
     return F.when(n.isNull(), bare).otherwise(spelled)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times, also inside array lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spell_numbers(col: Column) -> Column:
     """Replace every run of digits inside a token by its words."""
     pieces = F.regexp_extract_all(col, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
@@ -172,15 +182,19 @@ def normalized(raw: Column) -> Column:
 
     Expects NFKC text; ASCII always is.
     """
-    s = trimmed(F.lower(raw))
     symbols = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
-    s = F.coalesce(symbols[s], s)
-    s = spell_numbers(s)
+    contractions = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
+
+    def spoken(s: Column) -> Column:
+        return let(F.coalesce(symbols[s], s), spell_numbers)
+
+    def expanded(s: Column) -> Column:
+        return F.coalesce(contractions[F.replace(s, F.lit("'"), F.lit(""))], s)
+
+    s = let(trimmed(F.lower(raw)), spoken)
     s = F.regexp_replace(s, "[^\\p{L}\\p{N}'’-]", "")
     s = F.regexp_replace(s, "(.)\\1{2,}", "$1$1")
-    s = F.replace(s, F.lit("’"), F.lit("'"))
-    contractions = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
-    return F.coalesce(contractions[F.replace(s, F.lit("'"), F.lit(""))], s)
+    return let(F.replace(s, F.lit("’"), F.lit("'")), expanded)
 
 
 def parts_of(norm: Column) -> Column:

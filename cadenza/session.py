@@ -29,12 +29,14 @@ def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leave sizing to the cluster.
 
     Skewed joins are split at run time even when that costs one more shuffle,
-    because a single track or text may hold a large share of all rows.
+    because a single track or text may hold a large share of all rows.  The small
+    minimum partition size only matters for little data with costly expressions.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
     return spark
 
 

@@ -21,7 +21,7 @@ meta struct<title: string, artist: string, durationSec: double, fps: double,
 
 # What a stored document may contain.
 DOCUMENT_VERSION = 1
-RESOLUTIONS = ["1920x1080", "1280x720", "1080x1920", "1080x1080"]
+RESOLUTIONS = ["1280x720", "1920x1080", "2560x1440", "3840x2160"]
 ASPECT_RATIOS = ["16:9", "9:16", "1:1", "4:5", "21:9"]
 
 # What may be uploaded.

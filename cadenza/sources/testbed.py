@@ -123,3 +123,35 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_join(lines, "\n"),
         ).alias("text"),
     )
+
+
+BLOCK_LEN = 64
+
+
+def signal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight embedding vectors after one another make one signal."""
+    return table(spark, sf_dir, "embeddings").select(
+        idiv(F.col("vec_id"), 8).alias("track_id"),
+        (F.col("vec_id") % 8).alias("block_no"),
+        F.col("embedding").cast("array<double>").alias("samples"),
+    )
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.operators.signals import explode_blocks
+
+    return explode_blocks(signal_blocks(spark, sf_dir), BLOCK_LEN)
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stretch of 24 samples of every vector, halved and disturbed."""
+    cut = F.transform(
+        F.slice(F.col("embedding").cast("array<double>"), 21, 24),
+        lambda v, i: v * 0.5 + ((i * 7) % 5 - 2) * 0.01,
+    )
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("clip_id"),
+        idiv(F.col("vec_id"), 8).alias("track_id"),
+        cut.alias("clip"),
+        ((F.col("vec_id") % 8) * 640_000 + F.col("vec_id") % 3 * 400_000).alias("cursor_us"),
+    )
