@@ -6,7 +6,7 @@ per application in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.timecode import idiv
@@ -155,3 +155,71 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         cut.alias("clip"),
         ((F.col("vec_id") % 8) * 640_000 + F.col("vec_id") % 3 * 400_000).alias("cursor_us"),
     )
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token dimension of the documents and benchmark texts."""
+    from cadenza.operators.text import raw_tokens, token_dim
+
+    def build() -> DataFrame:
+        texts = table(spark, sf_dir, "documents").select("text").unionByName(
+            table(spark, sf_dir, "benchmark").select("text")
+        )
+        return token_dim(raw_tokens(texts))
+
+    return _once(spark, sf_dir, "vocabulary", build)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents; an item and a document make one pair number."""
+    from cadenza.operators.alignment import align_pairs
+
+    def build() -> DataFrame:
+        ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
+        hyp = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hyp_id"), "text")
+        return align_pairs(ref, hyp)
+
+    found = _once(spark, sf_dir, "pairs", build)
+    return found.withColumn("pair_id", F.col("ref_id") * 10_000_000_000 + F.col("hyp_id"))
+
+
+def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the benchmark items of all pairs, contractions in parts."""
+    from cadenza.operators.alignment import normalize_tokens, tokens
+
+    def build() -> DataFrame:
+        items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
+        rows = normalize_tokens(tokens(items, "ref_id", "pos"), vocabulary(spark, sf_dir), False)
+        # a sheet is one row of text, so this window is bounded by it
+        w = Window.partitionBy("ref_id").orderBy("pos", "part")
+        return rows.withColumn("i", F.row_number().over(w).cast("bigint") - 1).join(
+            pairs(spark, sf_dir).select("pair_id", "ref_id"), ["ref_id"]
+        ).select("pair_id", "ref_id", "i", "norm", "phonetic")
+
+    return _once(spark, sf_dir, "sheet_tokens", build)
+
+
+def heard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the documents of all pairs as a transcript that misses every seventh word."""
+    from cadenza.operators.alignment import normalize_tokens, tokens
+
+    def build() -> DataFrame:
+        found = pairs(spark, sf_dir).select("pair_id", F.col("hyp_id"))
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hyp_id"), "text")
+        docs = docs.join(found.select("hyp_id").distinct(), ["hyp_id"], "left_semi")
+        rows = tokens(docs, "hyp_id", "j").filter("j % 7 <> 3")
+        rows = normalize_tokens(rows, vocabulary(spark, sf_dir), True)
+        # a transcript is one document row, so this window is bounded by it
+        w = Window.partitionBy("hyp_id").orderBy("spoken")
+        rows = rows.withColumnRenamed("j", "spoken").withColumn("j", F.row_number().over(w).cast("bigint") - 1)
+        return rows.join(found, ["hyp_id"]).select(
+            "pair_id",
+            "hyp_id",
+            "j",
+            "norm",
+            "phonetic",
+            (F.col("spoken") * 400_000).alias("start_us"),
+            (F.col("spoken") * 400_000 + 300_000).alias("end_us"),
+        )
+
+    return _once(spark, sf_dir, "heard_tokens", build)
