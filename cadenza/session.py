@@ -37,6 +37,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
+    # a union that claims its children's partitioning loses rows when a reused exchange
+    # is coalesced differently (seen with Spark 4.1.2); tests/test_alignment.py shows it
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
@@ -54,13 +57,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _RUN_FOLDERS[app]
 
 
+def stage_files(df: DataFrame, label: str) -> str:
+    """Write ``df`` to a new folder of the shared folder and return its path."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of recomputing), and lets
     the two passes of an ordered scan read the same rows with column pruning.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stage_files(df, label))
