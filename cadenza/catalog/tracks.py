@@ -101,6 +101,13 @@ def retimed(spark, sf_dir):
     return T.word_retime(words, edits)
 
 
+def realigned(spark, sf_dir):
+    from cadenza.catalog.joins import line_onsets
+
+    lines = B.captions(spark, sf_dir).select("track_id", "idx", "text", "start_us", "end_us")
+    return T.line_realign(lines, heard_words(spark, sf_dir), line_onsets(spark, sf_dir))
+
+
 QUERIES = {
     "monotone_reject": lambda s, d: T.monotone_reject(jittered(s, d)),
     "gap_interpolate": lambda s, d: T.gap_interpolate(open_tokens(s, d), B.durations(s, d)),
@@ -123,6 +130,8 @@ QUERIES = {
     "line_distribute": lambda s, d: T.line_distribute(
         B.captions(s, d).select("track_id", "idx", "text", "start_us", "end_us"), heard_words(s, d)
     ),
+    "line_realign": lambda s, d: realigned(s, d)[0],
+    "line_realign_scores": lambda s, d: realigned(s, d)[2],
     "caption_order": lambda s, d: T.caption_order(
         jittered(s, d).withColumnRenamed("i", "idx")
     ),
@@ -195,7 +204,75 @@ layout AS (
   FROM layout0
 )"""
 
+_DISTRIBUTE = EVEN_WORDS + """,
+first_part AS (SELECT raw, norm FROM vocab WHERE part = 0),
+dw AS (
+  SELECT track_id, idx, pos AS k, raw, start_us AS lo, end_us AS hi,
+         greatest(100, """ + syllables_sql("coalesce(norm, lower(raw))") + """ * 120 + least(300, length(coalesce(norm, lower(raw))) * 15)) AS w
+  FROM sung LEFT JOIN first_part USING (raw)
+),
+hw AS (
+  SELECT track_id, idx, k, start_us + idx % 9 * 50000 AS hs, start_us + idx % 9 * 50000 + 300000 AS he
+  FROM even_words WHERE (idx + k) % 3 = 0
+),
+dj AS (
+  SELECT dw.*, hs, he, coalesce(hs >= lo - 200000 AND he <= hi + 200000, false) AS heard,
+         greatest(80000, w * greatest(200000, hi - lo) // sum(w) OVER (PARTITION BY dw.track_id, dw.idx)) AS nat
+  FROM dw LEFT JOIN hw USING (track_id, idx, k)
+),
+place AS (
+  SELECT track_id, idx, k, s, e, greatest(lo + 40000, e) AS cur
+  FROM (SELECT *, CASE WHEN heard THEN greatest(lo, hs) ELSE lo END AS s,
+               CASE WHEN heard THEN least(hi, greatest(greatest(lo, hs) + 80000, he)) ELSE least(hi, lo + nat) END AS e
+        FROM dj WHERE k = 0)
+  UNION ALL
+  SELECT track_id, idx, k, s, e, greatest(cur + 40000, e)
+  FROM (SELECT d.track_id, d.idx, d.k, p.cur, CASE WHEN heard THEN greatest(lo, hs) ELSE p.cur END AS s,
+               CASE WHEN heard THEN least(hi, greatest(greatest(lo, hs) + 80000, he)) ELSE least(hi, p.cur + nat) END AS e
+        FROM place p JOIN dj d ON d.track_id = p.track_id AND d.idx = p.idx AND d.k = p.k + 1)
+),
+pl AS (SELECT p.track_id, p.idx, p.k, p.s, p.e, d.raw, d.lo, d.hi, d.heard FROM place p JOIN dj d USING (track_id, idx, k)),
+smooth AS (
+  SELECT track_id, idx, k, s, s AS ns, CASE WHEN e - s < 80000 THEN least(hi, s + 80000) ELSE e END AS ne FROM pl WHERE k = 0
+  UNION ALL
+  SELECT track_id, idx, k, s, ns, CASE WHEN e - ns < 80000 THEN least(hi, ns + 80000) ELSE e END
+  FROM (SELECT p.track_id, p.idx, p.k, p.s, p.e, p.hi, CASE WHEN p.s < m.ne THEN (m.ne + p.s) // 2 ELSE p.s END AS ns
+        FROM smooth m JOIN pl p ON p.track_id = m.track_id AND p.idx = m.idx AND p.k = m.k + 1)
+),
+distributed AS (
+  SELECT track_id, idx, k, raw AS text, ns AS start_us,
+         CAST(CASE WHEN lead(s) OVER q < ne THEN (ne + lead(s) OVER q) // 2 ELSE ne END AS BIGINT) AS end_us,
+         CASE WHEN heard THEN 0.85 ELSE 0.45 END::DOUBLE AS confidence, lo, hi
+  FROM smooth JOIN (SELECT track_id, idx, k, raw, lo, hi, heard FROM pl) USING (track_id, idx, k)
+  WINDOW q AS (PARTITION BY track_id, idx ORDER BY k)
+)"""
+
+_REALIGN = _DISTRIBUTE + """,
+o AS (
+  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS tick FROM timed_words WHERE event_id % 3 <> 1
+),
+best AS (
+  SELECT w.track_id, w.idx, w.k, arg_min(tick, abs(tick - w.start_us) * 10 + CASE WHEN tick > w.start_us THEN 1 ELSE 0 END) AS b
+  FROM distributed w JOIN o ON o.track_id = w.track_id AND tick BETWEEN w.start_us - 120000 AND w.start_us + 120000 GROUP BY 1, 2, 3
+),
+t AS (SELECT w.*, b, greatest(lo, least(greatest(lo, hi - 60000), b)) AS s FROM distributed w LEFT JOIN best USING (track_id, idx, k)),
+realigned AS (
+  SELECT track_id, idx, k, text, CASE WHEN b IS NULL THEN start_us ELSE s END AS start_us,
+         CASE WHEN b IS NOT NULL AND abs(s - start_us) > 20000
+              THEN greatest(s + 60000, least(s + greatest(60000, end_us - start_us), hi)) ELSE end_us END AS end_us,
+         round(CASE WHEN b IS NULL THEN confidence WHEN abs(s - start_us) > 80000 THEN greatest(0.2, confidence - 0.15)
+                    ELSE least(1.0, confidence + 0.1) END, 6) AS confidence,
+         b IS NOT NULL AS snapped
+  FROM t
+)"""
+
 ORACLE = {
+    "line_distribute": "WITH RECURSIVE " + _DISTRIBUTE
+    + " SELECT track_id, idx, k, text, start_us, end_us, confidence FROM distributed",
+    "line_realign": "WITH RECURSIVE " + _REALIGN + " SELECT * FROM realigned",
+    "line_realign_scores": "WITH RECURSIVE " + _REALIGN + """
+SELECT track_id, idx AS line_index, round(coalesce(avg(r.confidence), 0.5), 6) AS confidence
+FROM captions c LEFT JOIN realigned r USING (track_id, idx) GROUP BY track_id, idx""",
     "monotone_reject": "WITH RECURSIVE " + JITTERED + """,
 walk AS (
   SELECT track_id, i, start_us, start_us AS bar, true AS accepted FROM jittered WHERE i = 0

@@ -41,17 +41,22 @@ def suggestion_validate(rows: DataFrame, durations: DataFrame) -> DataFrame:
         .alias("confidence"),
         "duration_us",
     )
-    sorted_by = F.coalesce("line_index", F.lit(-1)).alias("__at")
+    # one row per line: repeated or unreadable lines only count, whatever their number
+    values = F.struct("start_us", "end_us", "confidence", "duration_us")
+    lines = typed.groupBy("track_id", F.coalesce("line_index", F.lit(-1).cast("bigint")).alias("line_index")).agg(
+        F.count(F.lit(1)).alias("__copies"), F.min_by(values, "row_id").alias("__v")
+    ).select("track_id", "line_index", "__copies", "__v.*")
     linked = scan(
-        typed.withColumn("__at", sorted_by),
+        lines,
         TRACK,
-        ["__at", "row_id"],
-        by_rows("__at"),
+        ["line_index"],
+        by_rows("line_index"),
         lag={"__prev": F.struct("line_index", "start_us")},
     )
     span = F.col("end_us") - F.col("start_us")
     sound = (
         (F.col("line_index") >= 0)
+        & (F.col("__copies") == 1)
         & F.col("confidence").isNotNull()
         & (F.col("start_us") >= -EARLY_US)
         & (F.col("end_us") <= F.col("duration_us") + LATE_US)
@@ -60,8 +65,7 @@ def suggestion_validate(rows: DataFrame, durations: DataFrame) -> DataFrame:
     )
     first = F.col("__prev").isNull()
     in_order = first | (
-        (F.col("line_index") > F.col("__prev.line_index"))
-        & (F.greatest(F.lit(0), F.col("start_us")) >= F.greatest(F.lit(0), F.col("__prev.start_us")) - BACKSTEP_US)
+        F.greatest(F.lit(0), F.col("start_us")) >= F.greatest(F.lit(0), F.col("__prev.start_us")) - BACKSTEP_US
     )
     judged = stage(linked.withColumn("__ok", F.coalesce(sound & in_order, F.lit(False))), "suggestions")
     good = judged.groupBy("track_id").agg(F.bool_and("__ok").alias("ok")).filter("ok").select("track_id")

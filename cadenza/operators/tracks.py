@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import sung_words, syllables
+from cadenza.functions.text import let, sung_words, syllables
 from cadenza.functions.timecode import idiv, seconds
 from cadenza.plans.folds import chunked_fold
 from cadenza.plans.ordered import by_rows, by_time, scan
@@ -434,64 +434,70 @@ def line_distribute(lines: DataFrame, matches: DataFrame) -> DataFrame:
     lo, hi, total = F.col("start_us"), F.col("end_us"), F.col("__total")
     span = F.greatest(F.lit(seconds(0.2)), hi - lo)
     near = seconds(0.2)
-    item = "struct<k:bigint,text:string,start_us:bigint,end_us:bigint,confidence:double>"
+    item = "struct<k:bigint,text:string,raw:bigint,start_us:bigint,end_us:bigint,confidence:double>"
 
     def place(acc: Column, x: Column) -> Column:
-        heard = F.coalesce((x["hs"] >= lo - near) & (x["he"] <= hi + near), F.lit(False))
-        natural = F.greatest(F.lit(MIN_WORD_US), idiv(x["weight"] * span, total))
-        start = F.when(heard, F.greatest(lo, x["hs"])).otherwise(acc["cursor"])
-        end = F.when(
-            heard, F.least(hi, F.greatest(start + MIN_WORD_US, x["he"]))
-        ).otherwise(F.least(hi, start + natural))
-        row = F.struct(
-            x["k"].alias("k"),
-            x["text"].alias("text"),
-            start.alias("start_us"),
-            end.alias("end_us"),
-            F.when(heard, 0.85).otherwise(0.45).alias("confidence"),
-        )
-        return F.struct(
-            F.greatest(acc["cursor"] + seconds(0.04), end).alias("cursor"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
-        )
-
-    placed = F.aggregate(
-        "__items",
-        F.struct(lo.alias("cursor"), F.array().cast(f"array<{item}>").alias("out")),
-        place,
-        lambda acc: acc["out"],
-    )
+        """Place one word, then part it from the word before; ``let`` keeps terms single."""
+        near_window = (x["hs"] >= lo - near) & (x["he"] <= hi + near)
 
-    def smooth(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        inside = F.coalesce((F.size(acc) > 0) & (x["start_us"] < last["end_us"]), F.lit(False))
-        mid = idiv(last["end_us"] + x["start_us"], 2)
-        start = F.when(inside, mid).otherwise(x["start_us"])
-        end = F.when(x["end_us"] - start < MIN_WORD_US, F.least(hi, start + MIN_WORD_US)).otherwise(x["end_us"])
-
-        def row(of: Column, s: Column, e: Column) -> Column:
+        def with_start(heard: Column, start: Column) -> Column:
+            natural = F.greatest(F.lit(MIN_WORD_US), idiv(x["weight"] * span, total))
+            end = F.when(heard, F.least(hi, F.greatest(start + MIN_WORD_US, x["he"]))).otherwise(
+                F.least(hi, start + natural)
+            )
+            return let(end, lambda e: with_end(heard, start, e))
+
+        def with_end(heard: Column, start: Column, end: Column) -> Column:
+            parted = F.when(start < acc["prev_end"], idiv(acc["prev_end"] + start, 2)).otherwise(start)
+            return let(parted, lambda at: finished(heard, start, end, at))
+
+        def finished(heard: Column, start: Column, end: Column, at: Column) -> Column:
+            stretched = F.when(end - at < MIN_WORD_US, F.least(hi, at + MIN_WORD_US)).otherwise(end)
+            return let(stretched, lambda stop: grown(heard, start, end, at, stop))
+
+        def grown(heard: Column, start: Column, end: Column, at: Column, stop: Column) -> Column:
+            row = F.struct(
+                x["k"].alias("k"),
+                x["text"].alias("text"),
+                start.alias("raw"),
+                at.alias("start_us"),
+                stop.alias("end_us"),
+                F.when(heard, 0.85).otherwise(0.45).alias("confidence"),
+            )
             return F.struct(
-                of["k"].alias("k"),
-                of["text"].alias("text"),
-                s.alias("start_us"),
-                e.alias("end_us"),
-                of["confidence"].alias("confidence"),
+                F.greatest(acc["cursor"] + seconds(0.04), end).alias("cursor"),
+                stop.alias("prev_end"),
+                F.concat(acc["out"], F.array(row)).alias("out"),
             )
 
-        earlier = F.when(
-            inside,
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(row(last, last["start_us"], mid)),
+        return let(
+            F.coalesce(near_window, F.lit(False)),
+            lambda heard: let(
+                F.when(heard, F.greatest(lo, x["hs"])).otherwise(acc["cursor"]),
+                lambda start: with_start(heard, start),
             ),
-        ).otherwise(acc)
-        return F.concat(earlier, F.array(row(x, start, end)))
+        )
 
-    return (
-        packed.withColumn("__placed", placed)
-        .withColumn("__rows", F.aggregate("__placed", F.array().cast(f"array<{item}>"), smooth))
-        .select("track_id", "idx", F.explode("__rows").alias("r"))
-        .select("track_id", "idx", "r.*")
+    seed = F.struct(
+        lo.alias("cursor"),
+        F.lit(None).cast("bigint").alias("prev_end"),
+        F.array().cast(f"array<{item}>").alias("out"),
+    )
+    placed = packed.withColumn("__rows", F.aggregate("__items", seed, place, lambda acc: acc["out"]))
+
+    def cut(x: Column, i: Column) -> Column:
+        after = F.get("__rows", i + 1)["raw"]
+        end = F.when(after < x["end_us"], idiv(x["end_us"] + after, 2)).otherwise(x["end_us"])
+        return F.struct(
+            x["k"].alias("k"),
+            x["text"].alias("text"),
+            x["start_us"].alias("start_us"),
+            end.alias("end_us"),
+            x["confidence"].alias("confidence"),
+        )
+
+    return placed.select("track_id", "idx", F.explode(F.transform("__rows", cut)).alias("r")).select(
+        "track_id", "idx", "r.*"
     )
 
 
@@ -506,3 +512,37 @@ def sung_first(text: Column) -> Column:
             F.coalesce(F.try_element_at(parts_of(normalized(w)), F.lit(1)), F.lower(w)).alias("norm"),
         ),
     )
+
+
+def line_realign(
+    lines: DataFrame, matches: DataFrame, onsets: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Re-time lines: distribute their words, snap them to onsets, place syllable starts.
+
+    Returns words, syllable starts and line confidences.
+    """
+    from cadenza.operators.joins import nearest_onset
+    from cadenza.operators.scores import realign_confidence
+    from cadenza.operators.signals import syllable_starts
+
+    placed = line_distribute(lines, matches).join(
+        lines.select(
+            "track_id", "idx", F.col("start_us").alias("line_start_us"), F.col("end_us").alias("line_end_us")
+        ),
+        ["track_id", "idx"],
+    )
+    # one number per word; a caption holds far fewer than a million words
+    placed = stage(placed.withColumn("n", F.col("idx") * 1_000_000 + F.col("k")), "placed-words")
+    snapped = stage(nearest_onset(placed, onsets), "snapped-words")
+    words = snapped.join(placed.select("track_id", "n", "idx", "k", "text"), ["track_id", "n"])
+    syllabic = words.select("track_id", "n", "start_us", "end_us", syllables(F.col("text")).alias("syllables"))
+    starts = syllable_starts(syllabic, onsets)
+    scores = realign_confidence(
+        lines.select("track_id", F.col("idx").alias("line_index")),
+        words.select("track_id", F.col("idx").alias("line_index"), "confidence"),
+    )
+    return (
+        words.select("track_id", "idx", "k", "text", "start_us", "end_us", "confidence", "snapped"),
+        starts,
+        scores,
+    )
