@@ -15,7 +15,7 @@ from cadenza.sources import testbed as B
 
 def found_pairs(spark, sf_dir):
     ref = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
-    hyp = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hyp_id"), "text")
+    hyp = B.texts(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "hyp_id")
     return A.align_pairs(ref, hyp)
 
 

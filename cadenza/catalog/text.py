@@ -49,7 +49,7 @@ def spaced_captions(spark, sf_dir):
 QUERIES = {
     "sheet_lines": lambda s, d: S.sheet_lines(B.sheets(s, d)),
     "sheet_headers": lambda s, d: S.sheet_headers(B.sheets(s, d)),
-    "token_dim": lambda s, d: X.token_dim(X.raw_tokens(B.table(s, d, "documents"))),
+    "token_dim": lambda s, d: X.token_dim(X.raw_tokens(B.texts(s, d, "documents", "text"))),
     "timecode_cols": timecodes,
     "frame_grid_cols": lambda s, d: X.frame_grid_cols(
         B.timed_words(s, d).select("track_id", "n", "start_us"), "start_us", 30

@@ -1,6 +1,6 @@
 """Token normalisation as SQL, written for the oracle queries."""
 
-from cadenza.functions.text import CONTRACTIONS, ONES, PHONETIC_RULES, SPACE, SYMBOLS, TENS
+from cadenza.functions.text import CONTRACTIONS, ONES, PHONETIC_LETTERS, PHONETIC_RULES, SPACE, SYMBOLS, TENS
 
 WS = SPACE
 
@@ -75,6 +75,9 @@ def phonetic_sql(word: str) -> str:
     key = f"regexp_replace(upper(replace({word}, 'ß', 'ss')), '[^A-Z]', '', 'g')"
     for pattern, code in PHONETIC_RULES:
         key = f"regexp_replace({key}, '{pattern}', '{code}', 'g')"
+    for group, code in PHONETIC_LETTERS.items():
+        key = f"regexp_replace({key}, '[{group}]', '{code}', 'g')"
+    key = f"regexp_replace({key}, '[A-Z_]', '', 'g')"
     return f"upper(replace(substr({key}, 1, 6), 'q', 'ks'))"
 
 

@@ -55,7 +55,7 @@ def sheet_rows(spark, sf_dir):
 
 def document_lines(spark, sf_dir):
     """Lines of the documents, split inside the row."""
-    return B.table(spark, sf_dir, "documents").select(
+    return B.texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text")
     ).filter(F.trim("text") != "").withColumn("idx", F.col("idx").cast("bigint"))
 

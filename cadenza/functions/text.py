@@ -24,6 +24,10 @@ SPACE = (
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 )
 
+SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 # Words for numbers.
 ONES = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen "
@@ -105,21 +109,23 @@ PHONETIC_RULES = [
     ("(^|[AEIOU])H([AEIOU])", "\\1h\\2"),
     ("W([AEIOU])", "a\\1"),
     ("^([AEIOUY])", "a\\1"),
-    ("B", "p"),
-    ("[CGKQ]", "k"),
-    ("D", "t"),
-    ("[FV]", "f"),
-    ("J", "j"),
-    ("L", "l"),
-    ("M", "m"),
-    ("N", "n"),
-    ("P", "p"),
-    ("R", "r"),
-    ("[SZ]", "s"),
-    ("T", "t"),
-    ("X", "q"),
-    ("[A-Z_]", ""),
 ]
+# Afterwards single letters become codes; what has none (vowels, H, W, Y, "_") is erased.
+PHONETIC_LETTERS = {
+    "B": "p",
+    "CGKQ": "k",
+    "D": "t",
+    "FV": "f",
+    "J": "j",
+    "L": "l",
+    "M": "m",
+    "N": "n",
+    "P": "p",
+    "R": "r",
+    "SZ": "s",
+    "T": "t",
+    "X": "q",
+}
 PHONETIC_LENGTH = 6
 
 
@@ -129,7 +135,7 @@ def nfkc(raw: pd.Series) -> pd.Series:
 
 
 def trimmed(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def words_of(text: Column) -> Column:
@@ -213,8 +219,13 @@ def phonetic(word: Column) -> Column:
     """Consonant-class key of a word, empty when it has no Latin letters."""
     key = F.regexp_replace(F.upper(word), "[^A-Z]", "")
     for pattern, code in PHONETIC_RULES:
-        key = F.regexp_replace(key, pattern, code.replace("\\", "$"))
-    key = F.substring(key, 1, PHONETIC_LENGTH)
+        if pattern.isalpha():
+            key = F.replace(key, F.lit(pattern), F.lit(code))
+        else:
+            key = F.regexp_replace(key, pattern, code.replace("\\", "$"))
+    letters = "".join(PHONETIC_LETTERS)
+    codes = "".join(code * len(group) for group, code in PHONETIC_LETTERS.items())
+    key = F.substring(F.translate(key, letters + "AEIOUYHW_", codes), 1, PHONETIC_LENGTH)
     return F.upper(F.replace(key, F.lit("q"), F.lit("ks")))
 
 

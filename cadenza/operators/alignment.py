@@ -37,57 +37,59 @@ SEED = 3
 # --- which texts belong together -----------------------------------------------------
 
 
-def shingles(texts: DataFrame, ident: str, k: int) -> DataFrame:
-    """Distinct runs of ``k`` lower-case words of each text, as 128-bit keys."""
-    words = words_of(F.lower("text"))
+def wide_hash(*values: Column) -> Column:
+    """128 bits of hash."""
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("#"), *values).alias("b"))
+
+
+def shingles(texts: DataFrame, idents: list[str], k: int) -> DataFrame:
+    """Runs of ``k`` lower-case words of each text as hashes, repeats included."""
+    hashed = F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w))
     runs = F.transform(
-        F.sequence(F.lit(1), F.size("w") - k + 1), lambda p: F.array_join(F.slice("w", p, k), " ")
-    )
-    keyed = F.array_distinct(
-        F.transform(
-            "runs", lambda r: F.struct(F.xxhash64(r).alias("a"), F.xxhash64(F.lit("#"), r).alias("b"))
-        )
-    )
-    return (
-        texts.select(ident, words.alias("w"))
-        .filter(F.size("w") >= k)
-        .select(ident, runs.alias("runs"))
-        .select(ident, F.explode(keyed).alias("s"))
+        F.sequence(F.lit(0), F.size("w") - k),
+        lambda p: wide_hash(*[F.get("w", p + d) for d in range(k)]),
     )
+    long_enough = F.when(F.size("w") >= k, runs)
+    return texts.select(*idents, hashed.alias("w")).select(*idents, F.explode(long_enough).alias("s"))
 
 
 def align_pairs(ref: DataFrame, hyp: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
     """Pairs where at least the share ``least`` of the reference's word runs occurs in a transcript.
 
-    Exact copies among the transcripts are matched once and multiplied at the end.  A pair
-    that reaches the share must have one of the reference's rarest runs in common, so only
-    those run through the candidate join; runs found everywhere never meet.
+    ``ref[ref_id, text]``, ``hyp[hyp_id, text]``.  The transcripts are read once and reduced
+    to the runs that occur in some reference; texts themselves are never shuffled.  Exact
+    copies are then treated as one and multiplied at the end.  A pair that reaches the
+    share must have one of the reference's rarest runs in common, so only those go through
+    the candidate join; runs found everywhere never meet.
     """
-    copies = hyp.select("hyp_id", F.sha2("text", 256).alias("sha"), "text")
-    single = copies.groupBy("sha").agg(F.min_by("text", "hyp_id").alias("text"))
-    hyp_runs = stage(shingles(single, "sha", k), "hyp-shingles")
-    ref_runs = shingles(ref, "ref_id", k)
-    known = hyp_runs.join(ref_runs.select("s").distinct(), ["s"], "left_semi")
-    spread = known.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = ref_runs.join(spread, ["s"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    by_rarity = Window.partitionBy("ref_id").orderBy("df", "s")
-    ranked = stage(
-        ranked.withColumns(
-            {"rank": F.row_number().over(by_rarity), "n": F.count(F.lit(1)).over(Window.partitionBy("ref_id"))}
-        ),
-        "ref-shingles",
+    ref_runs = stage(shingles(ref, ["ref_id"], k).distinct(), "ref-shingles")
+    content = hyp.select("hyp_id", "text", wide_hash(F.col("text")).alias("h"))
+    known = stage(
+        shingles(content, ["hyp_id", "h"], k).join(ref_runs.select("s").distinct(), ["s"], "left_semi"),
+        "known-shingles",
+    )
+    copies = known.select("h", "hyp_id").distinct()
+    held = known.select("h", "s").distinct()
+    spread = held.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    # a reference is one row of text, so these windows are bounded by it
+    whole = Window.partitionBy("ref_id")
+    ranked = (
+        ref_runs.join(spread, ["s"], "left")
+        .withColumn("df", F.coalesce("df", F.lit(0)))
+        .withColumns({"rank": F.row_number().over(whole.orderBy("df", "s")), "n": F.count(F.lit(1)).over(whole)})
     )
+    ranked = stage(ranked, "ranked-shingles")
     needed = F.ceil(F.col("n") * least)
     rare = ranked.filter((F.col("rank") <= F.col("n") - needed + 1) & (F.col("df") > 0))
-    candidates = rare.select("ref_id", "s").join(hyp_runs, ["s"]).select("ref_id", "sha").distinct()
+    candidates = rare.select("ref_id", "s").join(held, ["s"]).select("ref_id", "h").distinct()
     shared = (
         candidates.join(ranked.select("ref_id", "s", "n"), ["ref_id"])
-        .join(hyp_runs, ["sha", "s"])
-        .groupBy("ref_id", "sha", "n")
+        .join(held, ["h", "s"])
+        .groupBy("ref_id", "h", "n")
         .agg(F.count(F.lit(1)).alias("c"))
         .filter(F.col("c") >= F.col("n") * least)
     )
-    return shared.join(copies.select("hyp_id", "sha"), ["sha"]).select(
+    return shared.join(copies, ["h"]).select(
         "ref_id", "hyp_id", F.round(F.col("c") / F.col("n"), 6).alias("containment")
     )
 
@@ -182,6 +184,12 @@ def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0) -> DataFram
         ["__p", "__n"],
     ).filter(differ & ((F.col("key_a") != F.col("key_b")) | (F.col("key_a") == ""))).drop("__p", "__n")
     every = equal.unionByName(sounding).unionByName(starting)
+    # the difference in length alone bounds the score; only the rest is compared letter by letter
+    la, lb = F.length("norm_a"), F.length("norm_b")
+    sound = F.when(F.col("key_a") == F.col("key_b"), SOUND_SHARE).otherwise(SOUND_SHARE * SAME_FIRST_SOUND)
+    prefix = F.when(F.substring("norm_a", 1, PREFIX) == F.substring("norm_b", 1, PREFIX), PREFIX_BONUS).otherwise(0.0)
+    bound = EDIT_SHARE * F.least(la, lb) / F.greatest(la, lb) + sound + prefix
+    every = every.filter((bound >= target - 1e-9) | ~differ)
     score = similarity(F.col("norm_a"), F.col("norm_b"), F.col("key_a"), F.col("key_b"))
     return every.select("norm_a", "norm_b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
 

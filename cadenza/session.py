@@ -71,3 +71,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     the two passes of an ordered scan read the same rows with column pruning.
     """
     return df.sparkSession.read.schema(df.schema).parquet(stage_files(df, label))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table scan that has fewer partitions than there are cores.
+
+    Meant for small files with costly expressions behind them; large tables already have
+    enough partitions and are left alone, without any shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

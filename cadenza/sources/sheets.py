@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import SPACE, trimmed
+from cadenza.functions.text import SPACE, let, trimmed
 
 INLINE_SPACE = SPACE.replace("\\n", "")
 LINE_CHAR = "[^\\n\\r\\x{2028}\\x{2029}]"
@@ -26,17 +26,20 @@ def unix_lines(text: Column) -> Column:
 
 def _labelled(block: Column) -> Column:
     """Lines of one block; a block starts with its section mark, if it has one."""
-    lines = F.split(block, "\n")
-    section = F.when(lines[0].rlike(SECTION), trimmed(F.regexp_extract(lines[0], SECTION, 1)))
-    kept = F.filter(lines, lambda x: ~x.rlike(SECTION) & ~x.rlike(HEADER))
-
-    def row(x: Column) -> Column:
-        text = trimmed(F.regexp_replace(x, STAMP, ""))
-        return F.struct(
-            text.alias("text"), section.alias("section"), (text == "").alias("instrumental")
+
+    def rows(lines: Column, section: Column) -> Column:
+        kept = F.filter(lines, lambda x: ~x.rlike(SECTION) & ~x.rlike(HEADER))
+        texts = F.transform(kept, lambda x: trimmed(F.regexp_replace(x, STAMP, "")))
+        return F.transform(
+            texts,
+            lambda t: F.struct(t.alias("text"), section.alias("section"), (t == "").alias("instrumental")),
         )
 
-    return F.transform(kept, row)
+    def with_section(lines: Column) -> Column:
+        mark = F.when(lines[0].rlike(SECTION), trimmed(F.regexp_extract(lines[0], SECTION, 1)))
+        return let(mark, lambda section: rows(lines, section))
+
+    return let(F.split(block, "\n"), with_section)
 
 
 def parsed_lines(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.timecode import idiv
 from cadenza.plans.ordered import by_time, scan
-from cadenza.session import configure, stage
+from cadenza.session import configure, spread, stage
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Chosen columns of a table of texts, over all cores even when it is one small file."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
@@ -116,7 +121,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", "\n"),
         lambda x, i: F.when((i + 1) % 4 == 0, F.concat(x, F.lit("\n"))).otherwise(x),
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text", "source", "lang").select(
         "doc_id",
         F.concat(
             F.lit("## title: "), F.col("source"), F.lit("\n["), F.col("lang"), F.lit("]\n"),
@@ -162,10 +167,10 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.operators.text import raw_tokens, token_dim
 
     def build() -> DataFrame:
-        texts = table(spark, sf_dir, "documents").select("text").unionByName(
+        both = texts(spark, sf_dir, "documents", "text").unionByName(
             table(spark, sf_dir, "benchmark").select("text")
         )
-        return token_dim(raw_tokens(texts))
+        return token_dim(raw_tokens(both))
 
     return _once(spark, sf_dir, "vocabulary", build)
 
@@ -176,7 +181,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
-        hyp = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hyp_id"), "text")
+        hyp = texts(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "hyp_id")
         return align_pairs(ref, hyp)
 
     found = _once(spark, sf_dir, "pairs", build)
