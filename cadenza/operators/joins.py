@@ -187,17 +187,24 @@ def anchor_remap(anchors: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def anchor_warp(
-    captions: DataFrame, words: DataFrame, anchors: DataFrame, min_confidence: float = ANCHOR_FLOOR
+    captions: DataFrame,
+    words: DataFrame,
+    anchors: DataFrame,
+    min_confidence: float = ANCHOR_FLOOR,
+    ordinal: str = "idx",
 ) -> tuple[DataFrame, DataFrame]:
     """Correct times piecewise linearly between anchors, flat outside them.
 
     ``anchors[track_id, line_index, offset_us, confidence, anchor_id]`` say where the sung
     line ``line_index`` really starts.  Of several anchors on one line the first counts.
+    ``ordinal`` names the caption column that counts sung lines (null on music rows).
     """
     hits = anchors.filter(F.col("confidence") >= min_confidence).groupBy("track_id", "line_index").agg(
         F.min_by("offset_us", "anchor_id").alias("offset_us")
     )
-    lines = captions.select("track_id", F.col("idx").alias("line_index"), F.col("start_us").alias("at"))
+    lines = captions.filter(F.col(ordinal).isNotNull()).select(
+        "track_id", F.col(ordinal).alias("line_index"), F.col("start_us").alias("at")
+    )
     hits = (
         hits.join(lines, ["track_id", "line_index"])
         .groupBy("track_id", "at")

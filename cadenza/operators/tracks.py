@@ -201,12 +201,16 @@ def overlap_trim(captions: DataFrame, width_us: int = CHUNK_US) -> DataFrame:
 
 
 def gap_markers(
-    captions: DataFrame, min_gap_us: int = SILENCE_US, intro: bool = False, width_us: int = CHUNK_US
+    captions: DataFrame,
+    min_gap_us: int = SILENCE_US,
+    intro: bool = False,
+    width_us: int = CHUNK_US,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Insert a music row wherever nothing is sung for longer than ``min_gap_us``.
 
     Captions must not overlap (see ``overlap_trim``).  ``intro`` also marks a late start.
-    Rows come back renumbered by time.
+    Rows come back renumbered by time, with the columns named in ``carry`` (null in marks).
     """
     linked = scan(
         captions,
@@ -227,7 +231,13 @@ def gap_markers(
         sum_upto={"__upto": F.when(F.col("__gap"), 2).otherwise(1).cast("bigint")},
     )
     row = F.struct(
-        (F.col("__upto") - 1).alias("idx"), "start_us", "end_us", "text", "instrumental", "confidence"
+        (F.col("__upto") - 1).alias("idx"),
+        "start_us",
+        "end_us",
+        "text",
+        "instrumental",
+        "confidence",
+        *carry,
     )
     mark = F.struct(
         (F.col("__upto") - 2).alias("idx"),
@@ -236,6 +246,7 @@ def gap_markers(
         F.lit(MARK).alias("text"),
         F.lit(True).alias("instrumental"),
         F.lit(1.0).alias("confidence"),
+        *[F.lit(None).cast(captions.schema[c].dataType).alias(c) for c in carry],
     )
     rows = F.when(F.col("__gap"), F.array(mark, row)).otherwise(F.array(row))
     return numbered.select("track_id", F.explode(rows).alias("r")).select("track_id", "r.*")
