@@ -106,12 +106,10 @@ def phrases(words: DataFrame, silence_s: float, delay: str) -> DataFrame:
     )
 
 
-def _peaks(track: int, chunk: int, frames: dict[int, float], upto: int) -> list[tuple]:
-    """Candidates among the frames whose neighbourhood is complete."""
+def _peaks(track: int, chunk: int, frames: dict[int, float], done: int, upto: int) -> list[tuple]:
+    """Candidates among the frames after ``done`` whose neighbourhood is complete."""
     found = []
-    for f in sorted(frames):
-        if f // CHUNK != chunk or f > upto or f < 2:
-            continue
+    for f in range(max(done + 1, chunk * CHUNK, 2), min(upto, chunk * CHUNK + CHUNK - 1) + 1):
         v = frames[f]
         near = [frames[g] for g in range(max(0, f - PEAK_RADIUS), f + PEAK_RADIUS + 1) if g in frames]
         peak = v > frames[f - 1] and v > frames[f - 2] and v >= frames[f + 1] and v >= frames[f + 2]
@@ -134,11 +132,12 @@ def _collect_peaks(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterat
     while reach in frames:
         upto = reach - PEAK_RADIUS
         reach += 1
-    found = [p for p in _peaks(track, chunk, frames, upto) if p[1] > done]
+    found = _peaks(track, chunk, frames, done, upto)
     done = max(done, upto)
     kept = [(f, v) for f, v in frames.items() if f >= done - 2 * PEAK_RADIUS]
     state.update((done, kept))
-    yield pd.DataFrame(found, columns=["track_id", "frame", "flux"])
+    if found:
+        yield pd.DataFrame(found, columns=["track_id", "frame", "flux"])
 
 
 def onset_peaks(flux: DataFrame) -> DataFrame:
