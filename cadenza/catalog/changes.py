@@ -11,7 +11,9 @@ from cadenza.operators import repair as R
 from cadenza.operators import tracks as T
 from cadenza.sources import testbed as B
 
-EV = F.col("event_id")
+def ev():
+    return F.col("event_id")
+
 
 
 def trimmed(spark, sf_dir):
@@ -20,10 +22,10 @@ def trimmed(spark, sf_dir):
 
 def edits(spark, sf_dir, kinds, every=11):
     """A request for every ``every``-th event, some of them far out of reach."""
-    kind = F.element_at(F.array(*map(F.lit, kinds)), (EV % len(kinds) + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (ev() % len(kinds) + 1).cast("int"))
     at_end = kind.isin("out", "roll")
-    value = F.when(at_end, F.col("end_us")).otherwise(F.col("start_us")) + ((EV * 37) % 41 - 20) * 150_000
-    return trimmed(spark, sf_dir).filter(EV % every == 0).select(
+    value = F.when(at_end, F.col("end_us")).otherwise(F.col("start_us")) + ((ev() * 37) % 41 - 20) * 150_000
+    return trimmed(spark, sf_dir).filter(ev() % every == 0).select(
         "track_id", "idx", kind.alias("kind"), value.alias("value_us")
     )
 
@@ -42,34 +44,34 @@ def relinks(spark, sf_dir):
 
 
 def chosen(spark, sf_dir, every):
-    return B.captions(spark, sf_dir).filter(EV % every == 0).select("track_id", "idx")
+    return B.captions(spark, sf_dir).filter(ev() % every == 0).select("track_id", "idx")
 
 
 def split(spark, sf_dir):
     caps = B.captions(spark, sf_dir).select("track_id", "idx", "start_us", "end_us", "text")
-    cuts = B.captions(spark, sf_dir).filter(EV % 2 == 0).select(
-        "track_id", "idx", (idiv(F.col("start_us") + F.col("end_us"), 2) + EV % 3 * 400_000).alias("at_us")
+    cuts = B.captions(spark, sf_dir).filter(ev() % 2 == 0).select(
+        "track_id", "idx", (idiv(F.col("start_us") + F.col("end_us"), 2) + ev() % 3 * 400_000).alias("at_us")
     )
     return E.caption_split(caps, T.caption_words_even(B.captions(spark, sf_dir)), cuts)
 
 
 def merged(spark, sf_dir):
-    merges = B.captions(spark, sf_dir).filter(EV % 2 == 0).select(
+    merges = B.captions(spark, sf_dir).filter(ev() % 2 == 0).select(
         "track_id", "idx", idiv(F.col("idx"), 4).alias("merge_id")
     )
     return E.caption_merge(B.captions(spark, sf_dir), merges)
 
 
 def nudged(spark, sf_dir):
-    nudges = trimmed(spark, sf_dir).filter(EV % 13 == 0).select(
-        "track_id", "idx", (EV % 9 - 4).alias("frames")
+    nudges = trimmed(spark, sf_dir).filter(ev() % 13 == 0).select(
+        "track_id", "idx", (ev() % 9 - 4).alias("frames")
     )
     return E.nudge_frames(trimmed(spark, sf_dir), nudges, long_tracks(spark, sf_dir), 30)
 
 
 def new_sheet(spark, sf_dir):
     """New text for every track; odd tracks lose some lines."""
-    return B.captions(spark, sf_dir).filter((F.col("track_id") % 2 == 0) | (EV % 17 != 0)).select(
+    return B.captions(spark, sf_dir).filter((F.col("track_id") % 2 == 0) | (ev() % 17 != 0)).select(
         "track_id", "idx", F.concat(F.lit("new "), F.col("text")).alias("text"), "instrumental"
     )
 
@@ -78,23 +80,23 @@ def suggestions(spark, sf_dir):
     """Suggested windows as text; every 37th track holds something that is no number."""
     bad = (F.col("track_id") % 37 == 5) & (F.col("idx") == 3)
     start = F.col("start_us") + 50_000
-    return B.captions(spark, sf_dir).filter(EV % 4 != 0).select(
+    return B.captions(spark, sf_dir).filter(ev() % 4 != 0).select(
         "track_id",
-        EV.alias("row_id"),
+        ev().alias("row_id"),
         F.col("idx").cast("string").alias("line_index"),
         F.when(bad, "soon").otherwise(start.cast("string")).alias("start_us"),
-        (start + 900_000 + F.col("track_id") % 5 * 3_000_000 + EV % 7 * 350_000).cast("string").alias("end_us"),
-        F.when(EV % 5 != 0, (EV % 130 / F.lit(100.0)).cast("string")).alias("confidence"),
+        (start + 900_000 + F.col("track_id") % 5 * 3_000_000 + ev() % 7 * 350_000).cast("string").alias("end_us"),
+        F.when(ev() % 5 != 0, (ev() % 130 / F.lit(100.0)).cast("string")).alias("confidence"),
     )
 
 
 def sure_windows(spark, sf_dir):
-    return B.captions(spark, sf_dir).filter(EV % 4 != 0).select(
+    return B.captions(spark, sf_dir).filter(ev() % 4 != 0).select(
         "track_id",
         F.col("idx").alias("line_index"),
         (F.col("start_us") + 50_000).alias("start_us"),
-        (F.col("start_us") + 50_000 + EV % 40 * 100_000).alias("end_us"),
-        ((EV * 7) % 100 / F.lit(100.0)).alias("confidence"),
+        (F.col("start_us") + 50_000 + ev() % 40 * 100_000).alias("end_us"),
+        ((ev() * 7) % 100 / F.lit(100.0)).alias("confidence"),
     )
 
 
@@ -104,7 +106,7 @@ def merged_windows(spark, sf_dir):
 
 
 def shaken(spark, sf_dir):
-    shift = ((EV * 7919) % 13 - 6) * 1_000_000
+    shift = ((ev() * 7919) % 13 - 6) * 1_000_000
     start = F.greatest(F.lit(0), F.col("start_us") + shift)
     return B.captions(spark, sf_dir).select(
         "track_id", "idx", start.alias("start_us"), (start + F.col("end_us") - F.col("start_us")).alias("end_us")
@@ -120,15 +122,15 @@ def heard(spark, sf_dir):
     words = B.timed_words(spark, sf_dir).select(
         "track_id",
         F.col("n").alias("j"),
-        F.when(EV % 31 == 0, " ").otherwise(F.col("text")).alias("word"),
-        F.when(EV % 19 == 0, F.col("end_us")).otherwise(F.col("start_us")).alias("start_us"),
+        F.when(ev() % 31 == 0, " ").otherwise(F.col("text")).alias("word"),
+        F.when(ev() % 19 == 0, F.col("end_us")).otherwise(F.col("start_us")).alias("start_us"),
         "end_us",
     )
     again = words.filter((F.col("track_id") + F.col("j")) % 6 == 0).withColumns(
         {"j": F.col("j") * 2 + 1, "start_us": F.col("start_us") + 30_000}
     )
     words = words.withColumn("j", F.col("j") * 2).unionByName(again)
-    segments = B.timed_words(spark, sf_dir).filter(EV % 7 == 0).select(
+    segments = B.timed_words(spark, sf_dir).filter(ev() % 7 == 0).select(
         "track_id", F.col("n").alias("k"), "start_us", "end_us", F.col("confidence").alias("no_speech_prob")
     )
     return R.transcript_sanitize(words, segments, B.durations(spark, sf_dir))
@@ -159,7 +161,7 @@ QUERIES = {
     "index_monotone_check": lambda s, d: R.index_monotone_check(
         B.timed_words(s, d).select(
             "track_id", F.col("n").alias("pos"),
-            (F.col("n") + F.when((EV % 997 == 0), -1).otherwise(0)).alias("line_index"),
+            (F.col("n") + F.when((ev() % 997 == 0), -1).otherwise(0)).alias("line_index"),
         )
     ),
     "suggestion_merge": merged_windows,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.timecode import idiv, seconds
 from cadenza.operators.tracks import proportional_layout
 from cadenza.plans.ordered import by_rows, by_time, scan
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -30,7 +31,7 @@ def _within(value: Column, low: Column, high: Column) -> Column:
 
 def edit_independent(captions: DataFrame, edits: DataFrame, durations: DataFrame) -> DataFrame:
     """Move one edge of a caption; neighbours stay.  ``edits[track_id, idx, edge, value_us]``."""
-    both = captions.join(edits, CAPTION, "left").join(durations, TRACK, "left")
+    both = join_small(captions.join(edits, CAPTION, "left"), durations, TRACK, ["idx"], "left")
     v, edge = F.col("value_us"), F.col("edge")
     start = F.when(edge == "in", _within(v, F.lit(0), F.col("end_us") - MIN_CAPTION_US))
     end = F.when(edge == "out", _within(v, F.col("start_us") + MIN_CAPTION_US, F.col("duration_us")))
@@ -71,9 +72,8 @@ def edit_ripple(captions: DataFrame, edits: DataFrame, durations: DataFrame) ->
     linked = stage(
         linked.withColumns({"__delta": delta, "__wanted": wanted}).drop("value_us"), "ripple"
     )
-    summed = scan(
-        linked, TRACK, ["idx"], by_rows("idx"), sum_before={"__before": F.col("__delta")}
-    ).join(durations, TRACK)
+    summed = scan(linked, TRACK, ["idx"], by_rows("idx"), sum_before={"__before": F.col("__delta")})
+    summed = join_small(summed, durations, TRACK, ["idx"])
     room = F.greatest(F.lit(0), F.col("duration_us") - F.col("__last"))
     before = F.least(F.col("__before"), room)
     upto = F.least(F.col("__before") + F.col("__delta"), room)
@@ -118,7 +118,7 @@ def edit_roll(captions: DataFrame, edits: DataFrame) -> DataFrame:
 
 def edit_relink(captions: DataFrame, edits: DataFrame, durations: DataFrame) -> DataFrame:
     """Put captions at new starts, durations kept.  ``edits[track_id, idx, start_to_us]``."""
-    both = captions.join(edits, CAPTION, "left").join(durations, TRACK, "left")
+    both = join_small(captions.join(edits, CAPTION, "left"), durations, TRACK, ["idx"], "left")
     length = F.col("end_us") - F.col("start_us")
     latest = F.greatest(F.lit(0), F.col("duration_us") - length)
     start = F.coalesce(_within(F.col("start_to_us"), F.lit(0), latest), F.col("start_us"))
@@ -293,17 +293,17 @@ def relyric(captions: DataFrame, lines: DataFrame, durations: DataFrame) -> Data
     same, other = plan.filter("same"), plan.filter("not same")
     one = F.lit(1).cast("bigint")
     ordered = scan(
-        sung_lines.join(same.select("track_id"), TRACK, "left_semi").select(*CAPTION, "text"),
+        join_small(sung_lines, same.select("track_id"), TRACK, ["idx"], "left_semi").select(*CAPTION, "text"),
         TRACK, ["idx"], by_rows("idx"), sum_before={"order": one},
     ).drop("idx")
     kept = scan(
-        sung_caps.join(same.select("track_id"), TRACK, "left_semi").select(*CAPTION, "start_us", "end_us"),
+        join_small(sung_caps, same.select("track_id"), TRACK, ["idx"], "left_semi").select(*CAPTION, "start_us", "end_us"),
         TRACK, ["idx"], by_rows("idx"), sum_before={"order": one},
     ).drop("idx")
     retexted = ordered.join(kept, ["track_id", "order"]).select(
         "track_id", "order", "text", "start_us", "end_us", F.lit(True).alias("kept_window")
     )
     laid = proportional_layout(
-        lines.join(other.select("track_id"), TRACK, "left_semi"), other.select("track_id", "duration_us")
+        join_small(lines, other.select("track_id"), TRACK, ["idx"], "left_semi"), other.select("track_id", "duration_us")
     ).select("track_id", "order", "text", "start_us", "end_us", F.lit(False).alias("kept_window"))
     return retexted.unionByName(laid)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.timecode import clamp, frame_start, idiv, seconds
 from cadenza.plans.ordered import by_rows, nearest_neighbours, scan
 from cadenza.plans.ranges import points_in_intervals
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -74,7 +75,7 @@ def segment_interval_join(captions: DataFrame, words: DataFrame, segments: DataF
     first = seg.groupBy("track_id").agg(F.min("seg_lo").alias("first_seg"))
     lo = F.coalesce("inside.seg_lo", "near_lo")
     hi = F.coalesce("inside.seg_hi", "near_hi")
-    joined = captions.join(placed, on, "left").join(first, TRACK, "left")
+    joined = join_small(captions.join(placed, on, "left"), first, TRACK, ["idx"], "left")
     start = F.greatest(F.lit(0), F.least(F.col("first_us") - seconds(0.08), lo))
     quiet = F.greatest(F.col("first_seg") - seconds(0.35), F.col("start_us"))
     has_words = F.col("first_us").isNotNull()
@@ -295,7 +296,7 @@ def style_cascade(
         "project_id", F.coalesce(F.col("__base"), fallback).alias("__base"), "__project"
     )
     c = captions.select("caption_id", "project_id", F.struct(*columns).alias("__caption"))
-    return c.join(resolved, ["project_id"], "left").select(
+    return join_small(c, resolved, ["project_id"], ["caption_id"], "left").select(
         "caption_id",
         "project_id",
         *[F.coalesce(f"__caption.{x}", f"__project.{x}", f"__base.{x}").alias(x) for x in columns],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.timecode import clamp, idiv, seconds
 from cadenza.plans.ordered import by_rows, scan
 from cadenza.plans.ranges import points_in_intervals
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -30,7 +31,7 @@ def suggestion_validate(rows: DataFrame, durations: DataFrame) -> DataFrame:
     text.  One bad row rejects its track: not a number, outside the track, a span out of
     bounds, a repeated line, or a start well before the line before it.
     """
-    typed = rows.join(durations, TRACK).select(
+    typed = join_small(rows, durations, TRACK, ["row_id"]).select(
         "track_id",
         "row_id",
         F.expr("try_cast(line_index as bigint)").alias("line_index"),
@@ -69,7 +70,7 @@ def suggestion_validate(rows: DataFrame, durations: DataFrame) -> DataFrame:
     )
     judged = stage(linked.withColumn("__ok", F.coalesce(sound & in_order, F.lit(False))), "suggestions")
     good = judged.groupBy("track_id").agg(F.bool_and("__ok").alias("ok")).filter("ok").select("track_id")
-    return judged.join(good, TRACK, "left_semi").select(
+    return join_small(judged, good, TRACK, ["line_index"], "left_semi").select(
         "track_id",
         "line_index",
         F.greatest(F.lit(0), F.col("start_us")).alias("start_us"),
@@ -101,7 +102,7 @@ def suggestion_merge(captions: DataFrame, rows: DataFrame, durations: DataFrame)
         F.col("end_us").alias("s_end"),
         F.col("confidence").alias("s_conf"),
     )
-    both = captions.join(s, CAPTION, "left").join(durations, TRACK, "left")
+    both = join_small(captions.join(s, CAPTION, "left"), durations, TRACK, ["idx"], "left")
     better = F.coalesce(
         (F.col("s_conf") >= F.col("confidence") - MARGIN) | (F.col("s_conf").isNotNull() & (F.col("confidence") < WEAK)),
         F.lit(False),
@@ -193,7 +194,7 @@ def transcript_sanitize(
     quiet = segments.filter(F.col("no_speech_prob") > NO_SPEECH).select(
         "track_id", F.col("start_us").alias("__lo"), F.col("end_us").alias("__hi")
     )
-    plausible = words.join(durations, TRACK).filter(
+    plausible = join_small(words, durations, TRACK, ["j"]).filter(
         (F.trim("word") != "")
         & (F.col("end_us") > F.col("start_us"))
         & (F.col("start_us") >= 0)

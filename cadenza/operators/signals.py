@@ -21,6 +21,7 @@ from cadenza.functions.timecode import clamp, half_up, idiv
 from cadenza.plans.folds import chunked_fold
 from cadenza.plans.ordered import by_rows, scan
 from cadenza.plans.ranges import points_in_intervals
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 # the Arrow function travels with the job, so executors need no copy of this package
@@ -91,7 +92,7 @@ def frame_rms(samples: DataFrame, rate: int, hop_ms: float = 10, frame_ms: float
         .agg(F.round(F.sqrt(F.sum("e") / frame), 6).alias("rms"))
     )
     count = F.floor((F.col("len") - frame) / F.lit(hop))
-    return frames.join(lengths, TRACK).filter(F.col("frame") < count).drop("len")
+    return join_small(frames, lengths, TRACK, ["frame"]).filter(F.col("frame") < count).drop("len")
 
 
 def energy_flux(rms: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def waveform_peaks(samples: DataFrame, buckets: int = 1800) -> DataFrame:
     lengths = track_lengths(samples)
     step = F.greatest(F.lit(1).cast("bigint"), idiv(F.col("len"), buckets))
     peaks = (
-        samples.join(lengths, TRACK)
+        join_small(samples, lengths, TRACK, ["pos"])
         .groupBy("track_id", idiv(F.col("pos"), step).alias("bucket"))
         .agg(F.max(F.abs("v")).alias("peak"))
     )
@@ -243,10 +244,9 @@ def downsample(samples: DataFrame, from_rate: int, to_rate: int) -> DataFrame:
     first = idiv(F.col("pos") * to_rate + (from_rate - 1), from_rate)
     last = idiv((F.col("pos") + 1) * to_rate + (from_rate - 1), from_rate) - 1
     size = F.greatest(F.lit(1).cast("bigint"), idiv(F.col("len") * to_rate, from_rate))
+    filled = samples.filter(last >= first).withColumn("i", F.explode(F.sequence(first, last)))
     return (
-        samples.filter(last >= first)
-        .withColumn("i", F.explode(F.sequence(first, last)))
-        .join(lengths, TRACK)
+        join_small(filled, lengths, TRACK, ["i"])
         .filter(F.col("i") < size)
         .select("track_id", F.col("i").alias("pos"), "v")
     )
@@ -424,7 +424,7 @@ def lag_xcorr(blocks: DataFrame, clips: DataFrame, block_len: int) -> DataFrame:
     ``clips[clip_id, track_id, clip]`` -> ``[clip_id, lag, confidence]``.
     """
     lengths = block_lengths(blocks, block_len)
-    jobs = clips.join(lengths, TRACK).select(
+    jobs = join_small(clips, lengths, TRACK, ["clip_id"]).select(
         "clip_id", "track_id", "clip", F.lit(0).cast("bigint").alias("region_start"), F.col("len").alias("region_end")
     )
     return _correlate(block_windows(blocks, block_len, _reach(clips)), jobs, block_len, 1)
@@ -464,7 +464,7 @@ def _two_stage(blocks: DataFrame, jobs: DataFrame, block_len: int, rate: int, re
 
 def lag_xcorr_coarse(blocks: DataFrame, clips: DataFrame, block_len: int, rate: int) -> DataFrame:
     """``lag_xcorr`` in two stages over whole masters."""
-    jobs = clips.join(block_lengths(blocks, block_len), TRACK).select(
+    jobs = join_small(clips, block_lengths(blocks, block_len), TRACK, ["clip_id"]).select(
         "clip_id",
         "track_id",
         "clip",
@@ -480,7 +480,7 @@ def clip_search_window(blocks: DataFrame, clips: DataFrame, block_len: int, rate
     cursor = F.col("cursor_us") / F.lit(1_000_000)
     start = F.greatest(F.lit(0), F.floor((cursor - SEARCH_BACK_S) * rate)).cast("bigint")
     end = F.least(F.col("len"), F.ceil((cursor + SEARCH_AHEAD_S) * rate)).cast("bigint")
-    jobs = clips.join(block_lengths(blocks, block_len), TRACK).select(
+    jobs = join_small(clips, block_lengths(blocks, block_len), TRACK, ["clip_id"]).select(
         "clip_id",
         "track_id",
         "clip",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import nfkc, normalized, parts_of, phonetic, syllables, words_of
 from cadenza.functions.timecode import clamp, format_timecode, frame_start, parse_timecode, to_frame
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 OFFSET_LIMIT_US, LEAD_LIMIT_US, DEFAULT_LEAD_US = 2_000_000, 300_000, -40_000
@@ -117,7 +118,9 @@ def sync_offset(words: DataFrame, settings: DataFrame) -> DataFrame:
     """
     lead = clamp(F.coalesce("lead_us", F.lit(DEFAULT_LEAD_US)), -LEAD_LIMIT_US, LEAD_LIMIT_US)
     offset = clamp(F.coalesce("offset_us", F.lit(0)), -OFFSET_LIMIT_US, OFFSET_LIMIT_US)
-    moved = words.join(settings, ["track_id"], "left").withColumn("__shift", lead - offset)
+    moved = join_small(words, settings, ["track_id"], ["start_us", "end_us"], "left").withColumn(
+        "__shift", lead - offset
+    )
     return moved.withColumns(
         {
             "start_us": F.greatest(F.lit(0), F.col("start_us") + F.col("__shift")),

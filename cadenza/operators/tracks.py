@@ -13,6 +13,7 @@ from cadenza.functions.text import let, sung_words, syllables
 from cadenza.functions.timecode import idiv, seconds
 from cadenza.plans.folds import chunked_fold
 from cadenza.plans.ordered import by_rows, by_time, scan
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 # Fixed values of the timing rules.
@@ -59,7 +60,7 @@ def gap_interpolate(tokens: DataFrame, durations: DataFrame) -> DataFrame:
     """
     open_ = F.col("start_us").isNull()
     marked = scan(
-        tokens.join(durations, TRACK),
+        join_small(tokens, durations, TRACK, ["i"]),
         TRACK,
         ["i"],
         by_rows("i"),
@@ -80,7 +81,8 @@ def gap_interpolate(tokens: DataFrame, durations: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("__n"),
         )
     )
-    rows = marked.filter(open_).join(runs, ["track_id", "__run"])
+    # a track without any transcript is one single run
+    rows = join_small(marked.filter(open_), runs, ["track_id", "__run"], ["i"])
     left = F.coalesce("__left", F.lit(0))
     available = F.greatest(F.lit(seconds(0.2)), F.coalesce("__right", "duration_us") - left)
     natural = F.col("__total") * PER_WEIGHT_US
@@ -176,7 +178,7 @@ def line_envelope(words: DataFrame, durations: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0), F.col("__first") - LEAD_IN_US)
     end = F.greatest(F.col("__last") + TAIL_OUT_US, F.col("start_us") + MIN_CAPTION_US)
     return (
-        lines.join(durations, TRACK)
+        join_small(lines, durations, TRACK, ["line_index"])
         .withColumn("start_us", start)
         .select(
             "track_id", "line_index", "start_us", F.least(end, F.col("duration_us")).alias("end_us")
@@ -292,7 +294,8 @@ def proportional_layout(lines: DataFrame, durations: DataFrame) -> DataFrame:
         by_rows("idx"),
         sum_before={"__before": F.col("__w"), "order": F.lit(1).cast("bigint")},
         total={"__total": ("sum", F.col("__w"))},
-    ).join(durations, TRACK)
+    )
+    placed = join_small(placed, durations, TRACK, ["order"])
     dur = F.col("duration_us")
     lead = F.least(F.lit(seconds(2.4)), idiv(dur * 6, 100))
     tail = F.least(F.lit(seconds(2.8)), idiv(dur * 8, 100))

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.plans.ordered import by_rows, scan
 from cadenza.session import stage
 
 Step = Callable[[Column, Column], Column]
@@ -47,9 +48,9 @@ def chunked_fold(
         return df.select(*on, "__in", F.aggregate("__items", F.col("__in"), step).alias("__out"))
 
     states = stage(exits(packed.withColumn("__in", start)), "fold-state")
-    along = Window.partitionBy(*keys).orderBy("__chunk")
     while True:
-        linked = states.withColumn("__new", F.coalesce(F.lag("__out").over(along), start))
+        linked = scan(states, keys, ["__chunk"], by_rows("__chunk"), lag={"__prev": F.col("__out")})
+        linked = linked.withColumn("__new", F.coalesce("__prev", start))
         stale = linked.filter(~F.col("__new").eqNullSafe(F.col("__in")))
         if stale.isEmpty():
             break

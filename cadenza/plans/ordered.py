@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 32_768
 
 _TOTALS = {"sum": F.sum, "min": F.min, "max": F.max}
 

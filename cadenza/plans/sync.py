@@ -26,6 +26,7 @@ from cadenza.operators.tracks import (
     overlap_trim,
 )
 from cadenza.plans.ordered import by_rows, dense_index
+from cadenza.plans.skew import join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -154,7 +155,9 @@ def _captions(lines: DataFrame, words: DataFrame, merged: DataFrame, durations:
     sung = (
         sung.join(windows, ["track_id", "line_index"], "left")
         .join(confidence, ["track_id", "line_index"])
-        .join(durations, TRACK)
+    )
+    sung = (
+        join_small(sung, durations, TRACK, ["line_index"])
         .select(
             "track_id",
             F.col("line_index").alias("idx"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.timecode import format_timecode, half_up
+from cadenza.plans.skew import join_unique
 
 TRANSCRIPT_SCHEMA = """
 text string, language string, duration double,
@@ -180,7 +181,7 @@ def asset_dedup(manifest: DataFrame) -> DataFrame:
 
 def cache_misses(want: DataFrame, have: DataFrame) -> DataFrame:
     """Requests whose (sha, model, language) has no transcript yet."""
-    return want.join(have.select(*CACHE_KEY).distinct(), CACHE_KEY, "left_anti")
+    return want.join(have.select(*CACHE_KEY), CACHE_KEY, "left_anti")
 
 
 def cache_unique(have: DataFrame, order: list[str]) -> DataFrame:
@@ -193,7 +194,7 @@ def cache_unique(have: DataFrame, order: list[str]) -> DataFrame:
 
 def cache_hits(want: DataFrame, have: DataFrame, order: list[str]) -> DataFrame:
     """Requests with the stored transcript attached."""
-    return want.join(cache_unique(have, order), CACHE_KEY)
+    return join_unique(want, cache_unique(have, order), CACHE_KEY)
 
 
 def cache_put(have: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -214,11 +215,11 @@ def upsert_latest(current: DataFrame, batch: DataFrame, key: list[str], order: l
 
 
 def delete_keys(current: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    return current.join(keys.select(*key).distinct(), key, "left_anti")
+    return current.join(keys.select(*key), key, "left_anti")
 
 
 def point_lookup(current: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    return current.join(keys.select(*key).distinct(), key, "left_semi")
+    return current.join(keys.select(*key), key, "left_semi")
 
 
 def history_keep_n(versions: DataFrame, key: list[str], order: list[str], n: int = 100) -> DataFrame:
