@@ -101,20 +101,24 @@ def tokens(texts: DataFrame, ident: str, position: str) -> DataFrame:
     )
 
 
-def normalize_tokens(rows: DataFrame, vocabulary: DataFrame, first_part_only: bool) -> DataFrame:
+def normalize_tokens(
+    rows: DataFrame,
+    vocabulary: DataFrame,
+    first_part_only: bool,
+    columns: tuple[str, ...] = ("part", "norm", "phonetic"),
+) -> DataFrame:
     """Attach norm and phonetic key from a ``token_dim`` table.
 
     The reference side keeps every part of a contraction, the transcript side the first.
     Tokens that make up at least a ten-thousandth of the text, at most ten thousand of
     them, are broadcast; the shuffle then has no hot word left.
     """
-    parts = vocabulary.select("raw", "part", "norm", "phonetic", "freq")
-    if first_part_only:
-        parts = parts.filter("part = 0")
+    parts = vocabulary.filter("part = 0") if first_part_only else vocabulary
     total = vocabulary.filter("part = 0").agg(F.sum("freq").alias("all")).scalar()
-    common = parts.withColumn("common", F.col("freq") * COMMON_SHARE >= total).drop("freq")
-    frequent = F.broadcast(common.filter("common").drop("common"))
-    rare = common.filter("not common").drop("common")
+    common = F.col("freq") * COMMON_SHARE >= total
+    parts = parts.select("raw", *columns, common.alias("common"))
+    frequent = F.broadcast(parts.filter("common").drop("common"))
+    rare = parts.filter("not common").drop("common")
     rest = rows.join(F.broadcast(frequent.select("raw").distinct()), ["raw"], "left_anti")
     return rows.join(frequent, ["raw"]).unionByName(rest.join(rare, ["raw"]))
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from cadenza.plans.ordered import by_rows, scan
 from cadenza.session import stage
 
+FOLD_ROWS = 1024
+
 Step = Callable[[Column, Column], Column]
 
 
@@ -29,27 +31,28 @@ def chunked_fold(
     start: Column,
     step: Step,
     emit: Callable[[Column, Column, Column], Column],
-    size: int = 256,
+    size: int | None = None,
 ) -> DataFrame:
     """Fold each track in ``index`` order and emit one row per input row.
 
     ``start`` is the entry state (a struct), ``step(state, row)`` the next state and
     ``emit(before, row, after)`` the struct emitted.  ``index`` must be unique per track.
     """
+    size = size or FOLD_ROWS
     packed = stage(
-        rows.groupBy(*keys, F.expr(f"cast({index} div {size} as bigint)").alias("__chunk")).agg(
+        rows.groupBy(*keys, F.expr(f"cast({index} div {size} as bigint)").alias("__part")).agg(
             F.array_sort(F.collect_list(F.struct(index, *fields))).alias("__items")
         ),
         "fold-rows",
     )
-    on = [*keys, "__chunk"]
+    on = [*keys, "__part"]
 
     def exits(df: DataFrame) -> DataFrame:
         return df.select(*on, "__in", F.aggregate("__items", F.col("__in"), step).alias("__out"))
 
     states = stage(exits(packed.withColumn("__in", start)), "fold-state")
     while True:
-        linked = scan(states, keys, ["__chunk"], by_rows("__chunk"), lag={"__prev": F.col("__out")})
+        linked = scan(states, keys, ["__part"], by_rows("__part"), lag={"__prev": F.col("__out")})
         linked = linked.withColumn("__new", F.coalesce("__prev", start))
         stale = linked.filter(~F.col("__new").eqNullSafe(F.col("__in")))
         if stale.isEmpty():

@@ -17,8 +17,9 @@ CHUNK_ROWS = 32_768
 _TOTALS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def by_rows(index: str, size: int = CHUNK_ROWS) -> Column:
+def by_rows(index: str, size: int | None = None) -> Column:
     """Chunk of a dense per-track row index: at most ``size`` rows each."""
+    size = size or CHUNK_ROWS
     return F.expr(f"cast({index} div {size} as bigint)")
 
 
@@ -62,13 +63,16 @@ def scan(
         "max_before": max_before or {},
     }
     total = total or {}
+    if "__chunk" in df.columns:
+        raise ValueError("__chunk is the scan's own column name")
     # the carried value of each request gets a short internal name
     wanted = [(kind, out, expr) for kind, specs in groups.items() for out, expr in specs.items()]
     values = {f"__v{i}": expr for i, (_, _, expr) in enumerate(wanted)}
     totals = {f"__t{i}": expr for i, (_, expr) in enumerate(total.values())}
     rows = df.withColumns({**values, **totals, "__chunk": chunk})
 
-    at = F.struct(*order)
+    # one order column of a fixed-width type keeps the summary in a hash aggregate
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     summary, carry = [], {}
     along = Window.partitionBy(*keys).orderBy("__chunk")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -78,11 +82,11 @@ def scan(
     for i, (kind, _, _) in enumerate(wanted):
         v, s, c = F.col(f"__v{i}"), f"__s{i}", f"__c{i}"
         if kind == "lag":
-            summary.append(F.max_by(F.struct(v.alias("x")), at).alias(s))
-            carry[c] = F.lag(s).over(along)["x"]
+            summary.append(F.max_by(v, at).alias(s))
+            carry[c] = F.lag(s).over(along)
         elif kind == "lead":
-            summary.append(F.min_by(F.struct(v.alias("x")), at).alias(s))
-            carry[c] = F.lead(s).over(along)["x"]
+            summary.append(F.min_by(v, at).alias(s))
+            carry[c] = F.lead(s).over(along)
         elif kind in ("last_upto", "last_before"):
             summary.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(s))
             carry[c] = F.last(s, ignorenulls=True).over(earlier)

@@ -44,7 +44,7 @@ def sheet_owners(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = lines.filter(~F.col("instrumental")).select(
         "track_id", F.col("idx").alias("line_index"), F.posexplode(words_of(F.col("text"))).alias("pos", "raw")
     )
-    parts = words.join(vocabulary.select("raw", "part", "norm", "phonetic", "syllables"), ["raw"])
+    parts = normalize_tokens(words, vocabulary, False, ("part", "norm", "phonetic", "syllables"))
     # a line of text holds fewer words than a chunk, so 256 lines bound one
     return dense_index(parts, TRACK, ["line_index", "pos", "part"], by_rows("line_index", 256), "i")
 
