@@ -45,7 +45,7 @@ def dedup(spark, sf_dir):
         F.sha2("text", 256).alias("sha"),
         F.lit("m1").alias("model"),
         F.col("lang").alias("language"),
-        F.timestamp_seconds("doc_id").alias("ts"),
+        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("ts"),
     )
     return S.run_available(S.transcript_dedup(transcripts, "3650 days"), "transcripts")
 
