@@ -140,8 +140,8 @@ def asr_coverage(pairs: DataFrame, ref: DataFrame, hyp: DataFrame, least: float
 # --- token similarity ------------------------------------------------------------------
 
 
-def similarity(norm_a: Column, norm_b: Column, key_a: Column, key_b: Column) -> Column:
-    """Score of two tokens: above 1 alike, 0.15 to 0.6 doubtful, below -0.8 different."""
+def likeness(norm_a: Column, norm_b: Column, key_a: Column, key_b: Column) -> Column:
+    """Weighted share of equal letters and sounds, with a bonus for an equal start."""
     longest = F.greatest(F.length(norm_a), F.length(norm_b), F.lit(1))
     edit = 1 - F.levenshtein(norm_a, norm_b) / longest
     sound = (
@@ -155,13 +155,22 @@ def similarity(norm_a: Column, norm_b: Column, key_a: Column, key_b: Column) ->
         & (F.substring(norm_a, 1, PREFIX) == F.substring(norm_b, 1, PREFIX)),
         PREFIX_BONUS,
     ).otherwise(0.0)
-    alike = EDIT_SHARE * edit + SOUND_SHARE * sound + prefix
-    graded = (
+    return EDIT_SHARE * edit + SOUND_SHARE * sound + prefix
+
+
+def graded(alike: Column) -> Column:
+    """Likeness on the scoring scale, in three bands."""
+    return (
         F.when(alike >= STRONG, 1.0 + (alike - STRONG) * 2.0)
         .when(alike >= WEAK, 0.15 + (alike - WEAK) * 1.5)
         .otherwise(-0.8 - (WEAK - alike) * 1.5)
     )
-    return F.when(norm_a == norm_b, exact_score(norm_a)).otherwise(graded)
+
+
+def similarity(norm_a: Column, norm_b: Column, key_a: Column, key_b: Column) -> Column:
+    """Score of two tokens: above 1 alike, 0.15 to 0.6 doubtful, below -0.8 different."""
+    alike = likeness(norm_a, norm_b, key_a, key_b)
+    return F.when(norm_a == norm_b, exact_score(norm_a)).otherwise(graded(alike))
 
 
 def exact_score(norm: Column) -> Column:
@@ -181,7 +190,7 @@ def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0) -> DataFram
     equal = a.join(b, F.col("norm_a") == F.col("norm_b"))
     sounding = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("key_a") != "") & differ)
     # least share of equal letters that can still reach the score when the sounds differ
-    target = STRONG + (least - 1.0) / 2.0 if least >= 1.0 else WEAK
+    target = STRONG + (least - 1.0) / 2.0 if least >= 1.0 else WEAK + max(0.0, least - 0.15) / 1.5
     near = max(0.0, (target - PREFIX_BONUS - SOUND_SHARE * SAME_FIRST_SOUND) / EDIT_SHARE)
     start = F.substring("norm_a", 1, PREFIX)
     size = F.length("norm_b")
@@ -202,8 +211,13 @@ def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0) -> DataFram
     prefix = F.when(F.substring("norm_a", 1, PREFIX) == F.substring("norm_b", 1, PREFIX), PREFIX_BONUS).otherwise(0.0)
     bound = EDIT_SHARE * F.least(la, lb) / F.greatest(la, lb) + sound + prefix
     every = every.filter((bound >= target - 1e-9) | ~differ)
-    score = similarity(F.col("norm_a"), F.col("norm_b"), F.col("key_a"), F.col("key_b"))
-    return every.select("norm_a", "norm_b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
+    # cut by likeness first: the letters of a pair are compared for it only once
+    columns = [F.col(c) for c in ("norm_a", "norm_b", "key_a", "key_b")]
+    close = every.withColumn("alike", likeness(*columns)).filter(
+        (F.col("alike") >= target - 1e-9) | ~differ
+    )
+    score = F.when(~differ, exact_score(F.col("norm_a"))).otherwise(graded(F.col("alike")))
+    return close.select("norm_a", "norm_b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
 
 
 # --- dynamic programming for short stretches -------------------------------------------
