@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from cadenza.functions.text import words_of
-from cadenza.session import stage
+from cadenza.session import configure, stage
 
 # the Arrow function travels with the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -416,6 +416,7 @@ def align_blocks(ref: DataFrame, hyp: DataFrame, k: int = SEED) -> DataFrame:
     One aggregate finds the seeds (no join of occurrences).  ``[pair_id, i0, j0, len]``
     with ``len`` in tokens; blocks never overlap or cross.
     """
+    configure(ref.sparkSession)
     grams = _grams(ref, "i", 0, k).unionByName(_grams(hyp, "j", 1, k))
     side = F.col("side")
     seeds = grams.groupBy("pair_id", "gram").agg(

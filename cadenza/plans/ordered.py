@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import configure
+
 CHUNK_ROWS = 32_768
 
 _TOTALS = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -62,6 +64,7 @@ def scan(
         "sum_before": sum_before or {},
         "max_before": max_before or {},
     }
+    configure(df.sparkSession)
     total = total or {}
     if "__chunk" in df.columns:
         raise ValueError("__chunk is the scan's own column name")
