@@ -44,15 +44,19 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir`` where the cluster sets it.
+    """Folder for staged tables, inside the one that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is absent (tests, local runs) a temporary folder is used.
+    Only a session whose executors are threads of its own process may do without the
+    setting; it takes a temporary folder.  Anywhere else a missing setting is an error,
+    because executors would write to disks of their own.
     """
     app = spark.sparkContext.applicationId
     if app not in _RUN_FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="cadenza-")
+        master = spark.sparkContext.master
+        if not base and master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = base or tempfile.mkdtemp(prefix="cadenza-")
         _RUN_FOLDERS[app] = f"{base.rstrip('/')}/cadenza-{app}"
     return _RUN_FOLDERS[app]
 
