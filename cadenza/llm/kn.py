@@ -20,6 +20,8 @@ from cadenza.llm.base import CHUNK_CHARS, pieces
 from cadenza.session import stage
 
 SPACE = 32
+#: Counts by which a context of a class leans on the pooled model.
+PRIOR = 20.0
 _FACTORS = np.random.default_rng(20).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTERS: list[np.ndarray] = []
 
@@ -158,15 +160,20 @@ def _pooled(n: np.ndarray, how) -> np.ndarray:
     return np.repeat(how(n, axis=1, keepdims=True), n.shape[1], axis=1)
 
 
-def _interpolated(n: np.ndarray, head: np.ndarray, heads: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each n-gram with counts ``n``, and what each context leaves to ``below``."""
+def _interpolated(
+    n: np.ndarray, head: np.ndarray, heads: int, below: np.ndarray, prior: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each n-gram with counts ``n``, and what each context leaves to ``below``.
+
+    ``prior`` counts more for every context are taken to follow ``below``.
+    """
     ones, twos = (n == 1).sum(axis=0), (n == 2).sum(axis=0)
     cut = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
     total, kinds = np.zeros((heads, n.shape[1])), np.zeros((heads, n.shape[1]))
     np.add.at(total, head, n)
     np.add.at(kinds, head, n > 0)
-    weight = np.where(total > 0, cut * kinds / np.maximum(total, 1), 1.0)
-    return np.maximum(n - cut, 0) / np.maximum(total[head], 1) + weight[head] * below, weight
+    weight = np.where(total > 0, (cut * kinds + prior) / np.maximum(total + prior, 1), 1.0)
+    return np.maximum(n - cut, 0) / np.maximum(total[head] + prior, 1) + weight[head] * below, weight
 
 
 class KneserNey:
@@ -202,7 +209,7 @@ class KneserNey:
                 below = below[np.searchsorted(self._keys(order - 1), _hash(grams[:, 1:]))]
             below, weight = _interpolated(_pooled(n, np.sum) if shared else n, inverse, len(heads), below)
             if shared and order == self.order:
-                below, own = _interpolated(n, inverse, len(heads), below)
+                below, own = _interpolated(n, inverse, len(heads), below, PRIOR)
                 weight = weight * own
             self.tables.append((SortedHashes(keys), np.log(below).astype(np.float32)))
             self.weights.append((SortedHashes(heads), np.log(weight).astype(np.float32)))

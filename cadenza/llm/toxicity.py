@@ -17,7 +17,7 @@ CELLS = 1_600_000
 #: Labelled rows, kept out of the counts, that calibrate the score.
 CALIBRATION_ROWS = 6_000
 #: A word speaks for toxicity by what its log likelihood ratio has beyond this.
-STRONG = 4.0
+STRONG = 2.0
 
 
 def _repeats(found: kn.Positions, first: np.ndarray, chosen: np.ndarray) -> np.ndarray:
