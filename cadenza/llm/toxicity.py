@@ -100,7 +100,8 @@ def fit_toxicity(training: DataFrame, labels: DataFrame) -> ToxicityModel | None
     )
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = training.select("doc_id", "text").where(F.col("text").isNotNull())
-    counted = rows.where(~apart).join(marked.where(~apart), "doc_id")
+    # labels grow with the corpus: never broadcast, whatever their size here
+    counted = rows.where(~apart).join(marked.where(~apart).hint("merge"), "doc_id")
     model = kn.fit(counted.select(F.col("toxic").cast("string").alias("class"), "text"), ORDER, CELLS, shared=True)
     if model is None:
         return None
