@@ -168,15 +168,20 @@ def instrumental_flag(captions: DataFrame, mode: str = "auto") -> DataFrame:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key: letter case ignored, digit runs compared by value."""
+    """Sort key: letter case ignored, digit runs compared by value, however long they are.
+
+    Runs beyond 20 digits come after all others, by their length and then their digits.
+    """
     runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(
-        runs,
-        lambda r: F.when(
-            r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+([0-9])", "$1"), 20, "0")
-        ).otherwise(r),
-    )
-    return F.array_join(padded, "")
+
+    def padded(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+([0-9])", "$1")
+        size = F.length(digits)
+        return F.when(size <= 20, F.lpad(digits, 20, "0")).otherwise(
+            F.concat(F.lit(":"), F.lpad(size.cast("string"), 10, "0"), digits)
+        )
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), padded(r)).otherwise(r)), "")
 
 
 def natural_sort(df: DataFrame, column: str) -> DataFrame:

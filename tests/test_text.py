@@ -118,3 +118,9 @@ def test_display_lines(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("Take 10",), ("take 9",), ("take 09b",), ("Alpha",)], "t string")
     assert [r.t for r in natural_sort(df, "t").collect()] == ["Alpha", "take 9", "take 09b", "Take 10"]
+
+
+def test_natural_order_of_long_numbers(spark):
+    long = ["1" + "0" * 19 + "9", "1" + "0" * 19 + "1", "2" * 19, "0" * 30 + "7"]
+    df = spark.createDataFrame([(t,) for t in long], "t string")
+    assert [r.t for r in natural_sort(df, "t").collect()] == sorted(long, key=int)
