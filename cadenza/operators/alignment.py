@@ -333,7 +333,12 @@ CELL = (
 def _affine(rn: pd.Series, rk: pd.Series, hn: pd.Series, hk: pd.Series, li: pd.Series, lj: pd.Series) -> pd.Series:
     cells = []
     for *row, at, to in zip(rn, rk, hn, hk, li, lj):
-        path = affine_path(*[list(x) for x in row], landmarks=dict(zip(at, to)))
+        # tokens outside the group have no place in it; one token may have several landmarks
+        known: dict[int, list[int]] = {}
+        for i, j in zip(at, to):
+            if i >= 0 and j >= 0:
+                known.setdefault(int(i), []).append(int(j))
+        path = affine_path(*[list(x) for x in row], landmarks=known)
         cells.append([{"op": o, "i": i, "j": j, "score": s} for o, i, j, s in path])
     return pd.Series(cells)
 
