@@ -37,6 +37,19 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(-1)).cast("int")
 
 
+def row_key() -> Column:
+    """Tells apart rows that differ in id or text (nulls included)."""
+    return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """Beginning of names that no column of ``docs`` has."""
+    prefix = "_x_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.base import WORD, ascii_lower
+from cadenza.llm.base import WORD, ascii_lower, free_prefix, row_key
 from cadenza.session import stage
 
 WINDOW = 10
-#: Window rows up to which the table of windows is broadcast (a row is ten words).
-BROADCAST_ROWS = 500_000
+#: Windows of items, and bytes of their words, up to which their table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 #: Words of 32 bits in the table that sorts out places.
 BIT_WORDS = 1 << 15
 
@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, hits and items.
+    """One row per row of ``docs``: doc_id, key (of id and text), n_words, hits and items.
 
     ``hits`` holds (start, length) of every occurrence of a window, words counted from 0, and
     ``items`` the items these belong to.  Null texts have no words.  Rows that agree in id
@@ -66,10 +66,11 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     filled = spark.range(BIT_WORDS).join(bits, F.col("id") == F.col("k"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
     table = filled.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("t")).select(F.col("t.b").alias("t"))
     by_window = windows.groupBy("window", "length").agg(F.collect_set("item_id").alias("of"))
-    small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
     by_window = F.broadcast(by_window) if small else by_window
 
-    rows = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
     marked = rows.withColumn("t", table.scalar())
 
     def places(length: int) -> Column:
@@ -85,12 +86,12 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<struct<at:int,length:int,window:string>>")
     candidates = F.concat(none, *(places(n) for n in lengths))
-    slim = marked.select("row", "doc_id", F.size("w").alias("n_words"), candidates.alias("c"))
-    one = slim.select("row", "doc_id", "n_words", F.explode_outer("c").alias("c")).select("row", "doc_id", "n_words", "c.*")
+    slim = marked.select("row", "doc_id", "key", F.size("w").alias("n_words"), candidates.alias("c"))
+    one = slim.select("row", "doc_id", "key", "n_words", F.explode_outer("c").alias("c")).select("row", "doc_id", "key", "n_words", "c.*")
     hit = one.join(by_window, ["window", "length"], "left")
     place = F.when(F.col("of").isNotNull(), F.struct("at", "length"))
     return (
-        hit.groupBy("row", "doc_id", "n_words")
+        hit.groupBy("row", "doc_id", "key", "n_words")
         .agg(F.collect_list(place).alias("hits"), F.array_distinct(F.flatten(F.collect_set("of"))).alias("items"))
         .drop("row")
     )
@@ -115,14 +116,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without any hit; all columns stay.  Null texts are clean."""
-    hit = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """Rows of ``docs`` without any hit; all columns stay.  Null texts are clean.
+
+    Rows that share an id, or have none, are judged each by its own text.
+    """
+    own = free_prefix(docs)
+    hit = scan(docs, benchmark).where(F.size("hits") > 0).select(F.col("key").alias(f"{own}hit")).distinct()
+    keyed = docs.withColumn(f"{own}key", row_key())
+    return keyed.join(hit, F.col(f"{own}key") == F.col(f"{own}hit"), "left_anti").drop(f"{own}key")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and the words of each text outside hits, joined by spaces (the other outcome)."""
-    found = scan(docs, benchmark).select(F.col("doc_id").alias("_id"), covered(F.col("hits")).alias("_gone")).dropDuplicates(["_id"])
-    split = docs.select("doc_id", words(F.col("text")).alias("_w"))
-    kept = F.filter("_w", lambda w, at: ~F.array_contains("_gone", at))
-    return split.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.array_join(kept, " ").alias("text"))
+    found = scan(docs, benchmark).select("key", covered(F.col("hits")).alias("gone")).dropDuplicates(["key"])
+    split = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w"))
+    kept = F.filter("w", lambda w, at: ~F.array_contains("gone", at))
+    return split.join(found, "key").select("doc_id", F.array_join(kept, " ").alias("text"))

@@ -112,8 +112,8 @@ def fit_language(training: DataFrame) -> LanguageModel | None:
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Add lang_pred, score, n_chars, entropy and rejected to ``docs``.
+def identify(docs: DataFrame, model: LanguageModel | None, prefix: str = "") -> DataFrame:
+    """Add lang_pred, score, n_chars, entropy and rejected to ``docs``, after ``prefix``.
 
     Only ``text`` is read; columns of the same names are replaced.  Texts that are null or
     without a letter are ``und`` with score 0 and rejected, as is everything where no
@@ -121,8 +121,12 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     far beyond that of its own documents; lang_pred still names it.
     """
     added = {"lang_pred": "string", "score": "double", "n_chars": "long", "entropy": "double", "rejected": "boolean"}
+    added = {prefix + k: v for k, v in added.items()}
     docs = docs.drop(*added)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{k} {v}" for k, v in added.items())])
+    # mapInArrow takes no names with dots, so columns pass through it under plain ones
+    names = [c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)] + [f"a{k}" for k in range(len(added))]
+    kinds_of = [f.dataType.simpleString() for f in docs.schema.fields] + list(added.values())
+    schema = ", ".join(f"{n} {kind}" for n, kind in zip(names, kinds_of))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +148,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 ]
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(v, k) for v, k in zip(new, kinds))],
-                [*batch.schema.names, *added],
+                [*batch.columns, *(pa.array(v, k) for v, k in zip(new, kinds))], names
             )
 
-    return docs.mapInArrow(run, schema)
+    plain = docs.toDF(*names[: len(docs.columns)])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *added)

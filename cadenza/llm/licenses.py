@@ -48,9 +48,10 @@ def base_places(normal: bytes) -> list[tuple[int, str]]:
     """(first word, label) of every place of a base phrase, overlapping ones too."""
     padded, out = b" " + normal + b" ", []
     for phrase, label in BASE:
-        needle, at = b" " + phrase + b" ", -1
+        needle, at, word, counted = b" " + phrase + b" ", -1, 0, 0
         while (at := padded.find(needle, at + 1)) >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            word, counted = word + padded.count(b" ", counted, at), at
+            out.append((word, label))
     return out
 
 

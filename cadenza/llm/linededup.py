@@ -7,9 +7,10 @@ distinct sites decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.base import free_prefix, row_key
 from cadenza.session import stage
 
 #: Distinct sites from which a line is boilerplate, and its least length in characters.
@@ -29,11 +30,6 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     return split.withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
 
 
-def row_key() -> Column:
-    """Tells apart rows that differ in id or text."""
-    return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
-
-
 def spread(docs: DataFrame, site: str = "source") -> DataFrame:
     """(hash, sites, first_id, first_at) of each line on MIN_SITES sites or more.
 
@@ -62,33 +58,37 @@ def spread(docs: DataFrame, site: str = "source") -> DataFrame:
     )
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", prefix: str = "") -> DataFrame:
     """``docs`` with text lessened by boilerplate lines, and n_lines and n_removed.
 
+    The two added names begin with ``prefix``.
+
     Every row stays.  The first place of a boilerplate line (smallest id, then line number)
     keeps it, so that text which whole sites share stays in the corpus once.  A line counts
     without blanks around it; one shorter than MIN_CHARS is never boilerplate.  A null text
     stays null, with no lines; a text whose lines all go becomes empty.  Repeated rows get
     one result each; columns of the added names are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(f"{prefix}n_lines", f"{prefix}n_removed")
+    own = free_prefix(docs)
+    gone_at, key = F.col(f"{own}gone"), F.col(f"{own}key")
     known = spread(docs, site)
     lines = _lines(docs, site).select("row", "doc_id", "at", F.md5("line").alias("hash"))
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))
     # rows that repeat come together here; their places are the same
     gone = (
         lines.join(known, "hash").where(~first)
-        .groupBy("row").agg(F.collect_set("at").alias("_gone"))
-        .withColumnRenamed("row", "_row")
+        .groupBy("row").agg(F.collect_set("at").alias(f"{own}gone"))
+        .withColumnRenamed("row", f"{own}row")
     )
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda line, at: ~F.array_contains(F.col("_gone"), at))
-    joined = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_row"), "left")
+    kept = F.filter(split, lambda line, at: ~F.array_contains(gone_at, at))
+    joined = docs.withColumn(f"{own}key", row_key()).join(gone, key == F.col(f"{own}row"), "left")
     return joined.select(
         *[
-            F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`")
+            F.when(gone_at.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`")
             for c in docs.columns
         ],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(F.array_size(gone_at), F.lit(0)).cast("long").alias(f"{prefix}n_removed"),
     )

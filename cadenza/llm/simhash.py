@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.base import UPPER, key_runs, pieces
+from cadenza.llm.base import UPPER, free_prefix, key_runs, pieces, row_key
 from cadenza.llm.components import Forest, components
 from cadenza.session import stage
 
@@ -51,15 +51,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the bits of the fingerprint as a long."""
+    """(doc_id, key, fp): what tells rows apart, and the bits of the fingerprint as a long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp)], ["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, f"doc_id {kind}, key string, fp long")
 
 
 def _tile_links(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -133,30 +133,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other.  Rows with a null id
     take part; the smallest id of a component leaves nulls aside unless there is no other.
     """
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, fp, component_id, keeper); keeper is the key of the row that its group keeps."""
     rows = stage(fingerprints(docs), "fingerprints")
-    values = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
+    lead = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    values = stage(rows.groupBy("fp").agg(F.min(lead).alias("lead")), "values")
     linked = components(link_forest(values.select("fp")))
     least = (
         linked.join(values, linked["node"] == values["fp"])
-        .groupBy("component").agg(F.min("first").alias("component_id"))
+        .groupBy("component").agg(F.min("lead").alias("least"))
     )
     by_value = (
         values.join(linked, values["fp"] == linked["node"], "left")
         .join(least, "component", "left")
-        .select("fp", F.coalesce("component_id", "first").alias("component_id"))
+        .select("fp", F.coalesce("least", "lead").alias("least"))
+        .select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keeper"))
     )
-    out = rows.join(by_value, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_value, "fp").select("doc_id", "key", "fp", "component_id", "keeper")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: one row of each component stays.
+    """Rows of ``docs`` without near-duplicates: exactly one row of each group stays.
 
-    It is the one with the smallest id; of rows that share that id, one with the smallest
-    text.  Rows with a null id form components of their own kind and stay only where the
-    component has no id.
+    It is the one with the smallest id, nulls last; of different texts under that id, one
+    chosen by hash.  Rows that share an id, or have none, but lie in different groups all
+    stay.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
-    # ids are unique as a rule; repeated rows of one id are reduced to one
-    return kept.dropDuplicates(["doc_id"])
+    own = free_prefix(docs)
+    found = _grouped(docs).where(F.col("key") == F.col("keeper")).select(F.col("key").alias(f"{own}keeper")).distinct()
+    keyed = docs.withColumn(f"{own}key", row_key())
+    kept = keyed.join(found, F.col(f"{own}key") == F.col(f"{own}keeper"), "left_semi")
+    # only rows that repeat an id and its text share a key
+    return kept.dropDuplicates([f"{own}key"]).drop(f"{own}key")

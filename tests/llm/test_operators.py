@@ -407,6 +407,25 @@ def test_contamination_edges(spark, odd, empty):
     assert texts[None] == "" and texts[9].startswith("token abcdefgh12")
 
 
+def test_contamination_judges_rows_that_share_an_id_by_themselves(spark):
+    docs = spark.createDataFrame(
+        [(None, "hello there you"), (None, "all clean"), (3, "well hello there"), (3, "clean too"), (4, None)], "doc_id long, text string"
+    )
+    some = spark.createDataFrame([(1, "hello there")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, some)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.where("text is not null").collect()) == [(0, "all clean"), (3, "clean too")]
+    assert kept.count() == 3
+
+
+@pytest.mark.parametrize("name, bound", [("BROADCAST_ROWS", 0), ("BROADCAST_BYTES", 0)])
+def test_contamination_broadcasts_only_below_its_bounds(spark, monkeypatch, name, bound):
+    some = spark.createDataFrame([(1, "hello there")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "hello there you"), (2, "clean")], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, name, bound)
+    got = decontaminate.contamination(docs, some)
+    assert sorted((r.doc_id, r.n_hit) for r in got.collect()) == [(1, 2), (2, 0)]
+
+
 def test_contamination_needs_no_python(spark):
     plan = decontaminate.contamination(documents(spark), base.table(spark, SF, "benchmark"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -475,6 +494,16 @@ def test_simhash_edges(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group_and_all_groups(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma"))
+    docs = spark.createDataFrame(
+        [(None, one), (None, two), (7, one), (8, two), (8, three), (8, three), (9, three), (None, "quite another text here")],
+        "doc_id long, text string",
+    )
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(7, one), (8, two), (8, three), (None, "quite another text here")], key=repr)
+
+
 # ---- byte-level BPE
 
 
@@ -526,6 +555,24 @@ def test_pipeline_stages(spark, odd, empty):
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_pipeline_leaves_other_columns_alone(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = ["the weather was fine and we went down to the river", "a long letter about nothing at all", "the boat is ready when you are"]
+    rows = [(k, f"{texts[k % 3]} {k}\nsubscribe to our newsletter", "en", f"s{k}", 0.25, "keep", 3, "z") for k in range(30)]
+    rows = [(k, t, l, s, len(t), *more) for k, t, l, s, *more in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, `_x_key` string, n_lines int, `a.b` string"
+    docs = spark.createDataFrame(rows, schema)
+    spoken = corpus_pipeline.language_stage(spark, docs, SF)
+    assert spoken.schema == docs.schema and sorted(map(tuple, spoken.collect())) == sorted(map(tuple, docs.collect()))
+    lines = corpus_pipeline.line_stage(spark, docs, SF)
+    assert lines.columns == docs.columns and lines.where("n_chars <> length(text)").count() == 0
+    got = {r.doc_id: r for r in lines.collect()}
+    assert len(got) == 30 and "newsletter" in got[0].text and all("newsletter" not in got[k].text for k in range(1, 30))
+    assert {tuple(r)[5:] for r in got.values()} == {(0.25, "keep", 3, "z")}
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.benchmark_stage):
+        assert {tuple(r)[5:] for r in stage(spark, docs, SF).collect()} == {(0.25, "keep", 3, "z")}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
