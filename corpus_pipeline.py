@@ -9,21 +9,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, decontaminate, language, linededup, queries, simhash
-from cadenza.llm.base import table
+from cadenza.llm.base import free_prefix, table
 from cadenza.session import stage
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or unlike any language of the corpus."""
-    model = language.fit_language(docs)
-    return language.identify(docs, model).where("not rejected").select(*docs.columns)
+    model, own = language.fit_language(docs), free_prefix(docs)
+    found = language.identify(docs, model, own).where(~F.col(f"{own}rejected"))
+    return found.drop(*(c for c in found.columns if c.startswith(own)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines from texts; no document is dropped."""
-    return linededup.remove_boilerplate(docs).select(*docs.columns)
+    """Removes boilerplate lines from texts and counts n_chars anew; no document is dropped."""
+    own = free_prefix(docs)
+    found = linededup.remove_boilerplate(docs, prefix=own)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col(f"{own}n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return found.drop(*(c for c in found.columns if c.startswith(own)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
