@@ -119,6 +119,9 @@ cand AS (
   SELECT a.norm, b.norm, a.k, b.k, a.p, b.p, a.n, b.n FROM a JOIN words b ON left(a.norm, 3) = left(b.norm, 3) AND a.n >= 3 AND b.n >= 3
   UNION
   SELECT a.norm, b.norm, a.k, b.k, a.p, b.p, a.n, b.n FROM a JOIN words b ON a.norm = b.norm
+  UNION
+  SELECT a.norm, b.norm, a.k, b.k, a.p, b.p, a.n, b.n FROM a JOIN words b
+    ON left(a.k, 1) = left(b.k, 1) AND a.k <> '' AND least(a.n, b.n) >= 0.78 * greatest(a.n, b.n)
 ),
 sim AS (
   SELECT *, 0.65::DOUBLE * (1 - levenshtein(pa, pb) / greatest(la, lb, 1))

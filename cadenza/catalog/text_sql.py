@@ -78,7 +78,7 @@ def phonetic_sql(word: str) -> str:
     for group, code in PHONETIC_LETTERS.items():
         key = f"regexp_replace({key}, '[{group}]', '{code}', 'g')"
     key = f"regexp_replace({key}, '[A-Z_]', '', 'g')"
-    return f"upper(replace(substr({key}, 1, 6), 'q', 'ks'))"
+    return f"upper(replace(regexp_extract(replace({key}, 'q', 'k~'), '^.{{0,6}}~?'), '~', 's'))"
 
 
 def split_words(text: str) -> str:

@@ -225,8 +225,10 @@ def phonetic(word: Column) -> Column:
             key = F.regexp_replace(key, pattern, code.replace("\\", "$"))
     letters = "".join(PHONETIC_LETTERS)
     codes = "".join(code * len(group) for group, code in PHONETIC_LETTERS.items())
-    key = F.substring(F.translate(key, letters + "AEIOUYHW_", codes), 1, PHONETIC_LENGTH)
-    return F.upper(F.replace(key, F.lit("q"), F.lit("ks")))
+    key = F.replace(F.translate(key, letters + "AEIOUYHW_", codes), F.lit("q"), F.lit("k~"))
+    # an X counts as two codes; one that begins within the length keeps both
+    key = F.regexp_extract(key, f"^.{{0,{PHONETIC_LENGTH}}}~?", 0)
+    return F.upper(F.replace(key, F.lit("~"), F.lit("s")))
 
 
 def sung_words(text: Column) -> Column:

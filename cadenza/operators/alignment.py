@@ -177,20 +177,49 @@ def exact_score(norm: Column) -> Column:
     return EXACT + F.when(F.length(norm) >= LONG_LENGTH, LONG_BONUS).otherwise(0.0)
 
 
+def _by_letter_pairs(tokens: DataFrame, side: str, target: float) -> DataFrame:
+    """Rows (first sound, letter pair, length) by which tokens of one first sound must meet.
+
+    ``target`` bounds the edits of a pair of tokens.  Each edit takes at most two of a
+    token's distinct letter pairs, so the smallest common one (by hash) is among the first
+    ``2 * edits + 1`` of both.  Side ``b`` lists the lengths of possible partners instead of
+    its own.
+    """
+    needed = (target - SOUND_SHARE * SAME_FIRST_SOUND) / EDIT_SHARE
+    word, sound = F.col(f"norm_{side}"), F.substring(f"key_{side}", 1, 1)
+    size = F.length(word)
+    longest = F.floor(size / F.lit(needed) + 1e-9).cast("int")
+    edits = F.floor(longest * (1.0 - needed) + 1e-9).cast("int")
+    pairs = F.array_sort(F.array_distinct(
+        F.transform(F.sequence(F.lit(1), size - 1), lambda p: F.xxhash64(F.substring(word, p, 2)))
+    ))
+    lengths = F.sequence(F.ceil(size * needed - 1e-9).cast("int"), longest)
+    return tokens.filter((edits >= 1) & (sound != "")).select(
+        "*",
+        sound.alias("__sound"),
+        F.explode(F.slice(pairs, 1, 2 * edits + 1)).alias("__pair"),
+        lengths.alias("__lengths") if side == "b" else size.alias("__n"),
+    )
+
+
 def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0) -> DataFrame:
-    """Pairs of distinct tokens ``[norm, phonetic]`` that sound alike or share a 3-letter start.
+    """All pairs of distinct tokens ``[norm, phonetic]`` that score ``least`` or more (1 at least).
 
-    Three disjoint joins: equal tokens, equal phonetic keys, and equal starts.  In the last
-    the lengths must be close enough for the score to be reachable, so the key holds the
-    length as well and large blocks fall apart.
+    Four disjoint joins: equal tokens, equal phonetic keys, equal 3-letter starts, and equal
+    first sounds.  In the last two the lengths must be close enough for the score to be
+    reachable, so the key holds the length as well and large blocks fall apart; in the last
+    one tokens must also share one of the first letter pairs in a fixed order, of which an
+    edit changes two at most.  Nothing else can reach a score of 1.
     """
+    if least < 1.0:
+        raise ValueError("tokens that share neither sound nor start are only ruled out from a score of 1 on")
     a = a.select(F.col("norm").alias("norm_a"), F.col("phonetic").alias("key_a")).distinct()
     b = b.select(F.col("norm").alias("norm_b"), F.col("phonetic").alias("key_b")).distinct()
     differ = F.col("norm_a") != F.col("norm_b")
     equal = a.join(b, F.col("norm_a") == F.col("norm_b"))
     sounding = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("key_a") != "") & differ)
     # least share of equal letters that can still reach the score when the sounds differ
-    target = STRONG + (least - 1.0) / 2.0 if least >= 1.0 else WEAK + max(0.0, least - 0.15) / 1.5
+    target = STRONG + (least - 1.0) / 2.0
     near = max(0.0, (target - PREFIX_BONUS - SOUND_SHARE * SAME_FIRST_SOUND) / EDIT_SHARE)
     start = F.substring("norm_a", 1, PREFIX)
     size = F.length("norm_b")
@@ -204,7 +233,15 @@ def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0) -> DataFram
         ),
         ["__p", "__n"],
     ).filter(differ & ((F.col("key_a") != F.col("key_b")) | (F.col("key_a") == ""))).drop("__p", "__n")
-    every = equal.unionByName(sounding).unionByName(starting)
+    alike_first = _by_letter_pairs(a, "a", target).join(
+        _by_letter_pairs(b, "b", target).withColumn("__n", F.explode("__lengths")).drop("__lengths"),
+        ["__sound", "__pair", "__n"],
+    ).filter(
+        differ & (F.col("key_a") != F.col("key_b"))
+        & ((F.least(F.length("norm_a"), F.length("norm_b")) < PREFIX)
+           | (F.substring("norm_a", 1, PREFIX) != F.substring("norm_b", 1, PREFIX)))
+    ).select("norm_a", "key_a", "norm_b", "key_b").distinct()
+    every = equal.unionByName(sounding).unionByName(starting).unionByName(alike_first)
     # the difference in length alone bounds the score; only the rest is compared letter by letter
     la, lb = F.length("norm_a"), F.length("norm_b")
     sound = F.when(F.col("key_a") == F.col("key_b"), SOUND_SHARE).otherwise(SOUND_SHARE * SAME_FIRST_SOUND)

@@ -50,6 +50,8 @@ def test_normal_form(spark, raw, norm):
         ("nation", "NXN"),
         ("xylo", "SL"),
         ("taxi", "TKS"),
+        ("extravagant", "AKSTRF"),
+        ("bodofolomox", "PTFLMKS"),
         ("aha", "AH"),
         ("away", "AA"),
         ("wrote", "RT"),
