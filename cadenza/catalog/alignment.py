@@ -52,8 +52,10 @@ QUERIES = {
 _PAIRS = f"""
 dw AS (SELECT doc_id AS hyp_id, {split_words('lower(text)')} AS w FROM documents),
 bw AS (SELECT item_id AS ref_id, {split_words('lower(text)')} AS w FROM benchmark),
-ds AS (SELECT DISTINCT hyp_id, array_to_string(w[p:p + 4], ' ') AS s FROM dw, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS p)),
-bs AS (SELECT DISTINCT ref_id, array_to_string(w[p:p + 4], ' ') AS s FROM bw, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS p)),
+bm AS (SELECT ref_id, w, least(5, len(w)) AS m FROM bw WHERE len(w) > 0),
+bs AS (SELECT DISTINCT ref_id, array_to_string(w[p:p + m - 1], ' ') AS s FROM bm, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS p)),
+dm AS (SELECT hyp_id, w, m FROM dw, (SELECT DISTINCT m FROM bm)),
+ds AS (SELECT DISTINCT hyp_id, array_to_string(w[p:p + m - 1], ' ') AS s FROM dm, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS p)),
 bn AS (SELECT ref_id, count(*) AS n FROM bs GROUP BY ref_id),
 pairs AS (
   SELECT ref_id, hyp_id, round(count(*) / any_value(n), 6) AS containment
@@ -70,8 +72,8 @@ heard0 AS (
   SELECT hyp_id, norm, pos, row_number() OVER (PARTITION BY hyp_id ORDER BY pos) - 1 AS j
   FROM td JOIN vocab USING (raw) WHERE part = 0 AND pos % 7 <> 3 AND hyp_id IN (SELECT hyp_id FROM pairs)
 ),
-sheet AS (SELECT ref_id * 10000000000 + hyp_id AS pair_id, i, norm FROM sheet0 JOIN pairs USING (ref_id)),
-heard AS (SELECT ref_id * 10000000000 + hyp_id AS pair_id, j, pos, norm FROM heard0 JOIN pairs USING (hyp_id))"""
+sheet AS (SELECT ref_id || ':' || hyp_id AS pair_id, i, norm FROM sheet0 JOIN pairs USING (ref_id)),
+heard AS (SELECT ref_id || ':' || hyp_id AS pair_id, j, pos, norm FROM heard0 JOIN pairs USING (hyp_id))"""
 
 _BLOCKS = _TOKENS + """,
 rg AS (SELECT pair_id, i, norm || ' ' || lead(norm, 1) OVER w || ' ' || lead(norm, 2) OVER w AS g FROM sheet WINDOW w AS (PARTITION BY pair_id ORDER BY i)),

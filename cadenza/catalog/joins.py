@@ -136,7 +136,8 @@ QUERIES = {
     "anchor_warp": lambda s, d: warped(s, d)[0],
     "anchor_warp_words": lambda s, d: warped(s, d)[1],
     "frame_active": lambda s, d: J.frame_active(
-        B.captions(s, d), T.caption_words_even(B.captions(s, d)), 4, 100_000, -40_000
+        # every third caption has no words of its own
+        B.captions(s, d), T.caption_words_even(B.captions(s, d).filter("idx % 3 <> 0")), 4, 100_000, -40_000
     ),
     "style_cascade": styles,
     "word_line_join": attached,
@@ -256,7 +257,7 @@ SELECT track_id, frame, idx,
        count(*) FILTER (WHERE frame * 250000 + 100000 < start_us - 40000) AS future,
        count(*) FILTER (WHERE frame * 250000 + 100000 >= greatest(start_us, end_us) - 40000) AS past,
        count(*) FILTER (WHERE frame * 250000 + 100000 >= start_us - 40000 AND frame * 250000 + 100000 < end_us - 40000) AS active
-FROM f JOIN even_words USING (track_id, idx) GROUP BY track_id, frame, idx""",
+FROM f LEFT JOIN even_words USING (track_id, idx) GROUP BY track_id, frame, idx""",
     "style_cascade": """
 WITH p AS (
   SELECT n_nationkey AS project_id, CASE WHEN n_nationkey % 6 = 0 OR r_regionkey IS NULL THEN 0 ELSE n_regionkey END AS base_id,

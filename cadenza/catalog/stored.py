@@ -36,7 +36,7 @@ def transcripts(spark, sf_dir):
     good = F.to_json(F.struct("text", F.lit("en").alias("language"), timed.alias("words"), segment.alias("segments")))
     bad = F.to_json(F.struct("text", F.lit("n/a").alias("words"), segment.alias("segments")))
     return B.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("track_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("track_id"),
         F.when(F.col("conv_id") % 10 == 0, bad).otherwise(good).alias("json"),
     )
 
@@ -189,7 +189,7 @@ QUERIES = {
 
 _TURNS = r"""
 turns AS (
-  SELECT conv_id * 1000 + turn AS track_id, conv_id, text,
+  SELECT conv_id || ':' || turn AS track_id, conv_id, text,
          list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r\x{A0}]+'), lambda w: w <> '') AS w
   FROM conversations
 )"""

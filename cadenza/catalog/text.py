@@ -119,11 +119,12 @@ heads AS (
 SELECT d.doc_id, arg_max(value, pos) FILTER (WHERE kind = 'title') AS title,
        arg_max(value, pos) FILTER (WHERE kind = 'artist') AS artist
 FROM documents d LEFT JOIN heads USING (doc_id) GROUP BY d.doc_id""",
-    "token_dim": "WITH tokens AS (SELECT unnest(" + split_words("text") + ") AS raw FROM documents),"
-    + vocab_ctes("SELECT raw FROM tokens") + f""",
-freqs AS (SELECT raw, count(*) AS freq FROM tokens GROUP BY raw)
-SELECT raw, freq, part, norm, {phonetic_sql('norm')} AS phonetic, {syllables_sql('norm')} AS syllables
-FROM vocab JOIN freqs USING (raw)""",
+    "token_dim": "WITH tokens AS (SELECT unnest(" + split_words("text") + ") AS raw FROM documents),\n"
+    "freqs AS MATERIALIZED (SELECT raw, count(*) AS freq FROM tokens GROUP BY raw),"
+    + vocab_ctes("SELECT raw FROM freqs") + f""",
+forms AS MATERIALIZED (SELECT DISTINCT norm FROM vocab),
+sounds AS MATERIALIZED (SELECT norm, {phonetic_sql('norm')} AS phonetic, {syllables_sql('norm')} AS syllables FROM forms)
+SELECT raw, freq, part, norm, phonetic, syllables FROM vocab JOIN freqs USING (raw) JOIN sounds USING (norm)""",
     "timecode_cols": "WITH " + TIMED_WORDS + """,
 s AS (
   SELECT event_id, start_us - 5000000 + event_id % 997 AS at_us,

@@ -59,7 +59,7 @@ v5 AS (
 ),
 v6 AS (SELECT raw, replace(s, '’', '''') AS s FROM v5),
 v7 AS (SELECT raw, {_case("replace(s, '''', '')", CONTRACTIONS)} AS s FROM v6),
-vocab AS (
+vocab AS MATERIALIZED (
   SELECT raw, unnest(p) AS norm, generate_subscripts(p, 1) - 1 AS part
   FROM (SELECT raw, list_filter(string_split(s, ' '), lambda x: x <> '') AS p FROM v7)
 )"""

@@ -31,18 +31,7 @@ def synced(spark, sf_dir):
         F.lit(0.2).alias("confidence"),
         F.col("idx").alias("anchor_id"),
     )
-    return run_sync(lines, heard, segments, durations, known_words(spark, sf_dir), anchors)
-
-
-def known_words(spark, sf_dir):
-    """Vocabulary that also knows the comparison forms, since the transcript is given in them."""
-    vocabulary = B.vocabulary(spark, sf_dir)
-    forms = vocabulary.groupBy("norm").agg(F.first("phonetic").alias("phonetic"), F.first("syllables").alias("syllables"), F.sum("freq").alias("freq"))
-    own = forms.select(
-        F.col("norm").alias("raw"), F.lit(0).cast("bigint").alias("part"), "norm", "phonetic", "syllables", "freq"
-    )
-    raw = vocabulary.select("raw", "part", "norm", "phonetic", "syllables", "freq")
-    return stage(raw.unionByName(own.join(raw.select("raw").distinct(), ["raw"], "left_anti")), "known-words")
+    return run_sync(lines, heard, segments, durations, B.vocabulary(spark, sf_dir), anchors)
 
 
 QUERIES = {

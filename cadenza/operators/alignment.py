@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from cadenza.functions.text import words_of
+from cadenza.operators.text import token_forms
 from cadenza.session import configure, stage
 
 # the Arrow function travels with the job, so executors need no copy of this package
@@ -43,15 +44,19 @@ def wide_hash(*values: Column) -> Column:
     return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("#"), *values).alias("b"))
 
 
-def shingles(texts: DataFrame, idents: list[str], k: int) -> DataFrame:
-    """Runs of ``k`` lower-case words of each text as hashes, repeats included."""
-    hashed = F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w))
+def word_runs(k: int) -> Column:
+    """Hashes of the runs of ``k`` words in array ``w``; null for fewer words."""
     runs = F.transform(
         F.sequence(F.lit(0), F.size("w") - k),
         lambda p: wide_hash(*[F.get("w", p + d) for d in range(k)]),
     )
-    long_enough = F.when(F.size("w") >= k, runs)
-    return texts.select(*idents, hashed.alias("w")).select(*idents, F.explode(long_enough).alias("s"))
+    return F.when(F.size("w") >= k, runs)
+
+
+def shingles(texts: DataFrame, idents: list[str], runs: Column) -> DataFrame:
+    """``runs`` of lower-case words of each text as hashes, repeats included."""
+    hashed = F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w))
+    return texts.select(*idents, hashed.alias("w")).select(*idents, F.explode(runs).alias("s"))
 
 
 def align_pairs(ref: DataFrame, hyp: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
@@ -61,12 +66,18 @@ def align_pairs(ref: DataFrame, hyp: DataFrame, k: int = 5, least: float = 0.5)
     to the runs that occur in some reference; texts themselves are never shuffled.  Exact
     copies are then treated as one and multiplied at the end.  A pair that reaches the
     share must have one of the reference's rarest runs in common, so only those go through
-    the candidate join; runs found everywhere never meet.
+    the candidate join; runs found everywhere never meet.  A reference of fewer than ``k``
+    words, but not none, is one run.
     """
-    ref_runs = stage(shingles(ref, ["ref_id"], k).distinct(), "ref-shingles")
+    whole_or_k = F.coalesce(*[F.when(F.size("w") == m, word_runs(m)) for m in range(1, k)], word_runs(k))
+    ref_runs = stage(shingles(ref, ["ref_id"], whole_or_k).distinct(), "ref-shingles")
+    # at most k numbers: the lengths of run that occur in references
+    sizes = ref.select(F.least(F.lit(k), F.size(words_of(F.lower("text")))).alias("m")).distinct()
+    lengths = sorted(r["m"] for r in sizes.collect() if r["m"] and r["m"] > 0) or [k]
+    every_length = F.flatten(F.array_compact(F.array(*[word_runs(m) for m in lengths])))
     content = hyp.select("hyp_id", "text", wide_hash(F.col("text")).alias("h"))
     known = stage(
-        shingles(content, ["hyp_id", "h"], k).join(ref_runs.select("s").distinct(), ["s"], "left_semi"),
+        shingles(content, ["hyp_id", "h"], every_length).join(ref_runs.select("s").distinct(), ["s"], "left_semi"),
         "known-shingles",
     )
     copies = known.select("h", "hyp_id").distinct()
@@ -109,13 +120,18 @@ def normalize_tokens(
 ) -> DataFrame:
     """Attach norm and phonetic key from a ``token_dim`` table.
 
-    The reference side keeps every part of a contraction, the transcript side the first.
-    Tokens that make up at least a ten-thousandth of the text, at most ten thousand of
-    them, are broadcast; the shuffle then has no hot word left.
+    Tokens that the table does not list are normalised here, once each; only tokens whose
+    normal form is empty leave.  The reference side keeps every part of a contraction, the
+    transcript side the first.  Tokens that make up at least a ten-thousandth of the table's
+    text, at most ten thousand of them, are broadcast; the shuffle then has no hot word left.
     """
-    parts = vocabulary.filter("part = 0") if first_part_only else vocabulary
+    new = rows.select("raw").distinct().join(vocabulary.select("raw").distinct(), ["raw"], "left_anti")
+    new = token_forms(new.withColumn("freq", F.lit(0).cast("bigint")))
+    wanted = ["raw", "freq", *dict.fromkeys(("part", *columns))]
+    parts = vocabulary.select(*wanted).unionByName(new.select(*wanted))
+    parts = parts.filter("part = 0") if first_part_only else parts
     total = vocabulary.filter("part = 0").agg(F.sum("freq").alias("all")).scalar()
-    common = F.col("freq") * COMMON_SHARE >= total
+    common = F.coalesce(F.col("freq") * COMMON_SHARE >= total, F.lit(False)) & (F.col("freq") > 0)
     parts = parts.select("raw", *columns, common.alias("common"))
     frequent = F.broadcast(parts.filter("common").drop("common"))
     rare = parts.filter("not common").drop("common")

@@ -260,25 +260,39 @@ def frame_active(
 ) -> DataFrame:
     """Captions drawn on each video frame, with their words counted by state.
 
-    A caption lists its own frames, so frames and captions meet without a range join.
+    ``captions[track_id, idx, start_us, end_us, text, ...]``; one without a row in ``words``
+    gets its words evenly, one without any word is drawn with no word in any state.  A
+    caption lists its own frames and holds its words as one array, so frames meet neither
+    captions nor words in a join, and no frame row is shuffled.
     """
+    from cadenza.operators.tracks import caption_words_even
+
+    on = ["track_id", "idx"]
+    bare = captions.join(words.select(*on).distinct(), on, "left_anti")
+    spans = [*on, "start_us", "end_us"]
+    every = words.select(*spans).unionByName(caption_words_even(bare).select(*spans))
+    held = every.groupBy(*on).agg(F.collect_list(F.struct("start_us", "end_us")).alias("__words"))
     margin = seconds(0.05)
     first = F.ceil((F.col("start_us") - margin - offset_us) * fps / F.lit(1_000_000)).cast("bigint")
     last = F.floor((F.col("end_us") + margin - offset_us) * fps / F.lit(1_000_000)).cast("bigint")
     drawn = captions.select(
         "track_id", "idx", F.greatest(F.lit(0), first).alias("__a"), last.alias("__b")
     ).filter("__b >= __a")
-    frames = drawn.select("track_id", "idx", F.explode(F.sequence("__a", "__b")).alias("frame"))
-    at = frame_start(F.col("frame"), fps) + offset_us
-    lo, hi = F.col("start_us") + lead_us, F.col("end_us") + lead_us
-    return (
-        frames.join(words.select("track_id", "idx", "start_us", "end_us"), ["track_id", "idx"])
-        .groupBy("track_id", "frame", "idx")
-        .agg(
-            F.count_if(at < lo).alias("future"),
-            F.count_if((at >= lo) & (at >= hi)).alias("past"),
-            F.count_if((at >= lo) & (at < hi)).alias("active"),
-        )
+    frames = drawn.join(held, on, "left").select(
+        *on, "__words", F.explode(F.sequence("__a", "__b")).alias("frame")
+    )
+    at = frame_start(F.col("frame"), fps) + offset_us - lead_us
+
+    def count(state) -> Column:
+        return F.coalesce(F.size(F.filter("__words", state)), F.lit(0)).cast("bigint")
+
+    return frames.select(
+        "track_id",
+        "frame",
+        "idx",
+        count(lambda w: at < w["start_us"]).alias("future"),
+        count(lambda w: (at >= w["start_us"]) & (at >= w["end_us"])).alias("past"),
+        count(lambda w: (at >= w["start_us"]) & (at < w["end_us"])).alias("active"),
     )
 
 

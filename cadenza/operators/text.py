@@ -25,7 +25,11 @@ def token_dim(tokens: DataFrame) -> DataFrame:
     The work follows the size of the vocabulary; the corpus is only counted.  Python sees
     the distinct non-ASCII tokens alone.
     """
-    vocab = stage(tokens.groupBy("raw").agg(F.count(F.lit(1)).alias("freq")), "vocabulary")
+    return token_forms(stage(tokens.groupBy("raw").agg(F.count(F.lit(1)).alias("freq")), "vocabulary"))
+
+
+def token_forms(vocab: DataFrame) -> DataFrame:
+    """The same for given distinct tokens ``[raw, freq]``; tokens that normalise to nothing leave."""
     foreign = F.col("raw").rlike("[^\\x00-\\x7F]")
     composed = vocab.filter(~foreign).withColumn("__c", F.col("raw")).unionByName(
         vocab.filter(foreign).withColumn("__c", nfkc("raw"))

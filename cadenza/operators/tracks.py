@@ -49,7 +49,9 @@ def monotone_reject(matches: DataFrame, backstep_us: int = BACKSTEP_US) -> DataF
             (row["start_us"] >= before["at"] - backstep_us).alias("accepted"),
         )
 
-    return chunked_fold(matches, TRACK, "i", ["start_us"], lowest, step, emit)
+    # the last accepted start is mostly the highest one so far
+    guess = ("start_us", lambda highest: F.struct(highest.alias("at")))
+    return chunked_fold(matches, TRACK, "i", ["start_us"], lowest, step, emit, guess=guess)
 
 
 def gap_interpolate(tokens: DataFrame, durations: DataFrame) -> DataFrame:
@@ -545,12 +547,11 @@ def line_realign(
         ),
         ["track_id", "idx"],
     )
-    # one number per word; a caption holds far fewer than a million words
-    placed = stage(placed.withColumn("n", F.col("idx") * 1_000_000 + F.col("k")), "placed-words")
+    placed = stage(placed.withColumn("n", F.struct("idx", "k")), "placed-words")
     snapped = stage(nearest_onset(placed, onsets), "snapped-words")
     words = snapped.join(placed.select("track_id", "n", "idx", "k", "text"), ["track_id", "n"])
     syllabic = words.select("track_id", "n", "start_us", "end_us", syllables(F.col("text")).alias("syllables"))
-    starts = syllable_starts(syllabic, onsets)
+    starts = syllable_starts(syllabic, onsets).select("track_id", "n.idx", "n.k", "syllable", "start_us")
     scores = realign_confidence(
         lines.select("track_id", F.col("idx").alias("line_index")),
         words.select("track_id", F.col("idx").alias("line_index"), "confidence"),

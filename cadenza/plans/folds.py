@@ -1,7 +1,8 @@
 """Folds whose next step needs the previous *result*, over tracks of any length.
 
 The track is cut into chunks of at most ``size`` rows.  Every chunk is folded from a
-guessed entry state; chunks whose guess differs from the exit state of the chunk before
+guessed entry state (where a rule can tell, one made from the highest value before the
+chunk, else the start of a track); chunks whose guess differs from the exit state of the chunk before
 are folded again, until nothing changes.  Each round fixes at least one more chunk of
 every track, and the timing rules here forget their state within a few rows, so two
 rounds are usual.  The outcome is exactly that of one long fold, yet no task ever
@@ -32,11 +33,14 @@ def chunked_fold(
     step: Step,
     emit: Callable[[Column, Column, Column], Column],
     size: int | None = None,
+    guess: tuple[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Fold each track in ``index`` order and emit one row per input row.
 
     ``start`` is the entry state (a struct), ``step(state, row)`` the next state and
     ``emit(before, row, after)`` the struct emitted.  ``index`` must be unique per track.
+    ``guess`` names a field and makes the likely entry state of a chunk from the highest
+    value of that field before it; a wrong guess costs a round, never the result.
     """
     size = size or FOLD_ROWS
     packed = stage(
@@ -50,7 +54,14 @@ def chunked_fold(
     def exits(df: DataFrame) -> DataFrame:
         return df.select(*on, "__in", F.aggregate("__items", F.col("__in"), step).alias("__out"))
 
-    states = stage(exits(packed.withColumn("__in", start)), "fold-state")
+    entered = packed.withColumn("__in", start)
+    if guess is not None:
+        field, state_of = guess
+        tops = packed.select(*on, F.array_max(F.col(f"__items.{field}")).alias("__top"))
+        tops = scan(tops, keys, ["__part"], by_rows("__part"), max_before={"__high": F.col("__top")})
+        likely = F.when(F.col("__high").isNotNull(), state_of(F.col("__high"))).otherwise(start)
+        entered = packed.join(tops.select(*on, "__high"), on).withColumn("__in", likely)
+    states = stage(exits(entered), "fold-state")
     while True:
         linked = scan(states, keys, ["__part"], by_rows("__part"), lag={"__prev": F.col("__out")})
         linked = linked.withColumn("__new", F.coalesce("__prev", start))

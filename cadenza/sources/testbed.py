@@ -176,7 +176,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items found in documents; an item and a document make one pair number."""
+    """Benchmark items found in documents; the numbers of item and document name the pair."""
     from cadenza.operators.alignment import align_pairs
 
     def build() -> DataFrame:
@@ -185,7 +185,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return align_pairs(ref, hyp)
 
     found = _once(spark, sf_dir, "pairs", build)
-    return found.withColumn("pair_id", F.col("ref_id") * 10_000_000_000 + F.col("hyp_id"))
+    return found.withColumn("pair_id", F.concat_ws(":", "ref_id", "hyp_id"))
 
 
 def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

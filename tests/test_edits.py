@@ -34,30 +34,30 @@ def spans(df):
 
 
 def test_ripple_keeps_gaps(spark):
-    df = E.edit_ripple(caps(spark, (1, 2), (2.4, 3.4), (3.8, 4.8)), edit(spark, 0, "out", 2.5), length(spark, 20))
-    assert spans(df) == [(1, 2.5), (2.9, 3.9), (4.3, 5.3)]
+    df = E.edit_ripple(caps(spark, (3, 5), (5.5, 6.5), (7.25, 9)), edit(spark, 0, "out", 5.75), length(spark, 40))
+    assert spans(df) == [(3, 5.75), (6.25, 7.25), (8, 9.75)]
     assert not any(r.clamped for r in df.collect())
 
 
 def test_ripple_stops_at_the_end(spark):
-    df = E.edit_ripple(caps(spark, (8, 9), (9.2, 9.8)), edit(spark, 0, "out", 12), length(spark, 10))
-    assert spans(df) == [(8, 9.2), (9.4, 10)]
+    df = E.edit_ripple(caps(spark, (21, 23), (23.5, 24.5)), edit(spark, 0, "out", 31), length(spark, 25))
+    assert spans(df) == [(21, 23.5), (24, 25)]
     assert [r.clamped for r in df.orderBy("idx").collect()] == [True, False]
 
 
 def test_move_shifts_the_tail(spark):
-    df = E.edit_ripple(caps(spark, (1, 2), (3, 4)), edit(spark, 0, "move", 1.5), length(spark, 20))
-    assert spans(df) == [(1.5, 2.5), (3.5, 4.5)]
+    df = E.edit_ripple(caps(spark, (4, 7), (8, 8.5)), edit(spark, 0, "move", 4.25), length(spark, 40))
+    assert spans(df) == [(4.25, 7.25), (8.25, 8.75)]
 
 
 def test_roll_keeps_the_span(spark):
-    rolls = spark.createDataFrame([(1, 0, us(2.6))], "track_id bigint, idx bigint, boundary_us bigint")
-    assert spans(E.edit_roll(caps(spark, (1, 2), (2, 4)), rolls)) == [(1, 2.6), (2.6, 4)]
+    rolls = spark.createDataFrame([(1, 0, us(5.75))], "track_id bigint, idx bigint, boundary_us bigint")
+    assert spans(E.edit_roll(caps(spark, (3, 5), (5, 8)), rolls)) == [(3, 5.75), (5.75, 8)]
 
 
 def test_independent_leaves_neighbours(spark):
-    df = E.edit_independent(caps(spark, (1, 2), (3, 4)), edit(spark, 0, "out", 2.5, "edge"), length(spark, 20))
-    assert spans(df) == [(1, 2.5), (3, 4)]
+    df = E.edit_independent(caps(spark, (5, 6), (9, 11)), edit(spark, 0, "out", 7.25, "edge"), length(spark, 40))
+    assert spans(df) == [(5, 7.25), (9, 11)]
 
 
 def test_ripple_over_a_track_longer_than_a_chunk(spark):

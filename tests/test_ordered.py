@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.signals import onset_thin
 from cadenza.operators.tracks import monotone_reject, monotone_sweep
+from cadenza.plans import folds
 from cadenza.plans.folds import chunked_fold
 from cadenza.plans.ordered import by_time, nearest_neighbours, scan
 
@@ -130,3 +131,15 @@ def test_fold_whose_state_never_forgets(spark):
     emit = lambda a, x, b: F.struct(x["i"].alias("i"), b["sum"].alias("sum"))
     got = chunked_fold(df, ["track_id"], "i", ["v"], start, step, emit, size=4).orderBy("i").collect()
     assert [r["sum"] for r in got] == [sum(j % 5 for j in range(i + 1)) for i in range(40)]
+
+
+def test_early_outlier_costs_no_round_per_chunk(spark, monkeypatch):
+    staged = []
+    real = folds.stage
+    monkeypatch.setattr(folds, "stage", lambda df, name: staged.append(name) or real(df, name))
+    monkeypatch.setattr(folds, "FOLD_ROWS", 4)
+    n = 400
+    starts = [(1, i, 50_000_000 if i == 1 else i * 1000) for i in range(n)]
+    got = monotone_reject(spark.createDataFrame(starts, "track_id bigint, i bigint, start_us bigint")).filter("accepted")
+    assert sorted(r.i for r in got.collect()) == [0, 1]
+    assert staged.count("fold-state") <= 3

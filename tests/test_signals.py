@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cadenza.operators import signals as G
-from cadenza.operators.joins import nearest_onset, snap_nearest, snap_radius
+from cadenza.operators.joins import frame_active, nearest_onset, snap_nearest, snap_radius
 from pyspark.sql import functions as F
 
 RATE = 44_100
@@ -112,3 +112,13 @@ def test_loudness_summaries(spark):
     rms = {r.frame: r.rms for r in G.frame_rms(df, 1000).collect()}
     assert len(rms) == (1000 - frame) // hop
     assert all(abs(rms[f] - math.sqrt(sum(x * x for x in v[f * hop : f * hop + frame]) / frame)) < 1e-6 for f in rms)
+
+
+def test_captions_without_words_are_drawn(spark):
+    captions = spark.createDataFrame(
+        [(1, 0, 0, 1_000_000, "two words"), (1, 1, 1_000_000, 2_000_000, "also two"), (1, 2, 2_000_000, 3_000_000, "")],
+        "track_id bigint, idx bigint, start_us bigint, end_us bigint, text string",
+    ).withColumn("confidence", F.lit(0.5)).withColumn("instrumental", F.lit(False))
+    words = spark.createDataFrame([(1, 0, 0, 900_000)], "track_id bigint, idx bigint, start_us bigint, end_us bigint")
+    got = {(r.idx, r.frame): (r.future, r.past, r.active) for r in frame_active(captions, words, 4).collect()}
+    assert got[0, 2] == (0, 0, 1) and got[1, 5] == (1, 0, 1) and got[1, 7] == (0, 1, 1) and got[2, 9] == (0, 0, 0)
