@@ -1,7 +1,7 @@
 """Licence signatures: ``label | priority | keyword | pattern``, one rule a line.
 
 Patterns are read over normalised words with one space between (``GPL-3.0`` is ``gpl 3 0``).
-A rule is tried only on texts that hold its keyword.  Names and versions are fixed values.
+A rule is tried only on texts that hold its keyword, which is a word of all its matches.  Names and versions are fixed values.
 """
 
 RULES = r"""
@@ -19,7 +19,7 @@ mit | 85 | mit | released under the mit licen[sc]e
 mit | 85 | mit | licensed under the mit licen[sc]e
 mit | 95 | spdx | spdx license identifier mit
 mit | 82 | mit | opensource org licenses mit
-mit | 84 | furnished | permission is hereby granted free of charge to any person obtaining a copy( of this software)?
+mit | 84 | hereby | permission is hereby granted free of charge to any person obtaining a copy( of this software)?
 mit-0 | 90 | mit | mit no attribution
 mit-0 | 95 | spdx | spdx license identifier mit 0
 x11 | 80 | x11 | (the )?x11 licen[sc]e
@@ -38,7 +38,8 @@ bsd-3-clause | 88 | revised | revised bsd( licen[sc]e)?
 bsd-3-clause | 88 | bsd | (new|modified) bsd( licen[sc]e)?
 bsd-4-clause | 90 | bsd | (bsd 4 clause|4 clause bsd)( licen[sc]e)?
 bsd-4-clause | 95 | spdx | spdx license identifier bsd 4 clause
-bsd-0-clause | 90 | bsd | (bsd zero clause|zero clause bsd|0bsd)( licen[sc]e)?
+bsd-0-clause | 90 | bsd | (bsd zero clause|zero clause bsd)( licen[sc]e)?
+bsd-0-clause | 90 | 0bsd | 0bsd( licen[sc]e)?
 bsd-0-clause | 95 | 0bsd | spdx license identifier 0bsd
 bsd | 45 | bsd | bsd( style)? licen[sc]e
 bsd | 60 | redistribution | redistribution and use in source and binary forms with or without modification
@@ -174,7 +175,8 @@ cc-by-sa-3.0 | 88 | sharealike | creative commons attribution sharealike 3 0( un
 cc-by-sa | 80 | creative | creative commons attribution share ?alike
 cc-by-nc-4.0 | 88 | noncommercial | creative commons attribution noncommercial 4 0( international)?
 cc-by-nc | 80 | creative | creative commons attribution non ?commercial
-cc-by-nd-4.0 | 88 | noderivatives | creative commons attribution noderiv(ative)?s 4 0( international)?
+cc-by-nd-4.0 | 88 | noderivatives | creative commons attribution noderivatives 4 0( international)?
+cc-by-nd-4.0 | 88 | noderivs | creative commons attribution noderivs 4 0( international)?
 cc-by-nd | 80 | creative | creative commons attribution no ?deriv(ative|ativework)?s
 cc-by-nc-sa | 88 | sharealike | creative commons attribution noncommercial sharealike( 4 0| 3 0)?
 cc-by-nc-nd | 88 | noncommercial | creative commons attribution noncommercial noderiv(ative)?s( 4 0| 3 0)?
@@ -224,7 +226,8 @@ sspl-1.0 | 85 | server | server side public licen[sc]e( version 1)?
 elastic-2.0 | 85 | elastic | elastic licen[sc]e( 2 0| v2)?
 polyform | 80 | polyform | polyform (noncommercial|small business|shield|perimeter|strict)( licen[sc]e)?( 1 0 0)?
 commons-clause | 80 | clause | commons clause( licen[sc]e)?
-rail | 80 | rail | (open ?rail|creativeml open rail)( m)?( licen[sc]e)?
+rail | 80 | rail | (open rail|creativeml open rail)( m)?( licen[sc]e)?
+rail | 80 | openrail | openrail( m)?( licen[sc]e)?
 llama-community | 80 | llama | llama( 2| 3)? community licen[sc]e
 json | 80 | evil | the software shall be used for good not evil
 mulan-2.0 | 85 | mulan | mulan (psl|permissive software licen[sc]e)( v2| version 2)?

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from cadenza.llm import base, bpe, components, decontaminate, kn, language, licenses, linededup, queries, repeats, secrets, simhash, suffix, toxicity, vectors
+from cadenza.llm import base, bpe, components, decontaminate, kn, language, license_rules, licenses, linededup, queries, repeats, secrets, simhash, suffix, toxicity, vectors
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string"
@@ -209,6 +209,46 @@ def test_license_priorities(text, labels):
     assert {f.label for f in licenses.scan_text(text)[2]} == labels
 
 
+def expansions(parsed):
+    """Strings that a parsed pattern matches; wide classes by their first character."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            part = [chr(arg)]
+        elif kind == "IN":
+            literal = [chr(v) for k, v in arg if str(k) == "LITERAL"]
+            part = literal or [chr(v[0]) for k, v in arg if str(k) == "RANGE"][:1]
+        elif kind == "MAX_REPEAT":
+            low, high, inner = arg
+            one = expansions(inner)
+            part = [x for n in sorted({low, max(low, min(int(high), low + 1))}) for x in ([""] if n == 0 else [o * n for o in one])]
+        elif kind == "SUBPATTERN":
+            part = expansions(arg[3])
+        elif kind == "BRANCH":
+            part = [x for branch in arg[1] for x in expansions(branch)]
+        else:
+            raise ValueError(kind)
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_license_keyword_is_a_word_of_every_match():
+    for line in filter(None, license_rules.RULES.splitlines()):
+        label, priority, keyword, pattern = (x.strip() for x in line.split(" | ", 3))
+        for text in expansions(re._parser.parse(pattern)):
+            assert keyword in text.split(), (line, text)
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("OpenRAIL", "rail"), ("the OpenRAIL-M license", "rail"), ("0BSD", "bsd-0-clause"), ("0BSD license", "bsd-0-clause"),
+    ("Creative Commons Attribution-NoDerivs 4.0", "cc-by-nd-4.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+])
+def test_license_forms_without_the_former_keyword(text, label):
+    assert label in {f.label for f in licenses.scan_text(text)[2]}
+
+
 def test_license_suppression_by_interval():
     found = licenses.scan_text("GNU Lesser General Public License version 2.1 and GPL v3")[2]
     assert [f.label for f in found] == ["lgpl-2.1", "gpl-3.0"]
