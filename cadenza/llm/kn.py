@@ -2,8 +2,9 @@
 
 Texts are lower-cased, everything that is no letter becomes a space, and runs of spaces
 become one.  Counts of the longest n-grams are gathered from all training rows by a Spark
-aggregation; the most frequent ones (a documented bound) make the model, whose lower orders
-use continuation counts.  A model is a few numpy arrays of bounded size.
+aggregation, and so are continuation counts, discounts and probabilities of all orders.  The
+model stays in Parquet files and keeps every n-gram; a task reads them once for the texts it
+holds and takes what these need into sorted arrays.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.base import CHUNK_CHARS, pieces
-from cadenza.session import stage
+from cadenza.session import stage, stage_files
 
 SPACE = 32
+#: Characters of text for which a task reads the model once, at most, and n-grams read at a time.
+HELD_CHARS, READ_ROWS = 32_000_000, 65_536
 #: Counts by which a context of a class leans on the pooled model.
 PRIOR = 20.0
 _FACTORS = np.random.default_rng(20).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,72 +161,19 @@ def _hash(windows: np.ndarray) -> np.ndarray:
     return out + np.uint64(order)
 
 
-def _pooled(n: np.ndarray, how) -> np.ndarray:
-    return np.repeat(how(n, axis=1, keepdims=True), n.shape[1], axis=1)
-
-
-def _interpolated(
-    n: np.ndarray, head: np.ndarray, heads: int, below: np.ndarray, prior: float = 0.0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each n-gram with counts ``n``, and what each context leaves to ``below``.
-
-    ``prior`` counts more for every context are taken to follow ``below``.
-    """
-    ones, twos = (n == 1).sum(axis=0), (n == 2).sum(axis=0)
-    cut = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
-    total, kinds = np.zeros((heads, n.shape[1])), np.zeros((heads, n.shape[1]))
-    np.add.at(total, head, n)
-    np.add.at(kinds, head, n > 0)
-    weight = np.where(total > 0, (cut * kinds + prior) / np.maximum(total + prior, 1), 1.0)
-    return np.maximum(n - cut, 0) / np.maximum(total[head] + prior, 1) + weight[head] * below, weight
-
-
-class KneserNey:
-    """Log probabilities of every known n-gram for all classes, and backoff weights.
-
-    ``shared`` pools the counts of all orders over the classes; what is left to a class are
-    its own counts of the longest n-grams, discounted and filled up from the pooled model.
-    Classes then differ only where the counts of a class itself speak for it.
-    """
+@dataclass
+class Known:
+    """The part of a model that some texts need, by order: n-grams and contexts."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, classes: list[str], shared: bool = False):
-        self.order, self.classes = grams.shape[1], classes
-        self.tables: list[tuple[SortedHashes, np.ndarray]] = []
-        self.weights: list[tuple[SortedHashes, np.ndarray]] = []
-        levels = []
-        while True:
-            keys, first, inverse = np.unique(_hash(grams), return_index=True, return_inverse=True)
-            summed = np.zeros((len(keys), counts.shape[1]))
-            np.add.at(summed, inverse, counts)
-            grams = grams[first]
-            levels.append((keys, grams, summed))
-            if grams.shape[1] == 1:
-                break
-            # continuation counts: kinds of units seen before what remains
-            seen = (summed > 0).astype(float)
-            grams, counts = grams[:, 1:], _pooled(seen, np.max) if shared else seen
-        units = levels[-1][0].size + 1
-        below = np.full((1, len(classes)), 1 / units)
-        self.floor = np.log(below[0]).astype(np.float32)
-        for order, (keys, grams, n) in enumerate(reversed(levels), 1):
-            heads, inverse = np.unique(_hash(grams[:, :-1]), return_inverse=True)
-            if order > 1:
-                below = below[np.searchsorted(self._keys(order - 1), _hash(grams[:, 1:]))]
-            below, weight = _interpolated(_pooled(n, np.sum) if shared else n, inverse, len(heads), below)
-            if shared and order == self.order:
-                below, own = _interpolated(n, inverse, len(heads), below, PRIOR)
-                weight = weight * own
-            self.tables.append((SortedHashes(keys), np.log(below).astype(np.float32)))
-            self.weights.append((SortedHashes(heads), np.log(weight).astype(np.float32)))
-
-    def _keys(self, order: int) -> np.ndarray:
-        return self.tables[order - 1][0].keys
+    tables: list[tuple[SortedHashes, np.ndarray]]
+    weights: list[tuple[SortedHashes, np.ndarray]]
+    floor: np.ndarray
 
     def log_p(self, found: Positions, at: np.ndarray) -> np.ndarray:
         """Log probability of the unit at each place, one column for each class."""
-        out = np.zeros((len(at), len(self.classes)), np.float32)
+        out = np.zeros((len(at), len(self.floor)), np.float32)
         open_, where = np.arange(len(at)), at
-        for order in range(self.order, 0, -1):
+        for order in range(len(self.tables), 0, -1):
             hashes, values = self.tables[order - 1]
             place = hashes.find(found.grams(order)[where])
             hit = place >= 0
@@ -237,30 +189,176 @@ class KneserNey:
         return out
 
 
+def _windows(found: Positions, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the scored places: hashes in ascending order, and units."""
+    at = np.flatnonzero(found.scored())
+    keys, first = np.unique(found.grams(order)[at], return_index=True)
+    return keys, np.stack([found.units[at[first] - k] for k in range(order - 1, -1, -1)], axis=1)
+
+
+def _picked(files: list[str], wanted: np.ndarray) -> tuple[SortedHashes, np.ndarray]:
+    """Rows of a table of (key, values) whose key is wanted; never more than a batch beside them."""
+    keys, values = [np.zeros(0, np.uint64)], []
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(READ_ROWS):
+                key, column = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
+                offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(len(key), -1)
+                place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[place] == key) if len(wanted) else []
+                keys.append(key[hit])
+                values.append(data[hit])
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return SortedHashes(key[order]), np.concatenate(values)[order] if values else np.zeros((0, 1), np.float32)
+
+
+class KneserNey:
+    """Where the log probabilities of all n-grams and the backoff weights of all contexts lie.
+
+    ``shared`` pools the counts of all orders over the classes; what is left to a class are
+    its own counts of the longest n-grams, discounted and filled up from the pooled model.
+    Classes then differ only where the counts of a class itself speak for it.
+    """
+
+    def __init__(self, order: int, classes: list[str], cells: int, units: int):
+        self.order, self.classes, self.cells = order, classes, cells
+        self.floor = np.full(len(classes), -np.log(units), np.float32)
+        self.tables: list[list[str]] = []
+        self.weights: list[list[str]] = []
+
+    def known(self, windows: np.ndarray) -> Known:
+        """What the model has of these n-grams and of all that they fall back to."""
+        tables, weights = [], []
+        for order in range(1, self.order + 1):
+            own = windows[:, self.order - order :]
+            tables.append(_picked(self.tables[order - 1], np.unique(_hash(own))))
+            weights.append(_picked(self.weights[order - 1], np.unique(_hash(own[:, :-1]))))
+        return Known(tables, weights, self.floor)
+
+    def log_p(self, found: Positions, at: np.ndarray) -> np.ndarray:
+        return self.known(_windows(found, self.order)[1]).log_p(found, at)
+
+
+def known_chunks(
+    batches: Iterable[pa.RecordBatch], model: KneserNey
+) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, Known]]:
+    """``text_chunks`` with what the model knows of them.
+
+    The model is read once for ``HELD_CHARS`` characters, or fewer if these have more than
+    ``cells`` distinct n-grams times classes.
+    """
+    held, chars, pending = [], 0, 0
+    keys, windows = [], []
+
+    def compact() -> None:
+        nonlocal keys, windows, pending
+        one, first = np.unique(np.concatenate(keys), return_index=True)
+        keys, windows, pending = [one], [np.concatenate(windows)[first]], 0
+
+    def ready() -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, Known]]:
+        nonlocal held, chars, keys, windows, pending
+        compact()
+        known = model.known(windows[0])
+        for chunk in held:
+            yield *chunk, known
+        held, chars, keys, windows, pending = [], 0, [], [], 0
+
+    for batch, parts, owner in text_chunks(batches):
+        held.append((batch, parts, owner))
+        chars += sum(map(len, parts))
+        key, window = _windows(positions(parts, model.order - 1), model.order)
+        keys.append(key)
+        windows.append(window)
+        pending += len(key)
+        if pending > max(len(keys[0]), 200_000):
+            compact()
+        if chars >= HELD_CHARS or sum(map(len, keys)) * len(model.classes) >= model.cells:
+            compact()
+            if chars >= HELD_CHARS or len(keys[0]) * len(model.classes) >= model.cells:
+                yield from ready()
+    if held:
+        yield from ready()
+
+
+def _interpolated(level: DataFrame, names: list[str], prior: float = 0.0) -> DataFrame:
+    """Adds to the counts ``names`` what an n-gram has of its own (own_) and its context leaves (left_).
+
+    ``prior`` counts more for every context are taken to follow the order below.
+    """
+    row = level.agg(*[F.sum((F.col(c) == n).cast("long")).alias(f"{c}_{n}") for c in names for n in (1, 2)]).first()
+    context = Window.partitionBy("head")
+    for c in names:
+        ones, twos = row[f"{c}_1"] or 0, row[f"{c}_2"] or 0
+        cut = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+        total, kinds = F.sum(c).over(context), F.sum((F.col(c) > 0).cast("double")).over(context)
+        level = level.withColumns({
+            f"own_{c}": F.greatest(F.col(c) - cut, F.lit(0.0)) / F.greatest(total + prior, F.lit(1.0)),
+            f"left_{c}": F.when(total > 0, (kinds * cut + prior) / (total + prior)).otherwise(1.0),
+        })
+    return level
+
+
+def _packed(rows: DataFrame, gram: str, order: int, names: list[str]) -> list[str]:
+    """Files of (hash of the n-gram, logarithms as 32-bit numbers), sorted inside."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(batch.column("gram").to_pylist())
+            key = _hash(np.frombuffer(raw, np.uint16).reshape(len(batch), order))
+            values = np.log(np.stack([batch.column(c).to_numpy() for c in names], axis=1)).astype(np.float32)
+            width, data = 4 * len(names), values.tobytes()
+            packed = pa.array([data[k : k + width] for k in range(0, len(data), width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), packed], ["key", "packed"])
+
+    packed = rows.select(F.col(gram).alias("gram"), *names).mapInArrow(run, "key long, packed binary")
+    path = stage_files(packed.sortWithinPartitions("key"), "model")
+    return rows.sparkSession.read.schema("key long, packed binary").parquet(path).inputFiles()
+
+
 def fit(rows: DataFrame, order: int, cells: int, shared: bool = False) -> KneserNey | None:
-    """Model of (class, text); None without training rows.
+    """Model of (class, text) with every n-gram; None without training rows.
 
-    Keeps the ``cells / classes`` n-grams that are most frequent in any class.
+    ``cells`` bounds the n-grams times classes that a task looks up at a time.
     """
     counted = stage(count_grams(rows, order), "grams")
-    totals = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    classes = sorted(totals)
+    classes = sorted(r["class"] for r in counted.select("class").distinct().collect())
     if not classes:
         return None
-    share = F.create_map(*[x for k in classes for x in (F.lit(k), F.lit(1.0 / totals[k]))])
-    kept = (
-        counted.groupBy("gram")
-        .agg(F.max(F.col("n") * share[F.col("class")]).alias("most"),
-             F.collect_list(F.struct("class", "n")).alias("by"))
-        .orderBy(F.desc("most"), "gram")
-        .limit(max(1, cells // len(classes)))
-        .select("gram", "by")
-        .toArrow()
+    names = [f"n{k}" for k in range(len(classes))]
+    of = F.col("class")
+    top = counted.groupBy("gram").agg(
+        *[F.sum(F.when(of == c, F.col("n")).otherwise(0)).cast("double").alias(n) for n, c in zip(names, classes)]
     )
-    raw = b"".join(kept["gram"].to_pylist())
-    grams = np.frombuffer(raw, np.uint16).reshape(-1, order)
-    counts, column = np.zeros((len(grams), len(classes))), {c: k for k, c in enumerate(classes)}
-    for k, found in enumerate(kept["by"].to_pylist()):
-        for one in found:
-            counts[k, column[one["class"]]] = one["n"]
-    return KneserNey(grams, counts, classes, shared)
+    lower = ["pool"] if shared else names
+    if shared:
+        top = top.withColumn("pool", sum(F.col(n) for n in names))
+    levels = [stage(top, "counts")]
+    for k in range(order - 1, 0, -1):
+        # continuation counts: kinds of units seen before what remains
+        seen = [F.sum((F.col(n) > 0).cast("double")).alias(n) for n in lower]
+        levels.append(stage(levels[-1].groupBy(F.substring("gram", 3, 2 * k).alias("gram")).agg(*seen), "counts"))
+    units = levels[-1].count() + 1
+    model, below = KneserNey(order, classes, cells, units), None
+    for k, level in enumerate(reversed(levels), 1):
+        level = _interpolated(level.withColumn("head", F.substring("gram", 1, 2 * (k - 1))), lower)
+        own = shared and k == order
+        if own:
+            level = _interpolated(level, names, PRIOR)
+        if below is None:
+            level = level.withColumns({f"below_{n}": F.lit(1.0 / units) for n in lower})
+        else:
+            tails = below.select(F.col("gram").alias("tail"), *[F.col(f"p_{n}").alias(f"below_{n}") for n in lower])
+            level = level.withColumn("tail", F.substring("gram", 3, 2 * (k - 1))).join(tails, "tail")
+        value = {n: (F.col(f"own_{n}") + F.col(f"left_{n}") * F.col(f"below_{n}"), F.col(f"left_{n}")) for n in lower}
+        if own:
+            p, left = value["pool"]
+            value = {n: (F.col(f"own_{n}") + F.col(f"left_{n}") * p, F.col(f"left_{n}") * left) for n in names}
+        ps, ws = [v[0].alias(f"p_{n}") for n, v in value.items()], [v[1].alias(f"w_{n}") for n, v in value.items()]
+        below = stage(level.select("gram", "head", *ps, *ws), "level")
+        model.tables.append(_packed(below, "gram", k, [f"p_{n}" for n in value]))
+        heads = below.groupBy("head").agg(*[F.first(f"w_{n}").alias(f"w_{n}") for n in value])
+        model.weights.append(_packed(heads, "head", k - 1, [f"w_{n}" for n in value]))
+    return model

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import kn
 
 ORDER = 4
-#: Bound of the model: n-grams times languages.
+#: N-grams times languages that a task looks up at a time; the model itself has no bound.
 CELLS = 1_600_000
 #: Training rows that calibrate score and rejection.
 CALIBRATION_ROWS = 3_000
@@ -32,13 +32,15 @@ class LanguageModel:
         self.mean = np.full(len(model.classes), np.inf)
         self.limit = np.zeros(len(model.classes))
 
-    def entropies(self, texts: list[str], owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def entropies(
+        self, texts: list[str], owner: np.ndarray, rows: int, known: kn.Known
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, letters and mean negative log probability by language of each row."""
         found = kn.positions(texts, self.model.order - 1)
         inside = found.scored()
         at = np.flatnonzero(inside)
         values = np.zeros((len(inside), len(self.model.classes)))
-        values[at] = self.model.log_p(found, at)
+        values[at] = known.log_p(found, at)
         n, letters = np.zeros(rows), np.zeros(rows)
         total = np.zeros((rows, values.shape[1]))
         np.add.at(n, owner, found.sums(inside.astype(float)))
@@ -76,8 +78,8 @@ class LanguageModel:
 def _entropy_rows(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, parts, owner in kn.text_chunks(batches):
-            n, letters, entropy = model.entropies(parts, owner, len(batch))
+        for batch, parts, owner, known in kn.known_chunks(batches, model.model):
+            n, letters, entropy = model.entropies(parts, owner, len(batch), known)
             keep = letters > 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang").filter(pa.array(keep)), pa.array(n[keep]),
@@ -131,12 +133,13 @@ def identify(docs: DataFrame, model: LanguageModel | None, prefix: str = "") ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, parts, owner in kn.text_chunks(batches):
+        chunks = kn.known_chunks(batches, model.model) if model else ((*c, None) for c in kn.text_chunks(batches))
+        for batch, parts, owner, known in chunks:
             rows = len(batch)
             if model is None:
                 new = [["und"] * rows, [0.0] * rows, [0] * rows, [None] * rows, [True] * rows]
             else:
-                n, letters, entropy = model.entropies(parts, owner, rows)
+                n, letters, entropy = model.entropies(parts, owner, rows, known)
                 best, score, far = model.decide(n, entropy)
                 some = letters > 0
                 new = [

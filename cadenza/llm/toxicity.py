@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import kn
+from cadenza.session import stage
 
 ORDER = 5
-#: Bound of the model: n-grams times classes.
+#: N-grams times classes that a task looks up at a time; the model itself has no bound.
 CELLS = 1_600_000
 #: Labelled rows, kept out of the counts, that calibrate the score.
 CALIBRATION_ROWS = 6_000
@@ -40,12 +41,12 @@ class ToxicityModel:
         self.model = model
         self.centre, self.scale, self.weights = np.zeros(3), np.ones(3), np.array([-2.0, 1.0, 0.0, 0.0])
 
-    def evidence(self, texts: list[str], owner: np.ndarray, rows: int) -> np.ndarray:
+    def evidence(self, texts: list[str], owner: np.ndarray, rows: int, known: kn.Known) -> np.ndarray:
         """By row: mean log likelihood ratio, and what strong words add, a word and in all."""
         found = kn.positions(texts, self.model.order - 1)
         inside = found.scored()
         at = np.flatnonzero(inside)
-        log_p = self.model.log_p(found, at)
+        log_p = known.log_p(found, at)
         ratio = np.zeros(len(inside))
         if len(self.model.classes) == 2:
             ratio[at] = log_p[:, 1] - log_p[:, 0]
@@ -89,9 +90,9 @@ class ToxicityModel:
 def fit_toxicity(training: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     """Learn from (doc_id, text) and (doc_id, toxic); null text or label is left out.
 
-    A document with several labels counts as toxic if one of them says so.  A fifth of the
-    labelled rows, chosen by a hash of their id, is not counted; the ``CALIBRATION_ROWS``
-    first of these calibrate the score.
+    A document with several labels counts as toxic if one of them says so.  At most a fifth
+    of the labelled documents and ``CALIBRATION_ROWS`` of them, chosen by a hash of their id,
+    calibrate the score; all others are counted.
     """
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -101,13 +102,14 @@ def fit_toxicity(training: DataFrame, labels: DataFrame) -> ToxicityModel | None
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = training.select("doc_id", "text").where(F.col("text").isNotNull())
     # labels grow with the corpus: never broadcast, whatever their size here
-    counted = rows.where(~apart).join(marked.where(~apart).hint("merge"), "doc_id")
+    some = marked.where(apart).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
+    some = stage(some, "calibration")
+    counted = rows.join(F.broadcast(some), "doc_id", "left_anti").join(marked.hint("merge"), "doc_id")
     model = kn.fit(counted.select(F.col("toxic").cast("string").alias("class"), "text"), ORDER, CELLS, shared=True)
     if model is None:
         return None
     out = ToxicityModel(model)
     shared = rows.sparkSession.sparkContext.broadcast(out)
-    some = marked.where(apart).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     got = _evidence_rows(rows.join(F.broadcast(some), "doc_id"), shared).toArrow()
     out.calibrate(got["toxic"].to_numpy().astype(float), np.array(got["evidence"].to_pylist()).reshape(len(got), 3))
     return out
@@ -115,8 +117,8 @@ def fit_toxicity(training: DataFrame, labels: DataFrame) -> ToxicityModel | None
 
 def _evidence_rows(rows: DataFrame, shared) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, parts, owner in kn.text_chunks(batches):
-            found = shared.value.evidence(parts, owner, len(batch))
+        for batch, parts, owner, known in kn.known_chunks(batches, shared.value.model):
+            found = shared.value.evidence(parts, owner, len(batch), known)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(found.tolist(), pa.list_(pa.float64()))], ["toxic", "evidence"]
             )
@@ -134,11 +136,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, parts, owner in kn.text_chunks(batches):
+        chunks = kn.known_chunks(batches, model.model) if model else ((*c, None) for c in kn.text_chunks(batches))
+        for batch, parts, owner, known in chunks:
             if model is None:
                 evidence, score = np.zeros((len(batch), 3)), np.zeros(len(batch))
             else:
-                evidence = model.evidence(parts, owner, len(batch))
+                evidence = model.evidence(parts, owner, len(batch), known)
                 score = model.score(evidence)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence[:, 0])],

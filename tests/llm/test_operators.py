@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -91,6 +92,39 @@ def test_kneser_ney_equals_plain_version(spark):
         assert np.allclose(model.log_p(found, at), want, atol=1e-4)
 
 
+def test_kneser_ney_keeps_every_gram(spark, monkeypatch):
+    monkeypatch.setattr(kn, "READ_ROWS", 7)
+    texts = [("a", "the cat sat on the mat"), ("a", "the dog"), ("b", "le chat est la"), ("b", "la la le")]
+    model = kn.fit(spark.createDataFrame(texts, "class string, text string"), 3, 8)
+    p, grams = plain_kneser_ney(texts, 3, ["a", "b"])
+    for text in ("the cat", "le chat zzz", "dog"):
+        found = kn.positions([text], 2)
+        want = [[np.log(p(c, g)) for c in ("a", "b")] for g in grams(text, 3)]
+        assert np.allclose(model.log_p(found, np.flatnonzero(found.scored())), want, atol=1e-4)
+
+
+def test_known_chunks_are_those_of_the_whole_model(spark, monkeypatch):
+    monkeypatch.setattr(base.pieces, "__defaults__", ("text", 40))
+    texts = [("ab"[k % 2], f"{k} the cat {k * 'xy'} sat" if k % 2 else f"le chat {k * 'z'} est {k}") for k in range(30)]
+    model = kn.fit(spark.createDataFrame(texts, "class string, text string"), 3, 60, shared=True)
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in texts]})
+    chunks = list(kn.known_chunks([batch], model))
+    assert len({id(known) for *_, known in chunks}) > 1 and sum(len(b) for b, *_ in chunks) == 30
+    for _, parts, _, known in chunks:
+        found = kn.positions(parts, 2)
+        at = np.flatnonzero(found.scored())
+        assert np.array_equal(known.log_p(found, at), model.log_p(found, at))
+
+
+def test_toxicity_counts_all_rows_but_those_that_calibrate(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
+    counted, fit = [], kn.fit
+    monkeypatch.setattr(kn, "fit", lambda rows, *a, **k: counted.append(rows.count()) or fit(rows, *a, **k))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    toxicity.fit_toxicity(docs, spark.createDataFrame([(i, i % 3 == 0 and 1 or 0) for i in range(300)], "doc_id long, toxic int"))
+    assert counted == [290]
+
+
 def test_sorted_hashes_find_all_and_nothing_else():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
