@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import kn
+from cadenza.session import stage
 
 ORDER = 4
 #: N-grams times languages that a task looks up at a time; the model itself has no bound.
 CELLS = 1_600_000
-#: Training rows that calibrate score and rejection.
+#: Rows that calibrate the temperature.
 CALIBRATION_ROWS = 3_000
-#: Share of the calibration rows of a language beyond which rejection begins, and the room
+#: One of so many texts is kept out of the counts of the model that calibrates.
+HELD_OUT = 10
+#: Rows below which a language's limit is at least that of all languages together.
+FEW_ROWS = 1_000
+#: Share of the held-out rows of a language beyond which rejection begins, and the room
 #: left beyond that.
 REJECT_QUANTILE, REJECT_ROOM = 0.999, 4.0
 #: Length from which the spread of cross-entropies is taken not to shrink any more.
@@ -48,8 +53,8 @@ class LanguageModel:
         np.add.at(total, owner, found.sums(values))
         return n, letters, -total / np.maximum(n, 1)[:, None]
 
-    def calibrate(self, truth: np.ndarray, n: np.ndarray, entropy: np.ndarray) -> None:
-        """Temperature with the least log loss, and a limit for each language."""
+    def calibrate(self, truth: np.ndarray, entropy: np.ndarray) -> None:
+        """Temperature with the least log loss."""
         if not len(truth):
             return
         own = entropy[np.arange(len(truth)), truth]
@@ -59,12 +64,32 @@ class LanguageModel:
             return float(np.mean(np.log(np.exp(x).sum(axis=1)) + t * (own - entropy.min(axis=1))))
 
         self.temperature = min(np.geomspace(0.5, 100, 60), key=loss)
-        for k in range(entropy.shape[1]):
-            mine = truth == k
-            if mine.any():
-                self.mean[k] = own[mine].mean()
-                far = (own[mine] - self.mean[k]) * np.sqrt(np.minimum(n[mine], STEADY_CHARS))
-                self.limit[k] = max(1.0, REJECT_ROOM * np.quantile(far, REJECT_QUANTILE))
+
+    def limits(self, held: DataFrame) -> None:
+        """Mean and limit of each language from all rows of (lang, n, own cross-entropy).
+
+        A language with few rows is judged from the mean of all rows, if that is higher, and
+        with their limit, if that is wider; so is one without any.
+        """
+        length = F.sqrt(F.least("n", F.lit(float(STEADY_CHARS))))
+
+        def quantile(mean):
+            return F.percentile_approx((F.col("own") - mean) * length, REJECT_QUANTILE, 1_000_000)
+
+        pooled = held.agg(F.avg("own").alias("mean")).first()["mean"]
+        if pooled is None:
+            return
+        wide = max(1.0, REJECT_ROOM * held.agg(quantile(F.lit(pooled)).alias("far")).first()["far"])
+        rows = {r["lang"]: r for r in held.groupBy("lang").agg(F.avg("own").alias("mean"), F.count("*").alias("rows")).collect()}
+        means = F.create_map(*[x for k, r in rows.items() for x in (F.lit(k), F.lit(r["mean"]))])
+        far = {r["lang"]: r["far"] for r in held.groupBy("lang").agg(quantile(means[F.col("lang")]).alias("far")).collect()}
+        for k, lang in enumerate(self.model.classes):
+            self.mean[k], self.limit[k] = pooled, wide
+            if lang in rows:
+                mean, limit = rows[lang]["mean"], max(1.0, REJECT_ROOM * far[lang])
+                few = rows[lang]["rows"] < FEW_ROWS
+                self.mean[k] = max(mean, pooled) if few else mean
+                self.limit[k] = max(limit, wide) if few else limit
 
     def decide(self, n: np.ndarray, entropy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, score, and whether the best is still too unlikely."""
@@ -91,29 +116,37 @@ def _entropy_rows(docs: DataFrame, shared) -> DataFrame:
 
 
 def fit_language(training: DataFrame) -> LanguageModel | None:
-    """Learn from (doc_id, text, lang); rows without text or language are left out.
+    """Learn from (text, lang); rows without text or language are left out.
 
-    Counts come from all rows.  Score and rejection are calibrated on the
-    ``CALIBRATION_ROWS`` rows that come first by a hash of their id.
+    Counts come from all rows.  Score and rejection are calibrated on one of ``HELD_OUT``
+    texts, chosen by a hash, as a second model sees them that was learnt from the others.
     """
-    rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    model = kn.fit(rows.select(F.col("lang").alias("class"), "text"), ORDER, CELLS)
+    rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+    counted = rows.withColumnRenamed("lang", "class")
+    model = kn.fit(counted, ORDER, CELLS)
     if model is None:
         return None
     out = LanguageModel(model)
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    shared = rows.sparkSession.sparkContext.broadcast(out)
-    got = _entropy_rows(chosen, shared).toArrow()
-    place = {c: k for k, c in enumerate(model.classes)}
-    out.calibrate(
-        np.array([place[c] for c in got["lang"].to_pylist()], int),
-        got["n"].to_numpy(),
-        np.array(got["entropy"].to_pylist()).reshape(len(got), len(model.classes)),
-    )
+    apart = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    part = kn.fit(counted.where(~apart), ORDER, CELLS)
+    held = _held_rows(rows.where(apart), part) if part else None
+    if held is None or held.isEmpty():
+        # too few texts to keep some apart
+        part, held = model, _held_rows(rows, model)
+    out.limits(held)
+    some = held.orderBy("place", "lang", "n").limit(CALIBRATION_ROWS).select("truth", "entropy").toArrow()
+    out.calibrate(some["truth"].to_numpy(), np.array(some["entropy"].to_pylist()).reshape(len(some), len(part.classes)))
     return out
 
 
+def _held_rows(rows: DataFrame, part: kn.KneserNey) -> DataFrame:
+    """(lang, n, place, entropy, truth, own): cross-entropies of rows in a language of ``part``."""
+    shared = rows.sparkSession.sparkContext.broadcast(LanguageModel(part))
+    truth = F.create_map(*[x for k, c in enumerate(part.classes) for x in (F.lit(c), F.lit(k))])[F.col("lang")]
+    found = _entropy_rows(rows.where(truth.isNotNull()), shared).withColumn("truth", truth)
+    return stage(found.withColumn("own", F.get("entropy", F.col("truth"))).withColumn("place", F.xxhash64("own")), "held")
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, prefix: str = "") -> DataFrame:
     """Add lang_pred, score, n_chars, entropy and rejected to ``docs``, after ``prefix``.
 

@@ -150,6 +150,32 @@ def test_language_rejects_what_it_never_saw(spark):
     assert got.rejected and got.lang_pred != "und"
 
 
+def test_language_keeps_documents_of_rare_languages(spark):
+    rng = random.Random(4)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)] for k, letters in (("en", "abcdefgh"), ("xx", "klmnopqr"), ("yy", "αβγδεζηθ"))}
+
+    def text(lang):
+        return " ".join(rng.choice(words[lang]) for _ in range(60))
+
+    rows = [("en", text("en")) for _ in range(4000)] + [("xx", text("xx")) for _ in range(20)] + [("yy", text("yy")) for _ in range(2)]
+    model = language.fit_language(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert np.isfinite(model.mean).all() and (model.limit > 0).all()
+    fresh = [(i, text("xx"), "xx") for i in range(100)] + [(i, text("en"), "en") for i in range(100)]
+    fresh += [(i, t, k) for i, (k, t) in enumerate(rows) if k != "en"]
+    got = language.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang for r in got) and not any(r.rejected for r in got)
+    noise = spark.createDataFrame([(1, "жщюэыфцч" * 40)], "doc_id long, text string")
+    assert language.identify(noise, model).first().rejected
+
+
+def test_language_limits_with_one_row(spark):
+    held = [("en", 400.0, 2.0 + k % 10 / 100) for k in range(2000)] + [("xx", 400.0, 2.5)]
+    model = language.LanguageModel(kn.KneserNey(4, ["en", "xx", "yy"], 10, 2))
+    model.limits(spark.createDataFrame(held, "lang string, n double, own double"))
+    assert np.isfinite(model.mean).all() and abs(model.mean[0] - 2.045) < 1e-9 and model.mean[1] == 2.5
+    assert model.limit[1] == model.limit[2] > 3 and model.limit[0] > 3
+
+
 def test_language_edges(spark, odd, empty):
     model = language.fit_language(odd)
     rows = language.identify(odd, model).collect()
