@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, decontaminate, language, licenses, linededup, repeats, secrets, simhash, toxicity, vectors
+from cadenza.llm import (
+    bpe, clusters, decontaminate, language, licenses, linededup, negatives, quality, repeats, secrets, simhash, toxicity, vectors,
+)
 from cadenza.llm.base import fold, table
 
 #: Vocabulary of the tokenizer; its file is read where it lies.
@@ -69,10 +71,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    base_failed = ~quality.passes(quality.policy("base"))
+    kept = ~base_failed & quality.passes(quality.policy("web"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"), kept.alias("kept"), "failed",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_language_id, op2_line_dedup, op3_toxicity, op4_license_scan, op5_secret_scan, op6_embedding_neardup,
-        op7_suffix_dedup, op8_decontamination, op9_simhash, op10_byte_bpe,
+        op7_suffix_dedup, op8_decontamination, op9_simhash, op10_byte_bpe, op11_centroid_clusters, op12_hard_negatives, op13_quality_rules,
     )
     return {q.__name__: q for q in named}
 
@@ -160,5 +182,96 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP11_ROUND = """, a{n} AS (
+  SELECT v.vec_id, min(({distance}, c)) AS best FROM v CROSS JOIN c{n} GROUP BY v.vec_id
+), m{n} AS (
+  SELECT best[2] AS c, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) / count(*))::BIGINT AS m
+  FROM a{n} JOIN v USING (vec_id), unnest(range(1, 65)) AS u(i) GROUP BY ALL
+), c{next} AS (
+  SELECT c{n}.c, coalesce(z.y, c{n}.y) AS y FROM c{n} LEFT JOIN (SELECT c, list(m ORDER BY i) AS y FROM m{n} GROUP BY c) z USING (c)
+)"""
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])))::BIGINT"
+
+#: Three rounds of assignment and floored means, then the last assignment.
+OP11_SQL = (
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)
+)"""
+    + "".join(_OP11_ROUND.format(n=n, next=n + 1, distance=_DISTANCE) for n in range(3))
+    + f"""
+, done AS (SELECT v.vec_id, min(({_DISTANCE}, c)) AS best FROM v CROSS JOIN c3 GROUP BY v.vec_id)
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM done JOIN c3 ON c3.c = best[2]
+"""
+)
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL
+), l AS (
+  SELECT r, sum(n) AS n_lines, sum(n * length(line)) AS line_chars, sum(n - 1) AS n_dup, sum((n - 1) * length(line)) AS dup_chars,
+         sum(n) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•–·]')) AS bullets,
+         sum(n) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS ellipses
+  FROM lines GROUP BY r
+), places AS (
+  SELECT r, u.i AS i, w[u.i : u.i + 2] AS x FROM d, unnest(range(1, len(w) - 1)) AS u(i)
+), twice AS (
+  SELECT r, i FROM places QUALIFY count(*) OVER (PARTITION BY r, x) > 1
+), again AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY r
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(line_chars, 0) AS line_chars, coalesce(dup_chars, 0) AS dup_chars,
+         coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses,
+         len(list_filter(w, lambda v: regexp_matches(v, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS letters,
+         len(list_filter(w, lambda v: regexp_full_match(v, '[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*'))) AS capitals,
+         coalesce(list_max(list_transform(w, lambda v: length(v))), 0) AS longest
+  FROM d LEFT JOIN l USING (r) LEFT JOIN again USING (r)
+), f AS (
+  SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, n_words > 100000, word_chars < 3 * n_words, word_chars > 10 * n_words,
+             10 * n_symbols > n_words, 10 * bullets > 9 * n_lines, 10 * ellipses > 3 * n_lines, 10 * letters < 8 * n_words,
+             10 * n_dup_lines > 3 * n_lines, 5 * dup_chars > line_chars, 2 * capitals > n_words, longest > 1000,
+             word_chars < 2 * n_words, word_chars > 20 * n_words] AS bad
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad[1] OR bad[2] AS base_failed,
+       NOT (bad[1] OR bad[2] OR bad[3] OR bad[6] OR bad[7] OR bad[8] OR bad[9] OR bad[11] OR bad[12] OR bad[13] OR bad[14] OR bad[15]) AS kept,
+       list_sum(list_transform(range(1, 16), lambda i: CASE WHEN bad[i] THEN (1 << (i - 1)::INTEGER) ELSE 0 END))::BIGINT AS failed
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_embedding_neardup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL, "op6_embedding_neardup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op8_decontamination": OP8_SQL,
+        "op11_centroid_clusters": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_quality_rules": OP13_SQL,
+    }
