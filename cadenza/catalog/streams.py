@@ -1,17 +1,21 @@
 """Streaming queries and their oracles: the batch meaning of the same data.
 
 A stream emits a window or phrase once the watermark has passed its end, so the oracles
-leave out what is still open when the data ends.
+leave out what is still open when the data ends; onsets have a closing row instead.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cadenza.catalog.base_sql import CAPTIONS
 from cadenza.catalog.signals import _CANDIDATES, flux
-from cadenza.session import configure, stage_files
+from cadenza.session import configure, shared_folder, stage
 from cadenza.sources import testbed as B
 from cadenza.streaming import jobs as S
 
+#: Length of a flux frame, and silence after which a track has ended.
+HOP_MS, IDLE_MS = 10, 200
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
@@ -36,7 +40,7 @@ def progress(spark, sf_dir):
 
 
 def latest(spark, sf_dir):
-    return S.job_current(S.run_available(S.job_log(reports(spark, sf_dir)), "job-log"))
+    return S.job_latest(reports(spark, sf_dir), "job-latest")
 
 
 def dedup(spark, sf_dir):
@@ -59,11 +63,27 @@ def spoken_phrases(spark, sf_dir):
     return S.run_available(S.phrases(words, 12_600.0, "1 day"), "phrases")
 
 
+def replayed(frames, path, slices):
+    """A stream of ``frames`` in ``slices`` micro-batches in order of time, and one that ends it."""
+    spark = frames.sparkSession
+    timed = frames.withColumn("ts", F.timestamp_millis((F.col("frame") + 1) * HOP_MS))
+    top = frames.agg(F.max("frame")).first()[0] or 0
+    for k in range(slices):
+        part = timed.filter((F.col("frame") * slices >= k * (top + 1)) & (F.col("frame") * slices < (k + 1) * (top + 1)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    end = spark.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in frames.schema],
+        F.timestamp_millis(F.lit((top + 1) * HOP_MS + 10 * IDLE_MS)).alias("ts"),
+    )
+    end.write.mode("append").parquet(path)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def onsets(spark, sf_dir):
-    """Flux frames replayed from a staged table."""
-    frames = flux(spark, sf_dir)
-    path = stage_files(frames, "flux-source")
-    return S.stream_onsets(spark.readStream.schema(frames.schema).parquet(path), 4).withColumn(
+    """Flux frames replayed from a table."""
+    frames = stage(flux(spark, sf_dir), "flux-frames")
+    path = f"{shared_folder(spark)}/flux-source-{uuid.uuid4().hex}"
+    return S.stream_onsets(replayed(frames, path, 2), 4, f"{IDLE_MS} milliseconds", IDLE_MS).withColumn(
         "flux", F.round("flux", 6)
     )
 
@@ -105,9 +125,7 @@ f AS (
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY track_id ORDER BY s) AS phrase FROM f)
 SELECT track_id, min(s) AS start_us, max(e) AS open_until_us, count(*) AS words FROM g GROUP BY track_id, phrase
 HAVING max(e) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 FROM events)""",
-    "stream_onsets": "WITH RECURSIVE " + _CANDIDATES.replace(
-        "WHERE flux >= 0.12 AND", "WHERE frame + 7 <= (SELECT max(f.frame) FROM flux f WHERE f.track_id = near.track_id) AND flux >= 0.12 AND"
-    ) + " SELECT track_id, frame, round(flux, 6) AS flux FROM walk WHERE kept",
+    "stream_onsets": "WITH RECURSIVE " + _CANDIDATES + " SELECT track_id, frame, round(flux, 6) AS flux FROM walk WHERE kept",
     "stream_active_caption": "WITH " + CAPTIONS + """,
 t AS (SELECT user_id AS track_id, event_id AS tick_id, event_id * 7919000 % 720000000 AS at_us FROM events)
 SELECT t.track_id, tick_id, at_us, idx FROM t JOIN captions c ON c.track_id = t.track_id AND at_us BETWEEN start_us AND end_us""",

@@ -1,11 +1,14 @@
 """Streams fed in several micro-batches give what one batch gives."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.catalog.signals import flux
-from cadenza.operators.signals import onset_candidates
+from cadenza.catalog.streams import replayed
+from cadenza.operators.signals import onset_candidates, onset_thin
 from cadenza.streaming import jobs as S
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -20,13 +23,103 @@ def in_pieces(spark, df, path, column, pieces=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_onset_state_carries_over_micro_batches(spark, tmp_path, rows):
+def held(reports):
+    """Rows of state that each stateful step holds after the last micro-batch."""
+    return [o["numRowsTotal"] for o in reports[-1]["stateOperators"]]
+
+
+@pytest.mark.parametrize("chunk", [16, 4096])
+def test_onsets_over_micro_batches_leave_no_state(spark, tmp_path, rows, monkeypatch, chunk):
+    monkeypatch.setattr(S, "CHUNK", chunk)
     frames = flux(spark, SF_DIR).cache()
-    stream = in_pieces(spark, frames, str(tmp_path / "f"), "frame", 5)
-    got = S.run_available(S.onset_peaks(stream), "peaks-test")
-    last = frames.groupBy("track_id").agg(F.max("frame").alias("last"))
-    want = onset_candidates(frames).join(last, "track_id").filter("frame + 7 <= last")
-    assert rows(got, "track_id", "frame") == rows(want, "track_id", "frame") and got.count() > 20
+    reports = []
+    stream = replayed(frames, str(tmp_path / "f"), 4)
+    got = S.run_available(S.onsets(stream, 4, "200 milliseconds", 200), "onsets-test", reports)
+    want = onset_thin(onset_candidates(frames), 4)
+    assert rows(got) == rows(want) and want.count() > 20
+    assert max(sum(o["numRowsTotal"] for o in r["stateOperators"]) for r in reports) > 0
+    assert held(reports) == [0, 0] and len({r["batchId"] for r in reports}) >= 5
+
+
+def test_onsets_of_frames_out_of_order(spark, tmp_path, rows):
+    """Frames in any order within the delay, tracks of different lengths, rows without a frame."""
+    rng = random.Random(5)
+    values = [(t, f, round(rng.random() ** 3, 6)) for t, n in ((1, 60), (2, 3), (3, 40), (None, 12)) for f in range(n)]
+    frames = spark.createDataFrame(values, "track_id bigint, frame bigint, flux double").cache()
+    path = str(tmp_path / "o")
+    schema = "track_id bigint, frame bigint, flux double, ts timestamp"
+    shuffled = sorted(values, key=lambda r: r[1] + rng.uniform(0, 9))
+    at = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
+    for k in range(0, len(shuffled), 25):
+        part = [(*r, at(10 * r[1])) for r in shuffled[k : k + 25]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(None, None, None, at(60_000))], schema).coalesce(1).write.mode("append").parquet(path)
+    reports = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = S.run_available(S.onsets(stream, 4, "150 milliseconds", 200), "onsets-order-test", reports)
+    assert rows(got) == rows(onset_thin(onset_candidates(frames), 4)) and held(reports) == [0, 0]
+
+
+def job_table(spark, path):
+    schema = spark.createDataFrame([], "job_id bigint, stage string, updated_us bigint").schema
+    table = S.LatestTable(schema, str(path), ["job_id"], ["updated_us"], buckets=3)
+    return table, lambda *reports: spark.createDataFrame(reports, schema)
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path, rows):
+    table, batch = job_table(spark, tmp_path)
+    assert rows(table.read(spark)) == []
+    table.merge(batch(), 0)
+    assert rows(table.read(spark)) == []
+    table.merge(batch((1, "a", 10), (2, "a", 11), (1, "b", 12)), 1)
+    table.merge(batch((1, "old", 5), (3, "c", 20), (None, "n", 1)), 2)
+    want = [(1, "b", 12), (2, "a", 11), (3, "c", 20), (None, "n", 1)]
+    assert rows(table.read(spark)) == want
+    table.merge(batch((1, "z", 99)), 2)
+    table.merge(batch((9, "z", 99)), 1)
+    assert rows(table.read(spark)) == want
+
+
+def test_a_batch_that_stopped_half_way_is_taken_whole(spark, tmp_path, rows, monkeypatch):
+    table, batch = job_table(spark, tmp_path)
+    table.merge(batch(*[(k, "a", k) for k in range(20)]), 0)
+    before = rows(table.read(spark))
+
+    def stop(*_):
+        raise RuntimeError("stopped before the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(S.LatestTable, "_commit", stop)
+        with pytest.raises(RuntimeError):
+            table.merge(batch((1, "b", 100), (77, "b", 100)), 1)
+    assert rows(table.read(spark)) == before
+    table.merge(batch((1, "c", 101)), 1)
+    assert rows(table.read(spark)) == sorted([r for r in before if r[0] != 1] + [(1, "c", 101)], key=repr)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    table, batch = job_table(spark, tmp_path)
+    table.merge(batch(*[(k, "a", k) for k in range(50)]), 0)
+    table.merge(batch((1, "b", 100)), 1)
+    assert sorted(table._versions(spark)[1].values()) == [0, 0, 1]
+    assert len(list((tmp_path / "rows" / "version=1").glob("bucket=*"))) == 1
+
+
+def test_latest_over_micro_batches(spark, tmp_path, rows):
+    start = dt.datetime(2024, 1, 1)
+    schema = "job_id bigint, stage string, progress double, ts timestamp"
+    reports = [(k % 7, f"s{k}", k / 40, start + dt.timedelta(seconds=k * 37 % 40)) for k in range(40)]
+    path = str(tmp_path / "j")
+    for k in range(0, 40, 10):
+        spark.createDataFrame(reports[k : k + 10], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    batches = []
+    got = S.job_latest(stream, "latest-test", batches)
+    newest = {}
+    for job, stage_, _, ts in reports:
+        newest[job] = max(newest.get(job, (start, "")), (ts, stage_))
+    assert len(batches) >= 4
+    assert rows(got, "job_id", "stage") == sorted((job, s) for job, (_, s) in newest.items())
 
 
 def test_dedup_over_micro_batches(spark, tmp_path):
