@@ -6,11 +6,14 @@ Everything grouped by pair is bounded by the two texts of that pair.
 
 from __future__ import annotations
 
-import math
 import sys
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +34,17 @@ REF_GAP, HYP_GAP = (-0.40, -0.08), (-0.15, -0.02)
 LANDMARK_REWARD = 4.0
 MIN_COVERAGE = 0.15
 SCALE = 1_000_000
+_NEVER = -(10**15)
+
+# Cells whose ways are held at once, stretches that a longer programme is cut into, and bytes
+# of similarities that are kept.
+CELLS, PARTS, KEPT_BYTES = 4_000_000, 8, 64_000_000
 
 SEED = 3
 COMMON_SHARE = 10_000
+# Rows of one key that one task of a token join takes, keys above that which are broadcast, and
+# pairs compared at once.
+GROUP_ROWS, HOT_KEYS, COMPARED = 1_000, 10_000, 32_768
 
 
 # --- which texts belong together -----------------------------------------------------
@@ -158,20 +169,26 @@ def asr_coverage(pairs: DataFrame, ref: DataFrame, hyp: DataFrame, least: float
 
 def likeness(norm_a: Column, norm_b: Column, key_a: Column, key_b: Column) -> Column:
     """Weighted share of equal letters and sounds, with a bonus for an equal start."""
+    return _likeness(norm_a, norm_b, key_a, key_b, F.levenshtein(norm_a, norm_b))
+
+
+def _likeness(norm_a: Column, norm_b: Column, key_a: Column, key_b: Column, edits: Column) -> Column:
     longest = F.greatest(F.length(norm_a), F.length(norm_b), F.lit(1))
-    edit = 1 - F.levenshtein(norm_a, norm_b) / longest
     sound = (
         F.when((key_a != "") & (key_a == key_b), 1.0)
         .when((key_a != "") & (F.substring(key_a, 1, 1) == F.substring(key_b, 1, 1)), SAME_FIRST_SOUND)
         .otherwise(0.0)
     )
-    prefix = F.when(
+    prefix = F.when(_same_start(norm_a, norm_b), PREFIX_BONUS).otherwise(0.0)
+    return EDIT_SHARE * (1 - edits / longest) + SOUND_SHARE * sound + prefix
+
+
+def _same_start(norm_a: Column, norm_b: Column) -> Column:
+    return (
         (F.length(norm_a) >= PREFIX)
         & (F.length(norm_b) >= PREFIX)
-        & (F.substring(norm_a, 1, PREFIX) == F.substring(norm_b, 1, PREFIX)),
-        PREFIX_BONUS,
-    ).otherwise(0.0)
-    return EDIT_SHARE * edit + SOUND_SHARE * sound + prefix
+        & (F.substring(norm_a, 1, PREFIX) == F.substring(norm_b, 1, PREFIX))
+    )
 
 
 def graded(alike: Column) -> Column:
@@ -193,84 +210,284 @@ def exact_score(norm: Column) -> Column:
     return EXACT + F.when(F.length(norm) >= LONG_LENGTH, LONG_BONUS).otherwise(0.0)
 
 
-def _by_letter_pairs(tokens: DataFrame, side: str, target: float) -> DataFrame:
-    """Rows (first sound, letter pair, length) by which tokens of one first sound must meet.
+def _letters(word: Column) -> Column:
+    """Two bits for each of 31 groups of letters: found at all, found again."""
+    def add(seen: Column, letter: Column) -> Column:
+        place = (F.pmod(F.ascii(letter), F.lit(31)) * 2).cast("int")
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+        return seen.bitwiseOR(F.when(seen.bitwiseAND(bit(place)) == 0, bit(place)).otherwise(bit(place + 1)))
+
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("bigint"), add)
+
 
-    ``target`` bounds the edits of a pair of tokens.  Each edit takes at most two of a
-    token's distinct letter pairs, so the smallest common one (by hash) is among the first
-    ``2 * edits + 1`` of both.  Side ``b`` lists the lengths of possible partners instead of
-    its own.
+def _fewest_edits() -> Column:
+    """Least number of edits by letters that only one of two tokens has; cheap to test first."""
+    a, b = F.col("letters_a"), F.col("letters_b")
+    return F.greatest(F.bit_count(a.bitwiseAND(F.bitwise_not(b))), F.bit_count(b.bitwiseAND(F.bitwise_not(a))))
+
+
+def _in_parts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equi-join in which a key with many left rows is dealt to several tasks, with a copy of its right rows each.
+
+    The tables are small beside the pairs they make, so their number of partitions is set here
+    and not left to their size.
     """
-    needed = (target - SOUND_SHARE * SAME_FIRST_SOUND) / EDIT_SHARE
-    word, sound = F.col(f"norm_{side}"), F.substring(f"key_{side}", 1, 1)
-    size = F.length(word)
-    longest = F.floor(size / F.lit(needed) + 1e-9).cast("int")
-    edits = F.floor(longest * (1.0 - needed) + 1e-9).cast("int")
-    pairs = F.array_sort(F.array_distinct(
-        F.transform(F.sequence(F.lit(1), size - 1), lambda p: F.xxhash64(F.substring(word, p, 2)))
-    ))
-    lengths = F.sequence(F.ceil(size * needed - 1e-9).cast("int"), longest)
-    return tokens.filter((edits >= 1) & (sound != "")).select(
-        "*",
-        sound.alias("__sound"),
-        F.explode(F.slice(pairs, 1, 2 * edits + 1)).alias("__pair"),
-        lengths.alias("__lengths") if side == "b" else size.alias("__n"),
+    spark = left.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > GROUP_ROWS)
+    hot = stage(sizes.select(*on, F.ceil(F.col("__rows") / F.lit(GROUP_ROWS)).cast("int").alias("__parts")), "hot-keys")
+    if hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        hot = F.broadcast(hot)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64("norm_a"), parts).cast("int"))
+    copies = right.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    key = [*on, "__part"]
+    dealt, copies = (df.drop("__parts").repartition(n, *key) for df in (dealt, copies))
+    return dealt.join(copies, key).drop("__part")
+
+
+def _segments(need: float) -> dict[str, Column]:
+    """Edits that a token of length ``__n`` and a shorter one may differ by, and segment ``__g`` of it.
+
+    The segments, one for each edit, divide what follows the first three letters.
+    """
+    edits = F.floor(F.col("__n") * (1.0 - need) + 1e-9).cast("int")
+    rest = F.col("__n") - PREFIX
+    cut = lambda g: PREFIX + F.floor(rest * g / edits).cast("int")
+    return {"edits": edits, "from": cut(F.col("__g")), "to": cut(F.col("__g") + 1)}
+
+
+def _near_first_sound(longer: DataFrame, shorter: DataFrame, a: str, b: str, need: float) -> DataFrame:
+    """Pairs of one first sound, no common start and at least the share ``need`` of equal letters.
+
+    ``longer`` tokens are as long as the ``shorter`` ones or longer.  Tokens with different
+    first three letters have an edit there, so that among as many segments of the rest of the longer one as
+    there may be edits, one is free of edits: the shorter one has it too, shifted by no more
+    than the edits before it, and from the end by no more than those behind it.
+    """
+    word, other = F.col(f"norm_{a}"), F.col(f"norm_{b}")
+    at = _segments(need)
+    sound = lambda side: F.substring(f"key_{side}", 1, 1).alias("__sound")
+    cut = (
+        longer.withColumn("__n", F.length(word)).filter((at["edits"] >= 1) & (F.col(f"key_{a}") != ""))
+        .withColumn("__g", F.explode(F.sequence(F.lit(0), at["edits"] - 1)))
+        .select("*", sound(a), F.substring(word, at["from"] + 1, at["to"] - at["from"]).alias("__seg"))
+    )
+    size = F.length(other)
+    tried = (
+        shorter.filter(F.col(f"key_{b}") != "")
+        .withColumn("__n", F.explode(F.sequence(size, F.greatest(size, F.floor(size / F.lit(need) + 1e-9).cast("int")))))
+        .filter((at["edits"] >= 1) & (F.col("__n") - size <= at["edits"]))
+        .withColumn("__g", F.explode(F.sequence(F.lit(0), at["edits"] - 1)))
+        .withColumn("__low", F.greatest(-at["edits"], size - F.col("__n") - at["edits"] + 1))
+        .withColumn("__high", F.least(at["edits"], size - F.col("__n") + at["edits"] - 1))
+        .filter("__low <= __high")
+        .withColumn("__shift", F.explode(F.sequence(F.col("__low"), F.col("__high"))))
+        .withColumn("__at", at["from"] + F.col("__shift"))
+        .filter((F.col("__at") >= 0) & (F.col("__at") + at["to"] - at["from"] <= size))
+        .select(f"norm_{b}", f"key_{b}", f"letters_{b}", "__n", "__g", sound(b), F.substring(other, F.col("__at") + 1, at["to"] - at["from"]).alias("__seg"))
     )
+    on = ["__sound", "__n", "__g", "__seg"]
+    met = _in_parts(cut, tried, on) if a == "a" else _in_parts(tried, cut, on)
+    return met.drop(*on).filter((F.col("key_a") != F.col("key_b")) & ~_same_start(F.col("norm_a"), F.col("norm_b")))
+
+
+class _Words:
+    """Tokens of one start by length of what follows it, as numbers for letters and sounds."""
+
+    def __init__(self, table: pa.Table):
+        rest = [w[PREFIX:] for w in table["norm"].to_pylist()]
+        lengths = np.array([len(w) for w in rest], dtype=np.int64)
+        order = np.argsort(lengths, kind="stable")
+        self.norms = table["norm"].combine_chunks().take(pa.array(order))
+        self.lengths, self.rest = lengths[order], [rest[k] for k in order]
+        keys = table["key"].to_pylist()
+        self.keys = np.array([zlib.crc32(keys[k].encode()) for k in order], dtype=np.int64)
+        self.sounds = np.array([ord(keys[k][0]) if keys[k] else -1 for k in order], dtype=np.int64)
+        self.rank = table["rank"].to_numpy()[order]
+
+    def letters(self, alphabet: dict[str, int]) -> np.ndarray:
+        """A row for each place, so that a place's letters lie together."""
+        out = np.zeros((self.lengths.max(initial=0), len(self.rest)), dtype=np.int64)
+        for k, w in enumerate(self.rest):
+            out[: len(w), k] = [alphabet.setdefault(c, len(alphabet)) for c in w]
+        return out
+
+
+def _edits(patterns: list[str], alphabet: dict[str, int], letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Edit distances of patterns of one length to words sorted by length, bits for a pattern's places.
+
+    Each step takes in one letter of every word at once: the bits say where the distance rises or
+    falls from one place of the pattern to the next.
+    """
+    m, n = len(patterns[0]), len(lengths)
+    out = np.full((len(patterns), n), m, dtype=np.int64)
+    if m == 0:
+        out += lengths
+        return out
+    one = np.uint64(1)
+    places = np.zeros((len(patterns), len(alphabet)), dtype=np.uint64)
+    for k, w in enumerate(patterns):
+        for at, c in enumerate(w):
+            places[k, alphabet[c]] |= one << np.uint64(at)
+    rises, falls = np.full(out.shape, ~np.uint64(0)), np.zeros(out.shape, dtype=np.uint64)
+    last = np.uint64(m - 1)
+    for step in range(int(lengths[-1])):
+        begin = int(np.searchsorted(lengths, step, side="right"))
+        eq = places[:, letters[step, begin:]]
+        pv, mv = rises[:, begin:], falls[:, begin:]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        out[:, begin:] += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
+        ph, mh = (ph << one) | one, mh << one
+        rises[:, begin:], falls[:, begin:] = mh | ~(xv | ph), ph & xv
+    return out
+
+
+def _alike(left: _Words, right: _Words, itself: bool, near: float, target: float) -> pa.RecordBatch:
+    """Pairs of tokens with one start and different sounds that reach the target, with their score."""
+    alphabet: dict[str, int] = {}
+    letters = right.letters(alphabet)
+    for w in left.rest:
+        for c in w:
+            alphabet.setdefault(c, len(alphabet))
+    found = [[], [], []]
+    for m in np.unique(left.lengths).tolist():
+        whole = m + PREFIX
+        low, high = int(np.ceil(whole * near - 1e-9)) - PREFIX, int(np.floor(whole / near + 1e-9)) - PREFIX
+        # of one table each pair is met from its shorter token
+        begin = int(np.searchsorted(right.lengths, m if itself else low, side="left"))
+        end = int(np.searchsorted(right.lengths, high, side="right"))
+        if end <= begin:
+            continue
+        mine = np.flatnonzero(left.lengths == m)
+        lengths = right.lengths[begin:end]
+        longest = np.maximum(lengths, m) + PREFIX
+        for at in range(0, len(mine), max(1, COMPARED // (end - begin))):
+            some = mine[at : at + max(1, COMPARED // (end - begin))]
+            if m <= 64:
+                edits = _edits([left.rest[k] for k in some], alphabet, letters[:, begin:end], lengths)
+            else:
+                table = letters[:, begin:end].T
+                known = {v: k for k, v in alphabet.items()}
+                plain = np.array([[ord(known[c]) for c in row] for row in table.tolist()], dtype=np.int64)
+                edits = np.stack([_distances(left.rest[k], plain, lengths) for k in some])
+            sounds = left.sounds[some, None]
+            sound = np.where((sounds >= 0) & (sounds == right.sounds[None, begin:end]), SAME_FIRST_SOUND, 0.0)
+            alike = EDIT_SHARE * (1 - edits / longest) + SOUND_SHARE * sound + PREFIX_BONUS
+            other = (left.keys[some, None] != right.keys[None, begin:end]) | (sounds < 0)
+            good = (alike >= target - 1e-9) & other
+            if itself:
+                good &= (lengths > m) | (left.rank[some, None] < right.rank[None, begin:end])
+            else:
+                good &= left.rank[some, None] != right.rank[None, begin:end]
+            i, j = np.nonzero(good)
+            for into, part in zip(found, (some[i], j + begin, alike[i, j])):
+                into.append(part)
+    i, j, alike = (np.concatenate(part) if part else np.zeros(0) for part in found)
+    score = np.where(alike >= STRONG, 1.0 + (alike - STRONG) * 2.0, 0.0)
+    return pa.RecordBatch.from_arrays(
+        [left.norms.take(pa.array(i, pa.int64())), right.norms.take(pa.array(j, pa.int64())), pa.array(score)], ["norm_a", "norm_b", "score"]
+    )
+
 
+def _with_one_start(a: DataFrame, b: DataFrame, itself: bool, near: float, target: float) -> DataFrame:
+    """Pairs of an equal 3-letter start and different phonetic keys that reach the target.
 
-def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0) -> DataFrame:
+    The left tokens of a start are dealt to parts of bounded size, each with a copy of the
+    right ones; a task holds one part and a batch of right tokens.
+    """
+    begun = lambda df, side: df.filter(F.length(f"norm_{side}") >= PREFIX).select(
+        F.substring(f"norm_{side}", 1, PREFIX).alias("start"), F.col(f"norm_{side}").alias("norm"), F.col(f"key_{side}").alias("key"),
+        F.xxhash64(f"norm_{side}").alias("rank"),
+    )
+    spark = a.sparkSession
+    left, right = begun(a, "a"), begun(b, "b")
+    parts = left.groupBy("start").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias("parts"))
+    dealt = left.join(parts, ["start"]).withColumn("part", F.pmod("rank", "parts").cast("int")).withColumn("side", F.lit(0))
+    copies = right.join(parts, ["start"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = (
+        dealt.unionByName(copies).withColumn("group", F.concat_ws(" ", "start", "part")).drop("start", "part", "parts")
+        .repartition(n, "group").sortWithinPartitions("group", "side")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, left = None, [], None
+        for batch in batches:
+            ends = pc.run_end_encode(pc.binary_join_element_wise(batch.column("group"), batch.column("side").cast("string"), ":"))
+            begin = 0
+            for end, name in zip(ends.run_ends.to_pylist(), ends.values.to_pylist()):
+                piece, begin = batch.slice(begin, end - begin), end
+                own, side = name.rsplit(":", 1)
+                if side == "0":
+                    if own != group:
+                        group, held = own, []
+                    held.append(piece)
+                    left = None
+                elif own == group:
+                    left = left or _Words(pa.Table.from_batches(held))
+                    yield _alike(left, _Words(pa.Table.from_batches([piece])), itself, near, target)
+
+    return rows.mapInArrow(run, "norm_a string, norm_b string, score double")
+
+
+def fuzzy_token_join(a: DataFrame, b: DataFrame, least: float = 1.0, both_orders: bool = True) -> DataFrame:
     """All pairs of distinct tokens ``[norm, phonetic]`` that score ``least`` or more (1 at least).
 
     Four disjoint joins: equal tokens, equal phonetic keys, equal 3-letter starts, and equal
-    first sounds.  In the last two the lengths must be close enough for the score to be
-    reachable, so the key holds the length as well and large blocks fall apart; in the last
-    one tokens must also share one of the first letter pairs in a fixed order, of which an
-    edit changes two at most.  Nothing else can reach a score of 1.
+    first sounds; nothing else can reach a score of 1.  Tokens with an equal start meet where
+    their lengths allow the score, and only what follows the start is compared.  Tokens of
+    one first sound alone must be so alike that they share a segment near its place.  If
+    both sides are the same table, each pair is scored once and given in both orders, or
+    without ``both_orders`` in one, the smaller token first (scores are symmetric).
     """
     if least < 1.0:
         raise ValueError("tokens that share neither sound nor start are only ruled out from a score of 1 on")
-    a = a.select(F.col("norm").alias("norm_a"), F.col("phonetic").alias("key_a")).distinct()
-    b = b.select(F.col("norm").alias("norm_b"), F.col("phonetic").alias("key_b")).distinct()
-    differ = F.col("norm_a") != F.col("norm_b")
-    equal = a.join(b, F.col("norm_a") == F.col("norm_b"))
-    sounding = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("key_a") != "") & differ)
-    # least share of equal letters that can still reach the score when the sounds differ
-    target = STRONG + (least - 1.0) / 2.0
-    near = max(0.0, (target - PREFIX_BONUS - SOUND_SHARE * SAME_FIRST_SOUND) / EDIT_SHARE)
-    start = F.substring("norm_a", 1, PREFIX)
-    size = F.length("norm_b")
-    reachable = F.sequence(
-        F.greatest(F.lit(PREFIX), F.floor(size * near).cast("int")),
-        F.ceil(size / F.lit(max(near, 0.05))).cast("int"),
-    )
-    starting = a.filter(F.length("norm_a") >= PREFIX).withColumns({"__p": start, "__n": F.length("norm_a")}).join(
-        b.filter(size >= PREFIX).withColumns(
-            {"__p": F.substring("norm_b", 1, PREFIX), "__n": F.explode(reachable)}
-        ),
-        ["__p", "__n"],
-    ).filter(differ & ((F.col("key_a") != F.col("key_b")) | (F.col("key_a") == ""))).drop("__p", "__n")
-    alike_first = _by_letter_pairs(a, "a", target).join(
-        _by_letter_pairs(b, "b", target).withColumn("__n", F.explode("__lengths")).drop("__lengths"),
-        ["__sound", "__pair", "__n"],
-    ).filter(
-        differ & (F.col("key_a") != F.col("key_b"))
-        & ((F.least(F.length("norm_a"), F.length("norm_b")) < PREFIX)
-           | (F.substring("norm_a", 1, PREFIX) != F.substring("norm_b", 1, PREFIX)))
-    ).select("norm_a", "key_a", "norm_b", "key_b").distinct()
-    every = equal.unionByName(sounding).unionByName(starting).unionByName(alike_first)
-    # the difference in length alone bounds the score; only the rest is compared letter by letter
+    itself = a is b
+    distinct = lambda df, side: df.select(F.col("norm").alias(f"norm_{side}"), F.col("phonetic").alias(f"key_{side}")).distinct()
+    a, b = distinct(a, "a"), distinct(b, "b")
+    equal = a.join(b, F.col("norm_a") == F.col("norm_b")).select("norm_a", "norm_b", exact_score(F.col("norm_a")).alias("score"))
+    differ = F.col("norm_a") < F.col("norm_b") if itself else F.col("norm_a") != F.col("norm_b")
     la, lb = F.length("norm_a"), F.length("norm_b")
-    sound = F.when(F.col("key_a") == F.col("key_b"), SOUND_SHARE).otherwise(SOUND_SHARE * SAME_FIRST_SOUND)
-    prefix = F.when(F.substring("norm_a", 1, PREFIX) == F.substring("norm_b", 1, PREFIX), PREFIX_BONUS).otherwise(0.0)
-    bound = EDIT_SHARE * F.least(la, lb) / F.greatest(la, lb) + sound + prefix
-    every = every.filter((bound >= target - 1e-9) | ~differ)
-    # cut by likeness first: the letters of a pair are compared for it only once
+    # least share of equal letters that can still reach the score, by what else is equal
+    target = STRONG + (least - 1.0) / 2.0
+    first_share = SOUND_SHARE * SAME_FIRST_SOUND
+    near_start = max(0.05, (target - PREFIX_BONUS - first_share) / EDIT_SHARE)
+    near_sound = (target - first_share) / EDIT_SHARE
+    longest = F.greatest(la, lb)
+    possible = lambda near: _fewest_edits() <= longest * (1.0 - near) + 1e-9
     columns = [F.col(c) for c in ("norm_a", "norm_b", "key_a", "key_b")]
-    close = every.withColumn("alike", likeness(*columns)).filter(
-        (F.col("alike") >= target - 1e-9) | ~differ
-    )
-    score = F.when(~differ, exact_score(F.col("norm_a"))).otherwise(graded(F.col("alike")))
-    return close.select("norm_a", "norm_b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
+
+    def close(pairs: DataFrame, edits: Column) -> DataFrame:
+        """Pairs whose letters reach the target, with their score; letters are compared once."""
+        alike = pairs.withColumn("alike", _likeness(*columns, edits)).filter(F.col("alike") >= target - 1e-9)
+        return alike.select("norm_a", "norm_b", graded(F.col("alike")).alias("score"))
+
+    whole = F.levenshtein("norm_a", "norm_b")
+    keyed = lambda df, side: df.filter(F.col(f"key_{side}") != "").withColumn("__key", F.col(f"key_{side}"))
+    sounding = _in_parts(keyed(a, "a"), keyed(b, "b"), ["__key"]).filter(differ)
+    # the difference in length alone bounds what letters can give
+    prefix = F.when(_same_start(F.col("norm_a"), F.col("norm_b")), PREFIX_BONUS).otherwise(0.0)
+    bound = EDIT_SHARE * F.least(la, lb) / F.greatest(la, lb) + SOUND_SHARE + prefix
+    scored = close(sounding.filter(bound >= target - 1e-9), whole)
+
+    scored = scored.unionByName(_with_one_start(a, b, itself, near_start, target))
+
+    # found once for each segment that two tokens share
+    a, b = (df.withColumn(f"letters_{side}", _letters(F.col(f"norm_{side}"))) for df, side in ((a, "a"), (b, "b")))
+    alike_first = [_near_first_sound(a, b, "a", "b", near_sound).filter((la > lb) | (differ & (la == lb)))]
+    if not itself:
+        alike_first.append(_near_first_sound(b, a, "b", "a", near_sound).filter(lb > la))
+    for found in alike_first:
+        scored = scored.unionByName(close(found.filter("norm_a <> norm_b").filter(possible(near_sound)), whole).distinct())
+    if itself and not both_orders:
+        scored = scored.select(F.least("norm_a", "norm_b").alias("norm_a"), F.greatest("norm_a", "norm_b").alias("norm_b"), "score")
+    elif itself:
+        both = F.array(F.struct("norm_a", "norm_b"), F.struct(F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b")))
+        scored = scored.select(F.explode(both).alias("p"), "score").select("p.norm_a", "p.norm_b", "score")
+    return equal.unionByName(scored).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
 
 
 # --- dynamic programming for short stretches -------------------------------------------
@@ -290,89 +507,164 @@ def _distances(word: str, table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return row[np.arange(len(lengths)), lengths]
 
 
-def _scores(norms, keys, other_norms, other_keys):
-    """Similarity of each distinct left token to all distinct right tokens, in millionths."""
-    lengths = np.array([len(w) for w in other_norms])
-    table = np.zeros((len(other_norms), max(1, lengths.max())), dtype=np.int64)
-    for r, w in enumerate(other_norms):
-        table[r, : len(w)] = [ord(ch) for ch in w]
-    keys_b = np.array(other_keys, dtype=object)
-    firsts = np.array([k[:1] for k in other_keys], dtype=object)
-    starts = np.array([w[:PREFIX] if len(w) >= PREFIX else "" for w in other_norms], dtype=object)
-    same = np.array(other_norms, dtype=object)
-    rows = []
-    for w, k in zip(norms, keys):
-        edit = 1 - _distances(w, table, lengths) / np.maximum(np.maximum(lengths, len(w)), 1)
-        sound = np.where(keys_b == k, 1.0, np.where(firsts == k[:1], SAME_FIRST_SOUND, 0.0)) if k else 0.0
-        bonus = np.where(starts == w[:PREFIX], PREFIX_BONUS, 0.0) if len(w) >= PREFIX else 0.0
+class _Tokens:
+    """Distinct tokens of one side, ready to be scored against a token of the other."""
+
+    def __init__(self, norms: list[str], keys: list[str]):
+        self.lengths = np.array([len(w) for w in norms])
+        self.table = np.zeros((len(norms), max(1, self.lengths.max(initial=0))), dtype=np.int64)
+        for r, w in enumerate(norms):
+            self.table[r, : len(w)] = [ord(ch) for ch in w]
+        self.keys = np.array(keys, dtype=object)
+        self.firsts = np.array([k[:1] for k in keys], dtype=object)
+        self.starts = np.array([w[:PREFIX] if len(w) >= PREFIX else "" for w in norms], dtype=object)
+        self.norms = np.array(norms, dtype=object)
+
+    def scores(self, w: str, k: str) -> np.ndarray:
+        """Similarity of one token to all of these, in millionths."""
+        edit = 1 - _distances(w, self.table, self.lengths) / np.maximum(np.maximum(self.lengths, len(w)), 1)
+        sound = np.where(self.keys == k, 1.0, np.where(self.firsts == k[:1], SAME_FIRST_SOUND, 0.0)) if k else 0.0
+        bonus = np.where(self.starts == w[:PREFIX], PREFIX_BONUS, 0.0) if len(w) >= PREFIX else 0.0
         alike = np.round(EDIT_SHARE * edit + SOUND_SHARE * sound + bonus, 12)
         graded = np.where(
             alike >= STRONG,
             1.0 + (alike - STRONG) * 2.0,
             np.where(alike >= WEAK, 0.15 + (alike - WEAK) * 1.5, -0.8 - (WEAK - alike) * 1.5),
         )
-        graded = np.where(same == w, EXACT + (LONG_BONUS if len(w) >= LONG_LENGTH else 0.0), graded)
-        rows.append(np.round(graded * SCALE).astype(np.int64))
-    return rows
+        graded = np.where(self.norms == w, EXACT + (LONG_BONUS if len(w) >= LONG_LENGTH else 0.0), graded)
+        return np.round(graded * SCALE).astype(np.int32)
 
 
-def affine_path(ref_norms, ref_keys, hyp_norms, hyp_keys, landmarks=None):
-    """Best alignment of two token lists under affine gap costs.
+def _scores(norms, keys, other_norms, other_keys):
+    """Similarity of each left token to all right tokens, in millionths."""
+    right = _Tokens(list(other_norms), list(other_keys))
+    return [right.scores(w, k) for w, k in zip(norms, keys)]
+
+
+class _Affine:
+    """Rows of the dynamic programme for two token lists under affine gap costs.
 
-    Yields ``(op, i, j, score)``.  Costs are whole millionths, so rows can be filled with
-    running maxima and ties fall the same way everywhere: match, then reference gap.
+    Costs are whole millionths, so rows can be filled with running maxima and ties fall the
+    same way everywhere: match, then reference gap.  A row needs only the row before it, and
+    its first columns only those of that row.
     """
-    n, m = len(ref_norms), len(hyp_norms)
-    if n == 0 or m == 0:
-        return [("lyric-gap", i, None, 0.0) for i in range(n)] + [("asr-gap", None, j, 0.0) for j in range(m)]
-    (ro, re), (ho, he) = [[round(c * SCALE) for c in costs] for costs in (REF_GAP, HYP_GAP)]
-    left = {}
-    for w, k in zip(ref_norms, ref_keys):
-        left.setdefault(w, k)
-    right, inverse = {}, np.empty(m, dtype=np.int64)
-    for j, (w, k) in enumerate(zip(hyp_norms, hyp_keys)):
-        inverse[j] = right.setdefault(w, (len(right), k))[0]
-    table = dict(zip(left, _scores(list(left), list(left.values()), list(right), [k for _, k in right.values()])))
-    never = -(10**15)
-    at = np.arange(m + 1)
-    match = np.concatenate([[0], ho + (at[1:] - 1) * he])
-    ref_gap = np.full(m + 1, never)
-    ref_gap[0] = ro
-    hyp_gap = ho + np.maximum(at - 1, 0) * he
-    way = np.zeros((n + 1, m + 1), dtype=np.int8)
-    way[0, 1:] = 3
-    for i in range(1, n + 1):
-        gain = table[ref_norms[i - 1]][inverse]
-        if landmarks and i - 1 in landmarks:
-            gain = gain.copy()
-            gain[landmarks[i - 1]] += round(LANDMARK_REWARD * SCALE)
+
+    def __init__(self, ref_norms, ref_keys, hyp_norms, hyp_keys, landmarks=None):
+        self.ref, self.landmarks = list(zip(ref_norms, ref_keys)), landmarks or {}
+        right: dict[str, tuple[int, str]] = {}
+        self.places = np.empty(len(hyp_norms), dtype=np.int64)
+        for j, (w, k) in enumerate(zip(hyp_norms, hyp_keys)):
+            self.places[j] = right.setdefault(w, (len(right), k))[0]
+        self.tokens = _Tokens(list(right), [k for _, k in right.values()])
+        self.known: dict[str, np.ndarray] = {}
+        self.left: dict[str, str] = {}
+        for w, k in self.ref:
+            self.left.setdefault(w, k)
+
+    def scores(self, i: int) -> np.ndarray:
+        """Similarity of reference token ``i`` to the distinct tokens; the last ones are kept."""
+        w = self.ref[i][0]
+        if w not in self.known:
+            if len(self.known) * 4 * max(1, len(self.tokens.norms)) >= KEPT_BYTES:
+                self.known.pop(next(iter(self.known)))
+            self.known[w] = self.tokens.scores(w, self.left[w])
+        return self.known[w]
+
+    def first(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row 0 up to column ``m``: best totals that end in a match, a reference gap, a transcript gap."""
+        at = np.arange(m + 1)
+        ho, he = (round(c * SCALE) for c in HYP_GAP)
+        match = np.concatenate([[0], ho + (at[1:] - 1) * he])
+        ref_gap = np.full(m + 1, _NEVER)
+        ref_gap[0] = round(REF_GAP[0] * SCALE)
+        return match, ref_gap, ho + np.maximum(at - 1, 0) * he
+
+    def row(self, i: int, above: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row ``i`` (from 1) from the row above, over the same columns."""
+        (ro, re), (ho, he) = [[round(c * SCALE) for c in costs] for costs in (REF_GAP, HYP_GAP)]
+        match, ref_gap, hyp_gap = above
+        m = len(match) - 1
+        at = np.arange(m + 1)
+        gain = self.scores(i - 1)[self.places[:m]].astype(np.int64)
+        marks = np.atleast_1d(np.array(self.landmarks.get(i - 1, []), dtype=np.int64))
+        gain[marks[marks < m]] += round(LANDMARK_REWARD * SCALE)
         up = np.maximum(np.maximum(match, hyp_gap) + ro, ref_gap + re)
         new_match = np.empty(m + 1, dtype=np.int64)
         new_match[1:] = np.maximum(np.maximum(match, ref_gap), hyp_gap)[:-1] + gain
-        edge = ro + (i - 1) * re
-        new_match[0] = up[0] = edge
+        new_match[0] = up[0] = ro + (i - 1) * re
         opened = np.maximum.accumulate(np.maximum(new_match, up) - at * he)
-        new_hyp = np.full(m + 1, never)
+        new_hyp = np.full(m + 1, _NEVER)
         new_hyp[1:] = opened[:-1] + ho + (at[1:] - 1) * he
-        best = np.maximum(np.maximum(new_match, up), new_hyp)
-        way[i] = np.where(best == new_match, 1, np.where(best == up, 2, 3))
-        way[i, 0] = 2
-        match, ref_gap, hyp_gap = new_match, up, new_hyp
-    path, i, j = [], n, m
-    while i > 0 or j > 0:
-        turn = way[i, j]
-        if turn == 1:
-            i, j = i - 1, j - 1
-            path.append(("match", i, j, table[ref_norms[i]][inverse[j]] / SCALE))
-        elif turn == 2:
-            i -= 1
-            path.append(("lyric-gap", i, None, 0.0))
-        else:
-            j -= 1
-            path.append(("asr-gap", None, j, 0.0))
+        return new_match, up, new_hyp
+
+    def back(self, above, begin: int, end: int, j: int, path: list) -> int:
+        """Walk from row ``end``, column ``j`` to row ``begin`` and return the column there.
+
+        ``above`` is row ``begin``.  Few rows are filled and kept whole; of many only a handful
+        spread over them, and the stretch behind each is then walked on its own, up to the
+        column where the path enters it.  So memory grows with the two lengths and not with
+        their product.
+        """
+        above = tuple(part[: j + 1] for part in above)
+        if (end - begin) * (j + 1) > CELLS and end - begin > 1:
+            cuts = sorted({begin + (end - begin) * p // PARTS for p in range(PARTS)})
+            kept, now = [], above
+            for i in range(begin, cuts[-1] + 1):
+                now = now if i == begin else self.row(i, now)
+                if i in cuts:
+                    kept.append(now)
+            for a, b in zip(reversed(cuts), [end, *reversed(cuts[1:])]):
+                j = self.back(kept.pop(), a, b, j, path)
+            return j
+        ways = []
+        for i in range(begin + 1, end + 1):
+            above = match, up, hyp = self.row(i, above)
+            best = np.maximum(np.maximum(match, up), hyp)
+            way = np.where(best == match, 1, np.where(best == up, 2, 3)).astype(np.int8)
+            way[0] = 2
+            ways.append(way)
+        i = end
+        while i > begin:
+            turn = ways[i - begin - 1][j]
+            if turn == 1:
+                i, j = i - 1, j - 1
+                path.append(("match", i, j, int(self.scores(i)[self.places[j]]) / SCALE))
+            elif turn == 2:
+                i -= 1
+                path.append(("lyric-gap", i, None, 0.0))
+            else:
+                j -= 1
+                path.append(("asr-gap", None, j, 0.0))
+        return j
+
+
+def affine_path(ref_norms, ref_keys, hyp_norms, hyp_keys, landmarks=None):
+    """Best alignment of two token lists under affine gap costs: ``(op, i, j, score)`` in order.
+
+    At every cell the walk back takes the best of the three ways into it.
+    """
+    n, m = len(ref_norms), len(hyp_norms)
+    if n == 0 or m == 0:
+        return [("lyric-gap", i, None, 0.0) for i in range(n)] + [("asr-gap", None, j, 0.0) for j in range(m)]
+    programme, path = _Affine(ref_norms, ref_keys, hyp_norms, hyp_keys, landmarks), []
+    j = programme.back(programme.first(m), 0, n, m, path)
+    path += [("asr-gap", None, k, 0.0) for k in range(j - 1, -1, -1)]
     return path[::-1]
 
 
+def affine_total(ref_norms, ref_keys, hyp_norms, hyp_keys) -> int:
+    """Total of the best alignment, in millionths."""
+    n, m = len(ref_norms), len(hyp_norms)
+    edge = lambda costs, k: round(costs[0] * SCALE) + (k - 1) * round(costs[1] * SCALE) if k else 0
+    if n == 0 or m == 0:
+        return edge(REF_GAP, n) + edge(HYP_GAP, m)
+    programme = _Affine(ref_norms, ref_keys, hyp_norms, hyp_keys)
+    now = programme.first(m)
+    for i in range(1, n + 1):
+        now = programme.row(i, now)
+    return int(max(part[-1] for part in now))
+
+
 CELL = (
     StructType()
     .add("op", StringType())
@@ -449,76 +741,108 @@ def _align_groups(ref: DataFrame, hyp: DataFrame, keys: list[str], landmarks: Da
 def align_affine(ref: DataFrame, hyp: DataFrame, landmarks: DataFrame | None = None) -> DataFrame:
     """Align whole pairs by dynamic programming: ``[pair_id, step, op, i, j, score]``.
 
-    Exact but quadratic; meant for short texts.  ``align_chain`` is the way for long ones.
+    Exact, quadratic in time and linear in memory; ``align_chain`` is the way for long texts.
     ``landmarks[pair_id, i, j]`` reward token pairs known to belong together.
     """
     return _align_groups(ref, hyp, ["pair_id"], landmarks)
 
 
+@F.pandas_udf(LongType())
+def _totals(rn: pd.Series, rk: pd.Series, hn: pd.Series, hk: pd.Series) -> pd.Series:
+    return pd.Series([affine_total(*[list(x) for x in row]) for row in zip(rn, rk, hn, hk)])
+
+
+def align_score(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Best total over all alignments of a pair: ``[pair_id, score]``."""
+    both = _packed(ref, ["pair_id"], "i", "r").join(_packed(hyp, ["pair_id"], "j", "h"), ["pair_id"])
+    total = _totals("r.norm", "r.phonetic", "h.norm", "h.phonetic")
+    return both.select("pair_id", F.round(total / SCALE, 6).alias("score"))
+
+
 # --- chaining for long texts -------------------------------------------------------------
 
 
-def _grams(rows: DataFrame, position: str, side: int, k: int) -> DataFrame:
-    w = Window.partitionBy("pair_id").orderBy(position)
+def _grams(rows: DataFrame, position: str, side: int, k: int, keys: tuple[str, ...]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(position)
     parts = [F.lead("norm", d).over(w) for d in range(k)]
+    # tokens taken out between two others end a run
+    whole = F.lead(position, k - 1).over(w) == F.col(position) + k - 1
     return (
-        rows.withColumn("gram", F.array(*parts))
-        .filter(F.get("gram", F.lit(k - 1)).isNotNull())
-        .select("pair_id", "gram", F.lit(side).alias("side"), F.col(position).alias("pos"))
+        rows.withColumn("gram", F.array(*parts)).withColumn("whole", whole)
+        .filter("whole")
+        .select(*keys, "gram", F.lit(side).alias("side"), F.col(position).alias("pos"))
     )
 
 
-def align_blocks(ref: DataFrame, hyp: DataFrame, k: int = SEED) -> DataFrame:
+def heaviest_chain(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of the longest sequence of points that increases in both coordinates.
+
+    No two points share a coordinate.  A Fenwick tree over the second coordinate gives each
+    point its best predecessor, of equally good ones the first, in logarithmic time.
+    """
+    n = len(first)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.argsort(second, kind="stable")] = np.arange(1, n + 1)
+    tree = [(0, 0)] * (n + 1)  # longest chain so far and minus its last place in order
+    length, before = [0] * n, [-1] * n
+    for k, point in enumerate(order.tolist()):
+        at = int(rank[point])
+        best, p = (0, 0), at - 1
+        while p > 0:
+            best = max(best, tree[p])
+            p -= p & -p
+        length[k] = best[0] + 1
+        before[k] = -best[1] if best[0] else -1
+        mine, p = (length[k], -k), at
+        while p <= n:
+            tree[p] = max(tree[p], mine)
+            p += p & -p
+    chain, k = [], max(range(n), key=lambda k: (length[k], -k)) if n else -1
+    while k >= 0:
+        chain.append(int(order[k]))
+        k = before[k]
+    return np.array(chain[::-1], dtype=np.int64)
+
+
+@F.pandas_udf(ArrayType(StructType().add("i", LongType()).add("j", LongType())))
+def _chained(points: pd.Series) -> pd.Series:
+    out = []
+    for seeds in points:
+        i, j = (np.array([s[c] for s in seeds], dtype=np.int64) for c in ("i", "j"))
+        chain = heaviest_chain(i, j)
+        out.append([{"i": int(a), "j": int(b)} for a, b in zip(i[chain], j[chain])])
+    return pd.Series(out)
+
+
+def align_blocks(ref: DataFrame, hyp: DataFrame, k: int = SEED, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """Diagonal runs of seeds, a seed being ``k`` tokens unique in both texts of a pair.
 
-    One aggregate finds the seeds (no join of occurrences).  ``[pair_id, i0, j0, len]``
-    with ``len`` in tokens; blocks never overlap or cross.
+    One aggregate finds the seeds (no join of occurrences); the largest set of seeds that
+    stand in the same order on both sides stays, so that of two crossing runs the heavier
+    one does.  ``[pair_id, i0, j0, len]`` with ``len`` in tokens; blocks never overlap or cross.
+    With further ``keys`` a seed must be unique in both parts of a pair that share them.
     """
     configure(ref.sparkSession)
-    grams = _grams(ref, "i", 0, k).unionByName(_grams(hyp, "j", 1, k))
+    grams = _grams(ref, "i", 0, k, keys).unionByName(_grams(hyp, "j", 1, k, keys))
     side = F.col("side")
-    seeds = grams.groupBy("pair_id", "gram").agg(
+    seeds = grams.groupBy(*keys, "gram").agg(
         F.count_if(side == 0).alias("nr"),
         F.count_if(side == 1).alias("nh"),
         F.min(F.when(side == 0, F.col("pos"))).alias("i"),
         F.min(F.when(side == 1, F.col("pos"))).alias("j"),
     ).filter("nr = 1 and nh = 1")
-    diagonal = Window.partitionBy("pair_id", "d").orderBy("i")
-    runs = seeds.withColumn("d", F.col("i") - F.col("j")).withColumn(
+    # the seeds of a pair are fewer than its tokens
+    packed = seeds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("seeds"))
+    kept = packed.select(*keys, F.explode(_chained("seeds")).alias("s")).select(*keys, "s.i", "s.j")
+    diagonal = Window.partitionBy(*keys, "d").orderBy("i")
+    runs = kept.withColumn("d", F.col("i") - F.col("j")).withColumn(
         "run", F.col("i") - F.row_number().over(diagonal)
     )
-    blocks = runs.groupBy("pair_id", "d", "run").agg(
-        F.min("i").alias("i0"), F.min("j").alias("j0"), F.count(F.lit(1)).alias("seeds")
-    ).select("pair_id", "i0", "j0", "seeds", (F.col("seeds") + k - 1).alias("len"))
-    # long runs first: single seeds may not push out a run of several
-    sure = _uncrossed(blocks.filter("seeds > 1").withColumn("sure", F.lit(True)))
-    every = sure.unionByName(blocks.filter("seeds = 1").withColumn("sure", F.lit(False)))
-    return _without_overlap(_uncrossed(every, keep_sure=True))
-
-
-def _uncrossed(blocks: DataFrame, keep_sure: bool = False) -> DataFrame:
-    """Drop blocks that contradict the order of another block.
-
-    With ``keep_sure`` only the unsure ones of two contradicting blocks can drop out; the
-    sure ones are free of contradictions among themselves.
-    """
-    w = Window.partitionBy("pair_id").orderBy("i0", "j0")
-    b = Window.partitionBy("pair_id").orderBy(F.col("i0").desc(), F.col("j0").desc())
-    past, rest = w.rowsBetween(Window.unboundedPreceding, -1), b.rowsBetween(Window.unboundedPreceding, -1)
-    against = F.when(F.col("sure"), F.col("j0")) if keep_sure else F.col("j0")
-    crossed = (F.coalesce(F.max(against).over(past), F.lit(-1)) >= F.col("j0")) | (
-        F.coalesce(F.min(against).over(rest), F.lit(2**40)) <= F.col("j0")
-    )
-    if not keep_sure:
-        return blocks.withColumn("x", crossed).filter("not x").drop("x")
-    fits = blocks.withColumn("x", crossed & ~F.col("sure")).filter("not x").drop("x")
-    fits = fits.withColumns(
-        {"p": F.max("j0").over(past), "q": F.min("j0").over(rest)}
-    ).filter(
-        F.col("sure")
-        | ((F.coalesce("p", F.lit(-1)) < F.col("j0")) & (F.coalesce("q", F.lit(2**40)) > F.col("j0")))
+    blocks = runs.groupBy(*keys, "d", "run").agg(
+        F.min("i").alias("i0"), F.min("j").alias("j0"), (F.count(F.lit(1)) + k - 1).alias("len")
     )
-    return fits.drop("p", "q")
+    return _without_overlap(blocks.select("pair_id", "i0", "j0", "len"))
 
 
 def _without_overlap(blocks: DataFrame) -> DataFrame:
@@ -560,24 +884,33 @@ def _open_stretches(rows: DataFrame, position: str, starts: DataFrame, taken: Da
     )
 
 
+def _stretches(ref: DataFrame, hyp: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens of both sides outside the blocks, with the stretch they lie in."""
+    matched = block_matches(blocks)
+    return tuple(
+        _open_stretches(rows, p, blocks.select("pair_id", F.col(f"{p}0").alias("at")), matched.select("pair_id", p))
+        for rows, p in ((ref, "i"), (hyp, "j"))
+    )
+
+
 def align_chain(ref: DataFrame, hyp: DataFrame, k: int = SEED) -> DataFrame:
-    """Align long pairs: unique seeds, uncrossed diagonal blocks, dynamic programming between them.
+    """Align long pairs: chained blocks of unique seeds, then dynamic programming between them.
 
     ``[pair_id, op, i, j, score]``.  Every token of both texts appears exactly once.  The
-    blocks are exact matches, so only the stretches between them are quadratic; the outcome
-    can differ from one global programme where a seed is misleading.
+    stretches between blocks are seeded again, with runs down to two tokens, before what is
+    left of them is aligned; only that is quadratic in time, and in memory nothing is.  The
+    outcome can differ from one global programme where a seed is misleading.
     """
     ref, hyp = stage(ref, "ref-tokens"), stage(hyp, "hyp-tokens")
     blocks = stage(align_blocks(ref, hyp, k), "blocks")
+    # a run that occurs twice in a text may be the only one of its kind in a stretch
+    for shorter in range(k, 1, -1):
+        found = align_blocks(*_stretches(ref, hyp, blocks), shorter, ("pair_id", "gap"))
+        blocks = stage(blocks.unionByName(found), "blocks")
     matched = block_matches(blocks)
     sure = matched.join(ref.select("pair_id", "i", "norm"), ["pair_id", "i"]).select(
         "pair_id", F.lit("match").alias("op"), "i", "j", exact_score(F.col("norm")).alias("score")
     )
-    r = _open_stretches(
-        ref, "i", blocks.select("pair_id", F.col("i0").alias("at")), matched.select("pair_id", "i")
-    )
-    h = _open_stretches(
-        hyp, "j", blocks.select("pair_id", F.col("j0").alias("at")), matched.select("pair_id", "j")
-    )
+    r, h = _stretches(ref, hyp, blocks)
     between = _align_groups(r, h, ["pair_id", "gap"]).select("pair_id", "op", "i", "j", "score")
     return sure.unionByName(between)

@@ -205,14 +205,16 @@ def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the documents of all pairs as a transcript that misses every seventh word."""
+    """Tokens of the documents of all pairs as a transcript that mishears two words of seven."""
     from cadenza.operators.alignment import normalize_tokens, tokens
 
     def build() -> DataFrame:
         found = pairs(spark, sf_dir).select("pair_id", F.col("hyp_id"))
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hyp_id"), "text")
         docs = docs.join(found.select("hyp_id").distinct(), ["hyp_id"], "left_semi")
-        rows = tokens(docs, "hyp_id", "j").filter("j % 7 <> 3")
+        raw, turn = F.col("raw"), F.col("j") % 7
+        misheard = F.when(turn == 3, F.concat(F.lit("x"), raw)).when(turn == 5, F.concat(raw, F.lit("o"))).otherwise(raw)
+        rows = tokens(docs, "hyp_id", "j").withColumn("raw", misheard)
         rows = normalize_tokens(rows, vocabulary(spark, sf_dir), True)
         # a transcript is one document row, so this window is bounded by it
         w = Window.partitionBy("hyp_id").orderBy("spoken")
