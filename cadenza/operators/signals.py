@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 
 from cadenza.functions.timecode import clamp, half_up, idiv
 from cadenza.plans.folds import chunked_fold
+from cadenza.plans.maps import ChunkMaps
 from cadenza.plans.ordered import by_rows, scan
 from cadenza.plans.ranges import points_in_intervals
 from cadenza.plans.skew import join_small
@@ -157,8 +158,33 @@ def onset_thin(candidates: DataFrame, min_frames: int) -> DataFrame:
             (row["frame"] - before["at"] >= min_frames).alias("kept"),
         )
 
+    # the last kept frame before a chunk decides which of its first candidates is kept first, and
+    # that one decides the rest: (first, pieces of (limit, end)), a state up to a limit leaving as end
+    def build(packed: DataFrame, keys: list[str]) -> DataFrame:
+        first = F.get("__items", F.lit(0))["frame"]
+        near = F.filter("__items", lambda c: c["frame"] < first + min_frames)
+        heads = F.slice("__items", 1, F.size(near) + 1)
+        pieces = F.transform(heads, lambda c: F.struct(
+            (c["frame"] - min_frames).alias("limit"),
+            F.aggregate("__items", F.struct((c["frame"] - min_frames).alias("at")), step)["at"].alias("end"),
+        ))
+        return packed.withColumn("__map", F.struct(first.alias("first"), pieces.alias("pieces")))
+
+    def through(pieces: Column, at: Column) -> Column:
+        return F.coalesce(F.get(F.filter(pieces, lambda p: at <= p["limit"]), F.lit(0))["end"], at)
+
+    def then(one: Column, two: Column) -> Column:
+        seen = F.element_at(one["pieces"], -1)["limit"]
+        moved = F.transform(one["pieces"], lambda p: F.struct(p["limit"].alias("limit"), through(two["pieces"], p["end"]).alias("end")))
+        # states that pass the first stretch unchanged lie above its limits and below its first candidate
+        more = F.filter(two["pieces"], lambda p, k: (p["limit"] > seen) & (
+            (k == 0) | (F.get(two["pieces"], k - 1)["limit"] < one["first"])
+        ) & (seen < one["first"] - 1))
+        return F.struct(one["first"].alias("first"), F.concat(moved, more).alias("pieces"))
+
+    maps = ChunkMaps(build, then, lambda m, row: F.struct(F.get(m["pieces"], F.lit(0))["end"].alias("at")))
     return (
-        chunked_fold(candidates, TRACK, "frame", ["flux"], start, step, emit)
+        chunked_fold(candidates, TRACK, "frame", ["flux"], start, step, emit, maps=maps)
         .filter("kept")
         .select("track_id", "frame", "flux")
     )

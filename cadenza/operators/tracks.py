@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.text import let, sung_words, syllables
 from cadenza.functions.timecode import idiv, seconds
 from cadenza.plans.folds import chunked_fold
+from cadenza.plans.maps import ChunkMaps, map_base, maps_joined, sweep_maps
 from cadenza.plans.ordered import by_rows, by_time, scan
 from cadenza.plans.skew import join_small
 from cadenza.session import stage
@@ -49,9 +50,18 @@ def monotone_reject(matches: DataFrame, backstep_us: int = BACKSTEP_US) -> DataF
             (row["start_us"] >= before["at"] - backstep_us).alias("accepted"),
         )
 
-    # the last accepted start is mostly the highest one so far
-    guess = ("start_us", lambda highest: F.struct(highest.alias("at")))
-    return chunked_fold(matches, TRACK, "i", ["start_us"], lowest, step, emit, guess=guess)
+    # a chunk takes in every state that does not bar its highest start, and then always ends
+    # the same; any other state passes unchanged
+    def build(packed: DataFrame, keys: list[str]) -> DataFrame:
+        end = F.aggregate("__items", lowest, step)["at"]
+        return packed.withColumn("__map", F.struct(F.array_max("__items.start_us").alias("top"), end.alias("end")))
+
+    def then(first: Column, second: Column) -> Column:
+        end = F.when(first["end"] <= second["top"] + backstep_us, second["end"]).otherwise(first["end"])
+        return F.struct(F.greatest(first["top"], second["top"]).alias("top"), end.alias("end"))
+
+    maps = ChunkMaps(build, then, lambda m, row: F.struct(m["end"].alias("at")))
+    return chunked_fold(matches, TRACK, "i", ["start_us"], lowest, step, emit, maps=maps)
 
 
 def gap_interpolate(tokens: DataFrame, durations: DataFrame) -> DataFrame:
@@ -130,7 +140,7 @@ def monotone_sweep(tokens: DataFrame) -> DataFrame:
 
     def step(prev: Column, row: Column) -> Column:
         inside = row["start_us"] < prev["end_us"]
-        start = F.when(inside, idiv(prev["end_us"] + row["start_us"], 2)).otherwise(row["start_us"])
+        start = F.when(inside, F.shiftright(prev["end_us"] + row["start_us"], 1)).otherwise(row["start_us"])
         end = F.greatest(row["end_us"], start + MIN_WORD_US)
         earliest = prev["start_us"] + BACKSTEP_US
         late = F.greatest(start, F.coalesce(earliest, start))
@@ -147,7 +157,26 @@ def monotone_sweep(tokens: DataFrame) -> DataFrame:
             after["end_us"].alias("end_us"),
         )
 
-    swept = chunked_fold(tokens, TRACK, "i", ["start_us", "end_us"], fresh, step, emit)
+    # behind a word its end follows from its own start and raw end, so the state is its start
+    def build(packed: DataFrame, keys: list[str]) -> DataFrame:
+        highest = F.array_max(F.transform("__items", lambda w: F.greatest(w["start_us"], w["end_us"])))
+        bound = packed.groupBy(*keys).agg(
+            (F.max(highest) + F.sum(F.size("__items")) * (MIN_WORD_US + BACKSTEP_US)).alias("__bound")
+        )
+        ends = scan(
+            packed.select(*keys, "__part", F.element_at("__items", -1)["end_us"].alias("__end")),
+            keys, ["__part"], by_rows("__part"), lag={"__end_before": F.col("__end")},
+        )
+        known = packed.join(ends.drop("__end"), [*keys, "__part"]).join(bound, keys)
+        fixed = [F.lit(MIN_WORD_US), F.lit(BACKSTEP_US)]
+        return known.withColumn("__map", sweep_maps("__items.start_us", "__items.end_us", "__end_before", "__bound", *fixed))
+
+    def leave(m: Column, row: Column) -> Column:
+        start = map_base(m)
+        return F.struct(start.alias("start_us"), F.greatest(row["end_us"], start + MIN_WORD_US).alias("end_us"))
+
+    maps = ChunkMaps(build, maps_joined, leave)
+    swept = chunked_fold(tokens, TRACK, "i", ["start_us", "end_us"], fresh, step, emit, maps=maps)
     linked = scan(stage(swept, "sweep"), TRACK, ["i"], by_rows("i"), lead={"__next": F.col("__raw")})
     cut = F.when(
         F.col("__next") < F.col("end_us"), idiv(F.col("end_us") + F.col("__next"), 2)

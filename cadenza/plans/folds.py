@@ -1,12 +1,12 @@
 """Folds whose next step needs the previous *result*, over tracks of any length.
 
-The track is cut into chunks of at most ``size`` rows.  Every chunk is folded from a
-guessed entry state (where a rule can tell, one made from the highest value before the
-chunk, else the start of a track); chunks whose guess differs from the exit state of the chunk before
-are folded again, until nothing changes.  Each round fixes at least one more chunk of
-every track, and the timing rules here forget their state within a few rows, so two
-rounds are usual.  The outcome is exactly that of one long fold, yet no task ever
-holds more than ``size`` rows of a track.
+The track is cut into chunks of at most ``size`` rows, and each is folded from its entry
+state.  Where a rule gives the maps of its chunks (``plans.maps``) these are composed and
+every entry state is known after a logarithmic number of rounds.  Without maps, chunks are folded from
+the start of a track; those whose entry differs from the exit state of the chunk before are
+folded again, until nothing changes, which takes a round for each chunk that a state
+lasts.  The outcome is exactly that of one long fold, yet no task ever holds more than
+``size`` rows of a track.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.plans.maps import ChunkMaps, entry_states
 from cadenza.plans.ordered import by_rows, scan
 from cadenza.session import stage
 
@@ -33,14 +34,13 @@ def chunked_fold(
     step: Step,
     emit: Callable[[Column, Column, Column], Column],
     size: int | None = None,
-    guess: tuple[str, Callable[[Column], Column]] | None = None,
+    maps: ChunkMaps | None = None,
 ) -> DataFrame:
     """Fold each track in ``index`` order and emit one row per input row.
 
     ``start`` is the entry state (a struct), ``step(state, row)`` the next state and
     ``emit(before, row, after)`` the struct emitted.  ``index`` must be unique per track.
-    ``guess`` names a field and makes the likely entry state of a chunk from the highest
-    value of that field before it; a wrong guess costs a round, never the result.
+    ``maps`` sum up the rule's chunks; with them no chunk is folded twice.
     """
     size = size or FOLD_ROWS
     packed = stage(
@@ -51,31 +51,9 @@ def chunked_fold(
     )
     on = [*keys, "__part"]
 
-    def exits(df: DataFrame) -> DataFrame:
-        return df.select(*on, "__in", F.aggregate("__items", F.col("__in"), step).alias("__out"))
-
-    entered = packed.withColumn("__in", start)
-    if guess is not None:
-        field, state_of = guess
-        tops = packed.select(*on, F.array_max(F.col(f"__items.{field}")).alias("__top"))
-        tops = scan(tops, keys, ["__part"], by_rows("__part"), max_before={"__high": F.col("__top")})
-        likely = F.when(F.col("__high").isNotNull(), state_of(F.col("__high"))).otherwise(start)
-        entered = packed.join(tops.select(*on, "__high"), on).withColumn("__in", likely)
-    states = stage(exits(entered), "fold-state")
-    while True:
-        linked = scan(states, keys, ["__part"], by_rows("__part"), lag={"__prev": F.col("__out")})
-        linked = linked.withColumn("__new", F.coalesce("__prev", start))
-        stale = linked.filter(~F.col("__new").eqNullSafe(F.col("__in")))
-        if stale.isEmpty():
-            break
-        redo = exits(
-            packed.join(stale.select(*on, F.col("__new").alias("__in")), on)
-        )
-        settled = linked.filter(F.col("__new").eqNullSafe(F.col("__in"))).select(*on, "__in", "__out")
-        states = stage(settled.unionByName(redo), "fold-state")
-
+    states = _settled(packed, keys, start, step) if maps is None else stage(entry_states(packed, keys, start, maps), "fold-state")
     out_type = packed.join(states, on).select(
-        emit(F.col("__in"), F.col("__items")[0], F.col("__out")).alias("e")
+        emit(F.col("__in"), F.col("__items")[0], F.col("__in")).alias("e")
     ).schema[0].dataType
     final = packed.join(states.select(*on, "__in"), on)
 
@@ -93,3 +71,22 @@ def chunked_fold(
     return final.select(
         *keys, F.explode(F.aggregate("__items", seed, grow)["out"]).alias("__row")
     ).select(*keys, "__row.*")
+
+
+def _settled(packed: DataFrame, keys: list[str], start: Column, step: Step) -> DataFrame:
+    """Entry states by folding again whatever chunk began with another state than it should."""
+    on = [*keys, "__part"]
+
+    def exits(df: DataFrame) -> DataFrame:
+        return df.select(*on, "__in", F.aggregate("__items", F.col("__in"), step).alias("__out"))
+
+    states = stage(exits(packed.withColumn("__in", start)), "fold-state")
+    while True:
+        linked = scan(states, keys, ["__part"], by_rows("__part"), lag={"__prev": F.col("__out")})
+        linked = linked.withColumn("__new", F.coalesce("__prev", start))
+        stale = linked.filter(~F.col("__new").eqNullSafe(F.col("__in")))
+        if stale.isEmpty():
+            return states
+        redo = exits(packed.join(stale.select(*on, F.col("__new").alias("__in")), on))
+        settled = linked.filter(F.col("__new").eqNullSafe(F.col("__in"))).select(*on, "__in", "__out")
+        states = stage(settled.unionByName(redo), "fold-state")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.signals import onset_thin
 from cadenza.operators.tracks import monotone_reject, monotone_sweep
-from cadenza.plans import folds
+from cadenza.plans import folds, maps
 from cadenza.plans.folds import chunked_fold
 from cadenza.plans.ordered import by_time, nearest_neighbours, scan
 
@@ -143,3 +144,93 @@ def test_early_outlier_costs_no_round_per_chunk(spark, monkeypatch):
     got = monotone_reject(spark.createDataFrame(starts, "track_id bigint, i bigint, start_us bigint")).filter("accepted")
     assert sorted(r.i for r in got.collect()) == [0, 1]
     assert staged.count("fold-state") <= 3
+
+
+def plain_sweep(words):
+    out, before = [], None
+    for s, e in words:
+        start = (before[1] + s) // 2 if before and s < before[1] else s
+        end = max(e, start + 80_000)
+        if before and before[0] + 20_000 > start:
+            start = before[0] + 20_000
+            end = max(end, start + 80_000)
+        out.append((start, end))
+        before = out[-1]
+    return out
+
+
+def plain_thin(frames, distance):
+    kept = []
+    for f in frames:
+        if not kept or f - kept[-1] >= distance:
+            kept.append(f)
+    return kept
+
+
+def plain_reject(starts):
+    bar, out = -(2**62), []
+    for s in starts:
+        out.append(s >= bar - 20_000)
+        bar = s if out[-1] else bar
+    return out
+
+
+def rounds(monkeypatch, run):
+    """Result of a fold and how many tables of maps it staged."""
+    staged = []
+    real = maps.stage
+    with monkeypatch.context() as m:
+        m.setattr(maps, "stage", lambda df, name: staged.append(name) or real(df, name))
+        m.setattr(folds, "FOLD_ROWS", 4)
+        return run(), staged.count("fold-maps")
+
+
+def test_map_of_a_stretch_is_the_sweep():
+    rng = random.Random(3)
+    for n in (1, 2, 5, 40):
+        for scale in (1_000, 60_000, 3_000_000):
+            starts = [rng.randrange(scale) + k * rng.choice((0, 15_000, 30_000)) for k in range(n)]
+            ends = [s + rng.randrange(150_000) for s in starts]
+            top = 10**9
+            cut = rng.randrange(n + 1)
+            one = maps.sweep_map(starts[:cut], ends[:cut], 77_000, top, 80_000, 20_000)
+            two = maps.sweep_map(starts[cut:], ends[cut:], ends[cut - 1] if cut else 77_000, top, 80_000, 20_000)
+            joined = maps.Halvings.read(one.text()).then(two)
+            assert len(joined.pieces) < 64
+            for a in [0, 1, 20_001, 80_000, 500_000, 3_000_001, 40_000_000, 999_999_999, *(rng.randrange(10**7) for _ in range(20))]:
+                before = (a, max(77_000, a + 80_000))
+                for s, e in zip(starts, ends):
+                    mid = (before[1] + s) // 2 if s < before[1] else s
+                    start = max(mid, before[0] + 20_000)
+                    before = (start, max(e, start + 80_000))
+                assert joined.at(a) == before[0]
+
+
+@pytest.mark.parametrize("outlier", [0, 10**9])
+def test_sweep_that_never_forgets_takes_few_rounds(spark, monkeypatch, outlier):
+    """A first word far too late pushes every later one: 50 chunks, a handful of rounds."""
+    rng = random.Random(9)
+    words = [(outlier + 1_000_000, outlier + 1_100_000)] + [(s := k * 19_000 + rng.randrange(9_000), s + rng.randrange(120_000)) for k in range(199)]
+    other = [(k * 300_000, k * 300_000 + rng.randrange(500_000)) for k in range(3)]
+    rows = [(t, i, s, e) for t, track in ((1, words), (2, other)) for i, (s, e) in enumerate(track)]
+    df = spark.createDataFrame(rows, "track_id bigint, i bigint, start_us bigint, end_us bigint")
+    got, staged = rounds(monkeypatch, lambda: monotone_sweep(df).orderBy("track_id", "i").collect())
+    assert [r.start_us for r in got] == [s for track in (words, other) for s, _ in plain_sweep(track)]
+    assert staged <= 8
+
+
+@pytest.mark.parametrize("distance", [1, 3, 4, 9, 40])
+def test_thin_by_maps(spark, monkeypatch, distance):
+    rng = random.Random(distance)
+    frames = sorted(rng.sample(range(400), 150)) + [900, 901, 5000]
+    df = spark.createDataFrame([(1, f, 0.5) for f in frames], "track_id bigint, frame bigint, flux double")
+    got, staged = rounds(monkeypatch, lambda: onset_thin(df, distance).orderBy("frame").collect())
+    assert [r.frame for r in got] == plain_thin(frames, distance) and staged <= 9
+
+
+def test_reject_by_maps(spark, monkeypatch):
+    rng = random.Random(1)
+    starts = [int(k * 30_000 + rng.gauss(0, 60_000)) + (2_000_000 if k == 20 else 0) for k in range(160)]
+    df = spark.createDataFrame([(1, k, s) for k, s in enumerate(starts)], "track_id bigint, i bigint, start_us bigint")
+    got, staged = rounds(monkeypatch, lambda: monotone_reject(df).orderBy("i").collect())
+    assert [r.accepted for r in got] == plain_reject(starts) and staged <= 7
