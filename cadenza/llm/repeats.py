@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.base import key_runs, pieces, sha
@@ -24,6 +24,9 @@ from cadenza.session import stage
 LENGTH, KEY = 100, 32
 #: Bytes of text that a task looks at together; longer texts are read in overlapping parts.
 PART = 4_000_000
+#: Different segments of one anchor beyond which their strings are grouped by Spark, and anchors
+#: of that kind which are broadcast.
+HOT, HOT_ANCHORS = 1_000, 100_000
 #: Bytes of one suffix array, beyond which its strings are told apart further, and bytes
 #: of suffix arrays made at a time.
 JOINT, AT_ONCE = 4_096, 2_000_000
@@ -33,6 +36,7 @@ _MIX = _RNG.integers(1, 2**62, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 _PLACE = np.uint64(0xFFFFFF)
+_STRING = _RNG.integers(0, 2**63, (2, LENGTH, 256), dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, (2, LENGTH, 256), dtype=np.uint64)
 
 
 def _key_hashes(data: np.ndarray) -> np.ndarray:
@@ -308,39 +312,94 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _string_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, doc, at) of each string of a segment; a and b are 128 bits of hash of its bytes."""
+    place = np.arange(LENGTH)
+    for batch in batches:
+        for begin in range(0, len(batch), 256):
+            part = batch.slice(begin, 256)
+            hashes, docs, starts = [], [], []
+            for data, doc, first in zip(*(part.column(k).to_pylist() for k in ("data", "doc", "first"))):
+                strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), LENGTH)
+                hashes.append(np.stack([np.bitwise_xor.reduce(table[place, strings], axis=1) for table in _STRING]))
+                docs.append(np.full(len(strings), doc))
+                starts.append(first + np.arange(len(strings)))
+            if hashes:
+                a, b = np.concatenate(hashes, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(b), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts).astype(np.int32))],
+                    ["a", "b", "doc", "at"],
+                )
+
+
+def _by_grouping(segments: DataFrame) -> DataFrame:
+    """Repeated starts of the strings of ``segments``, each string a row of its own.
+
+    For anchors with very many surroundings: rows are dealt by string, their first place is a
+    partial aggregate, and what only one place has goes before the join.
+    """
+    strings = stage(segments.mapInArrow(_string_rows, "a long, b long, doc long, at int"), "strings")
+    place = F.struct("doc", "at")
+    lead = strings.groupBy("a", "b").agg(F.min(place).alias("lead"), F.max(place).alias("tail")).where("lead <> tail")
+    again = strings.join(lead.drop("tail"), ["a", "b"]).where(place != F.col("lead"))
+    return again.select("doc", F.col("at").alias("first"), F.col("at").alias("last"))
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc, first, last): every start of a string of LENGTH bytes that also starts earlier.
 
-    ``docs`` has id (long) and text.  Rows that agree in both are one document.
+    ``docs`` has id (long) and text, and rows of one id have one text.
     """
     dealt = docs.mapInArrow(_anchor_rows, _ANCHOR).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc", "first")
     settled = stage(dealt.mapInArrow(_settle, "anchor long, doc long, first int, last int, place int"), "settled")
-    opened = settled.where("place >= 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last", "place")).alias("open"))
+    still = settled.where("place >= 0")
+    hot = stage(still.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    n_hot = hot.limit(HOT_ANCHORS + 1).count()
+    if n_hot <= HOT_ANCHORS:
+        hot = F.broadcast(hot)
+    still = still.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # a document's segments are fewer than its bytes
+    opened = still.groupBy("doc").agg(F.collect_set(F.struct("anchor", "first", "last", "place", "hot")).alias("open"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: dict[str, list] = {k: [] for k in ("anchor", "doc", "first", "last", "place", "data")}
+            out: dict[str, list] = {k: [] for k in ("anchor", "doc", "first", "last", "place", "hot", "data")}
             for doc, text, segments in zip(*(batch.column(k).to_pylist() for k in ("id", "text", "open"))):
                 data = (text or "").encode()
                 for s in segments:
-                    for k in ("anchor", "first", "last", "place"):
+                    for k in ("anchor", "first", "last", "place", "hot"):
                         out[k].append(s[k])
                     out["doc"].append(doc)
                     out["data"].append(data[s["first"] : s["last"] + LENGTH])
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-    segments = (
-        docs.join(opened, F.col("id") == F.col("doc")).select("id", "text", "open")
-        .mapInArrow(cut, "anchor long, doc long, first int, last int, place int, data binary")
-        .repartition("anchor").sortWithinPartitions("anchor", "doc", "first")
+    segments = docs.join(opened, F.col("id") == F.col("doc")).select("id", "text", "open").mapInArrow(
+        cut, "anchor long, doc long, first int, last int, place int, hot boolean, data binary"
     )
-    compared = segments.mapInArrow(_compare, "doc long, first int, last int")
-    return settled.where("place < 0").select("doc", "first", "last").union(compared)
+    if n_hot:
+        segments = stage(segments, "segments")
+    cold = segments.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "first")
+    compared = cold.mapInArrow(_compare, "doc long, first int, last int")
+    found = settled.where("place < 0").select("doc", "first", "last").union(compared)
+    return found.union(_by_grouping(segments.where("hot"))) if n_hot else found
+
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and id: a number for each distinct (doc_id, text) that keeps the order of ids.
 
-def _document_id(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    Null ids come first; different texts under one id are ordered by hash.  Where every id has
+    one text the id is its own number and no text is moved.
+    """
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
+    text = F.coalesce("text", F.lit(""))
+    known = F.struct(F.col("doc_id").isNotNull().alias("k"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("#"), text).alias("b"))
+    hashed = rows.withColumn("h", known)
+    each = stage(hashed.groupBy("id", "h").agg(F.lit(1).alias("one")).drop("one"), "texts")
+    if each.groupBy("id").count().where("count > 1").isEmpty():
+        return rows
+    numbers = stage(each.orderBy("id", "h").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return hashed.join(numbers, ["id", "h"]).select("doc_id", "text", F.col("number").alias("id"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -348,9 +407,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Removed is every byte of a string of LENGTH bytes that starts earlier too: in a document
     of a smaller id, or before in the same one.  A null text is empty; a null id comes before
-    all others.  Rows that repeat an id and its text are one document and get one result each.
+    all others.  Rows that repeat an id and its text are one document and get one result each;
+    different texts under one id, or without any, are documents of their own in the order of
+    their hashes.  Texts of any length are read in overlapping parts.
     """
-    rows = docs.select("doc_id", "text", _document_id(docs).alias("id"))
+    rows = _numbered(docs)
     gone = (
         repeated_starts(rows.select("id", "text"))
         .groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("gone"))

@@ -428,18 +428,33 @@ def test_suffix_arrays_of_many_strings():
 
 def plain_repeats(rows):
     seen, out = {}, {}
-    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0])):
+    order = lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1] or ""))
+    for doc, text in sorted(set(rows), key=order):
         data = (text or "").encode()
         mark = [False] * len(data)
         for k in range(len(data) - 99):
-            if seen.setdefault(data[k : k + 100], (doc, k)) != (doc, k):
+            if seen.setdefault(data[k : k + 100], (doc, text, k)) != (doc, text, k):
                 mark[k : k + 100] = [True] * 100
         kept = bytes(b for b, m in zip(data, mark) if not m)
         spans = sum(m and (k == 0 or not mark[k - 1]) for k, m in enumerate(mark))
-        out[doc] = (len(data), sum(mark), spans, hashlib.sha256(kept).hexdigest())
+        out[doc, text] = (len(data), sum(mark), spans, hashlib.sha256(kept).hexdigest())
     return out
 
 
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def check_repeats(spark, rows):
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_repeats(rows)
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=key) == sorted(
+        ((doc, *want[doc, text]) for doc, text in rows), key=key
+    )
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_repeats_against_all_strings(spark, monkeypatch, small):
     if small:
@@ -455,11 +470,27 @@ def test_repeats_against_all_strings(spark, monkeypatch, small):
             text = text[:k] + "#" + text[k + 1 :]
         rows.append((i, text))
     rows += [(100, "ab" * 400), (101, "ab" * 300 + "x"), (102, None), (103, ""), (104, rows[3][1]), (104, rows[3][1]), (None, rows[5][1]), (105, "z" * 20000)]
-    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = plain_repeats(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+    check_repeats(spark, rows)
+
+
+@pytest.mark.parametrize("hot", [2, 1_000])
+def test_repeats_of_rows_that_share_an_id_or_have_none(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = make(140), make(120), make(300)
+    check_repeats(spark, [(None, "x" * 20), (None, a + "-" + a + "!"), (7, "y" + a), (7, c + a + b), (7, c + a + b), (9, a + make(50))])
+    check_repeats(spark, [(7, b + "one"), (7, b + "another one"), (8, b), (None, b), (None, None), (None, ""), (-(2**63), b)])
+    check_repeats(spark, [(1, a + make(30) + b + make(30)), (2, b + a), (1, a + make(90) + b), (3, make(10) + b), (2, None), (1, make(8))])
+
+
+def test_repeats_around_one_anchor(spark):
+    """A passage with other bytes around it in each of 4,000 documents, and at its edges equal ones."""
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, edges = make(130), [make(25) for _ in range(5)]
+    rows = [(k, make(40) + (rng.choice(edges) if k % 3 else make(25)) + passage + (rng.choice(edges) if k % 2 else make(25)) + make(30)) for k in range(4000)]
+    check_repeats(spark, rows)
 
 
 def test_repeats_empty(empty):
