@@ -75,9 +75,17 @@ def detections(normal: bytes, words: list[bytes]) -> list[Found]:
                 end = bisect_right(spaces, m.end() - 1)
                 found.append((-rule.priority, start - end, start, rule.order, Found(rule.label, rule.priority, start, end)))
     kept: list[Found] = []
+    places = {start: k for k, start in enumerate(sorted({f[2] for f in found}), 1)}
+    reach = [-1] * (len(places) + 1)  # Fenwick tree: furthest end of what starts up to a place
     for *_, one in sorted(found):
-        if not any(k.start <= one.start and one.end <= k.end for k in kept):
+        at = p = places[one.start]
+        covered = -1
+        while p:
+            covered, p = max(covered, reach[p]), p & (p - 1)
+        if covered < one.end:
             kept.append(one)
+            while at < len(reach):
+                reach[at], at = max(reach[at], one.end), at + (at & -at)
     return sorted(kept, key=lambda f: (f.start, f.end, f.label))
 
 

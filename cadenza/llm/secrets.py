@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +21,30 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "cnn")
 _KEYS = ("passw", "secret", "token", "api")
-#: A candidate is a maximal run of these characters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Characters before, of and after a candidate that the network sees.
-BEFORE, INSIDE, AFTER = 24, 64, 8
+#: Access keys and hex keys lie inside maximal runs of these characters.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: A candidate is a maximal run of these characters that is no word or compound of words: of parts
+#: in one case but for a capital in front, with signs between and around.
+_PART = r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[A-Za-z](?![A-Za-z])"
+CANDIDATE = re.compile(
+    rf"(?<![A-Za-z0-9+/_.=-])(?![+/_.=-]*(?:(?:{_PART})[+/_.=-]*)*+(?![A-Za-z0-9+/_.=-]))[A-Za-z0-9+/_.=-]{{8,}}"
+)
+#: Characters before, of and after a stretch of a candidate that the network sees, and how far the
+#: next stretch of a longer candidate lies behind it.
+BEFORE, INSIDE, AFTER, SLIDE = 24, 64, 8, 32
 #: Bounds of the training sample: documents scanned, and findings of each label taken.
 TRAIN_DOCS, TRAIN_EACH = 20_000, 3_000
+#: Made findings to train on, and others to set the threshold by.
+MADE, HELD = 4_000, 2_000
 #: The threshold keeps this share of held-out secrets, and no more ordinary tokens than that.
 RECALL, FALSE_SHARE = 0.95, 0.002
+#: Windows scored at once.
+WINDOWS = 8_192
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:@\"' \n"
 _CODE = {c: k + 2 for k, c in enumerate(_SYMBOLS)}
 _PAD, _OTHER, _SIZE = 0, 1, len(_SYMBOLS) + 2
+_TABLE = np.array([_CODE.get(chr(k), _OTHER) for k in range(128)] + [_OTHER], np.uint8)
+_AT = np.arange(BEFORE + INSIDE + AFTER)
 
 Span = tuple[str, int, int]
 
@@ -40,7 +55,7 @@ def base_spans(text: str) -> list[Span]:
     low = text.lower()
     if any(k in low for k in _KEYS):
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-    for run in CANDIDATE.finditer(text):
+    for run in RUN.finditer(text):
         a, b = run.span()
         for kind, pattern in (("access", ACCESS), ("hex", HEX)):
             out += [(kind, *m.span()) for m in pattern.finditer(text, a, b) if m.end() - m.start() >= LEAST[kind]]
@@ -51,18 +66,43 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text)]
 
 
-def window(text: str, a: int, b: int) -> np.ndarray:
-    """Symbols around and in a candidate; a longer one shows its two ends."""
-    inside = text[a:b]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-INSIDE // 2 :]
-    left, right = text[max(0, a - BEFORE) : a], text[b : b + AFTER]
-    out = np.zeros(BEFORE + INSIDE + AFTER, np.uint8)
-    for at, part in ((BEFORE - len(left), left), (BEFORE, inside), (BEFORE + INSIDE, right)):
-        out[at : at + len(part)] = [_CODE.get(c, _OTHER) for c in part]
+def unknown(text: str, known: list[Span]) -> list[tuple[int, int]]:
+    """Candidates that meet none of the spans ``known``, which are sorted by start."""
+    starts = [s for _, s, _ in known]
+    reach = list(accumulate((e for *_, e in known), max))
+    out = []
+    for a, b in candidates(text):
+        before = bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
+            out.append((a, b))
     return out
 
 
+def windows(text: str, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols around and in every stretch of the candidates, and each stretch's candidate.
+
+    A candidate of up to ``INSIDE`` characters is one stretch; a longer one has one from every
+    ``SLIDE`` characters on, the last up to its end, so that each of its characters is seen.
+    """
+    starts, owner = [], []
+    for k, (a, b) in enumerate(places):
+        own = [*range(a, b - INSIDE, SLIDE), max(a, b - INSIDE)]
+        starts += own
+        owner += [k] * len(own)
+    if not starts:
+        return np.zeros((0, len(_AT)), np.uint8), np.zeros(0, np.int64)
+    owner, starts = np.array(owner), np.array(starts)
+    ends = np.array([b for _, b in places])[owner]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.concatenate([np.zeros(BEFORE, np.uint8), _TABLE[np.minimum(code, 128)], np.zeros(INSIDE + AFTER, np.uint8)])
+    inside = np.minimum(ends - starts, INSIDE)[:, None]
+    # what follows a short candidate stands at the end of the window
+    place = _AT[None, :] + np.where(_AT[None, :] >= BEFORE + INSIDE, inside - INSIDE, 0)
+    out = code[starts[:, None] + place]
+    out[(_AT[None, :] >= BEFORE + inside) & (_AT[None, :] < BEFORE + INSIDE)] = _PAD
+    return out, owner
+
+
 class Network:
     """Embedding, one convolution, largest response inside and around, a logistic unit."""
 
@@ -88,15 +128,23 @@ class Network:
         features = np.concatenate([*pools, np.ones((len(x), 1), np.float32)], axis=1)
         return columns, h, inside, lengths, features, 1 / (1 + np.exp(-np.clip(features @ self.out, -30, 30)))
 
+    def largest(self, text: str, places: list[tuple[int, int]]) -> np.ndarray:
+        """Of each candidate the largest score of its stretches."""
+        out = np.zeros(len(places))
+        for at in range(0, len(places), WINDOWS):
+            x, owner = windows(text, places[at : at + WINDOWS])
+            for k in range(0, len(x), WINDOWS):
+                np.maximum.at(out, at + owner[k : k + WINDOWS], self.score(x[k : k + WINDOWS]))
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         parts = [self._forward(x[k : k + 512])[-1] for k in range(0, len(x), 512)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01) -> None:
-        """Adam on the log loss; a fifth of the rows sets the threshold."""
+        """Adam on the log loss."""
         rng = np.random.default_rng(11)
-        order = rng.permutation(len(x))
-        held, used = order[: len(x) // 5], order[len(x) // 5 :]
+        used = rng.permutation(len(x))
         names = ("embed", "kernel", "bias", "out")
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
@@ -112,7 +160,6 @@ class Network:
                     change = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
                     setattr(self, name, getattr(self, name) - rate * change)
                 self.embed[_PAD] = 0
-        self.calibrate(self.score(x[held]), y[held])
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         columns, h, inside, lengths, features, p = self._forward(x)
@@ -144,70 +191,108 @@ class Network:
             self.threshold = min(by_recall, max(by_false, 0.5))
 
 
-def made_findings(n: int = 400, seed: int = 3) -> list[tuple[str, int, int, int]]:
-    """Labelled findings of forms that a corpus may lack: (text, start, end, label)."""
+def made_findings(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
+    """Labelled findings of forms that no base pattern names: (text, start, end, label).
+
+    Secrets are issued tokens and random strings of 8 to 400 characters, some inside a longer
+    candidate; ordinary ones numbers, dates, versions, names in code, addresses and paths.
+    """
     rng = np.random.default_rng(seed)
 
     def pick(symbols: str, k: int) -> str:
         return "".join(symbols[i] for i in rng.integers(0, len(symbols), k))
 
+    def size(low: int, high: int) -> int:
+        return int(np.exp(rng.uniform(np.log(low), np.log(high + 1))))
+
+    def words(k: int, join: str, capital: bool = False) -> str:
+        out = ["".join(pick("bcdfghklmnprstvw", 1) + pick("aeiou", 1) for _ in range(int(rng.integers(1, 4)))) for _ in range(k)]
+        return join.join(w.capitalize() if capital else w for w in out)
+
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = lower + lower.upper() + digits
+
+    def random_string(symbols: str, low: int, high: int) -> str:
+        """At least one digit and one letter in each case."""
+        out = list(pick(symbols, size(low, high)))
+        for at, kind in zip(rng.permutation(len(out)), (digits, lower, lower.upper())):
+            out[at] = pick(kind, 1)
+        return "".join(out)
+
+    two = lambda: pick(digits, 2)
     forms = (
         (1, lambda: "ghp_" + pick(mixed, 36)), (1, lambda: "xoxb-" + pick(digits, 12) + "-" + pick(mixed, 24)),
         (1, lambda: "AIza" + pick(mixed + "-_", 35)), (1, lambda: "sk_live_" + pick(mixed, 24)),
-        (1, lambda: pick(mixed + "+/", 40)), (1, lambda: pick(mixed, 32)), (1, lambda: pick("0123456789abcdef", 40)),
-        (0, lambda: pick(lower, 7) + "." + pick(digits, 2)), (0, lambda: pick(lower, 20)), (0, lambda: pick(digits, 16)),
-        (0, lambda: "www." + pick(lower, 9) + ".com/" + pick(lower, 6)), (0, lambda: "-" * 20), (0, lambda: "=" * 24),
-        (0, lambda: "2" + pick(digits, 3) + "-" + pick(digits, 2) + "-" + pick(digits, 2) + "." + pick(digits, 9)),
-        (0, lambda: "/".join(pick(lower, 6) for _ in range(4))), (0, lambda: "_".join(pick(lower, 5) for _ in range(4))),
+        (1, lambda: random_string(mixed + "+/", 40, 400)), (1, lambda: random_string(mixed, 8, 40)),
+        (1, lambda: random_string(mixed, 8, 400)), (1, lambda: random_string(mixed + "-_", 12, 64)),
+        (1, lambda: ".".join("eyJ" + pick(mixed + "-_", size(20, 120)) for _ in range(3))),
+        (1, lambda: words(int(rng.integers(1, 12)), "/") + "/" + random_string(mixed, 24, 48) + "/" + words(int(rng.integers(1, 12)), "/")),
+        (0, lambda: pick(digits, size(8, 24))), (0, lambda: f"20{two()}-{two()}-{two()}"), (0, lambda: f"20{two()}-{two()}-{two()}T{two()}.{two()}.{two()}"),
+        (0, lambda: ".".join(str(rng.integers(0, 256)) for _ in range(4))), (0, lambda: "v" + ".".join(pick(digits, 1) for _ in range(3)) + "-" + words(1, "")),
+        (0, lambda: words(int(rng.integers(2, 5)), "", True)), (0, lambda: words(1, "") + words(int(rng.integers(1, 4)), "", True)),
+        (0, lambda: words(int(rng.integers(2, 5)), "_") + "_" + two()), (0, lambda: words(int(rng.integers(2, 6)), "-") + "-" + pick(digits, int(rng.integers(1, 5)))),
+        (0, lambda: "www." + words(2, "") + ".com/" + words(int(rng.integers(1, 30)), "/") + "/20" + two()),
+        (0, lambda: words(int(rng.integers(1, 4)), "/") + "/" + words(1, "") + pick(digits, 2) + ".html"),
+        (0, lambda: pick("-=._", 1) * size(8, 80)), (0, lambda: words(1, "") + pick(digits, int(rng.integers(1, 5))) + words(1, "")),
+        (0, lambda: words(2, ".", True) + "." + pick(digits, 1)), (0, lambda: "+" + pick(digits, 2) + "-" + pick(digits, 3) + "-" + pick(digits, 7)),
     )
     lead = ("key: ", "use ", "Authorization: Bearer ", "the ", "in ", "see ", "= ", "")
     out = []
-    for _ in range(n):
+    while len(out) < n:
         label, form = forms[int(rng.integers(0, len(forms)))]
-        before, token = pick(lower, 6) + " " + lead[int(rng.integers(0, len(lead)))], form()
-        out.append((before + token + " " + pick(lower, 5), len(before), len(before) + len(token), label))
+        before, token = words(2, " ") + " " + lead[int(rng.integers(0, len(lead)))], form()
+        text = before + token + " " + words(2, " ")
+        if (len(before), len(before) + len(token)) in unknown(text, base_spans(text)):
+            out.append((text, len(before), len(before) + len(token), label))
     return out
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """(x, label, place): windows of all candidates; those that meet a base span have label 1."""
+def base_windows(docs: DataFrame) -> DataFrame:
+    """(x): windows of the candidates that meet a base span, each once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            xs, labels = [], []
+            xs: set[bytes] = set()
             for text in batch.column("text").to_pylist():
-                text = text or ""
-                known = base_spans(text)
-                for a, b in candidates(text):
-                    xs.append(window(text, a, b).tobytes())
-                    labels.append(int(any(s < b and a < e for _, s, e in known)))
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(labels, pa.int32())], ["x", "label"])
+                known = base_spans(text or "")
+                if known:
+                    free = set(unknown(text, known))
+                    xs.update(x.tobytes() for x in windows(text, [c for c in candidates(text) if c not in free])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(xs), pa.binary())], ["x"])
 
-    return docs.select("text").mapInArrow(run, "x binary, label int").distinct()
+    return docs.select("text").mapInArrow(run, "x binary").distinct()
 
 
 def fit_network(docs: DataFrame) -> Network:
-    """Train on labelled findings of a bounded sample of documents and on made ones."""
+    """Train on base findings of a bounded sample of documents and on made findings.
+
+    What the base does not judge in the corpus is no training row: it may be a secret.  The
+    threshold is set on made findings that were not trained on, forms the network has to decide.
+    """
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    found = findings(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
-    order = (F.xxhash64("x"), F.col("x"))
-    some = found.where("label = 1").orderBy(*order).limit(TRAIN_EACH).union(found.where("label = 0").orderBy(*order).limit(TRAIN_EACH)).toArrow()
-    made = [(window(t, a, b), y) for t, a, b, y in made_findings()]
-    x = np.stack([np.frombuffer(v, np.uint8) for v in some["x"].to_pylist()] + [w for w, _ in made])
-    y = np.array(some["label"].to_pylist() + [y for _, y in made], np.float32)
-    order = np.lexsort(x.T[::-1])
+    found = base_windows(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+    some = found.orderBy(F.xxhash64("x"), "x").limit(TRAIN_EACH).toArrow()["x"].to_pylist()
+    parts = [np.frombuffer(v, np.uint8)[None] for v in some]
+    labels = [np.ones(len(some))]
+    for text, a, b, y in made_findings(MADE):
+        x, _ = windows(text, [(a, b)])
+        if y and len(x) > 3:  # which stretch of a long candidate holds the secret is not known
+            x = x[[len(x) // 2]]
+        parts.append(x)
+        labels.append(np.full(len(x), y))
     network = Network()
-    network.train(x[order], y[order])
+    network.train(np.concatenate(parts), np.concatenate(labels).astype(np.float32))
+    held = made_findings(HELD, seed=4)
+    network.calibrate(np.array([network.largest(t, [(a, b)])[0] for t, a, b, _ in held]), np.array([y for *_, y in held]))
     return network
 
 
 def find_secrets(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, counts and hash of the base spans, and all spans of each row.
 
-    A candidate that meets a base span adds nothing; every other one is scored.  A null text
-    is empty and has no spans.
+    A candidate that meets a base span adds nothing; every other one is scored whole, by the
+    largest score of its stretches.  A null text is empty and has no spans.  Rows are looked at
+    one by one, repeated ones too; a text of any length takes time in proportion to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -217,22 +302,15 @@ def find_secrets(docs: DataFrame, network: Network) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            base, spans, xs, places = [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            base, spans = [], []
+            for text in batch.column("text").to_pylist():
                 text = text or ""
                 known = base_spans(text)
+                free = unknown(text, known)
+                scores = shared.value.largest(text, free)
                 base.append(known)
-                spans.append(list(known))
-                for a, b in candidates(text):
-                    if not any(s < b and a < e for _, s, e in known):
-                        xs.append(window(text, a, b))
-                        places.append((k, a, b))
-            if xs:
-                for (k, a, b), p in zip(places, shared.value.score(np.stack(xs))):
-                    if p >= shared.value.threshold:
-                        spans[k].append(("cnn", a, b))
-            for own in spans:
-                own.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+                added = [("cnn", *free[k]) for k in np.flatnonzero(scores >= shared.value.threshold)]
+                spans.append(sorted(known + added, key=lambda s: (s[1], KINDS.index(s[0]))))
             counts = [pa.array([sum(s[0] == name for s in own) for own in base], pa.int64()) for name in KINDS[:3]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *counts, pa.array([sha(joined(own).encode()) for own in base]), pa.array([joined(own) for own in spans])],
