@@ -20,7 +20,7 @@ def segments(spark, sf_dir):
 
 
 def line_onsets(spark, sf_dir):
-    return B.timed_words(spark, sf_dir).filter("event_id % 3 <> 1").select(
+    return B.timed_words(spark, sf_dir).select(
         "track_id", F.greatest(F.lit(0), F.col("start_us") + ((F.col("event_id") * 31) % 401 - 200) * 1000).alias("at_us")
     )
 
@@ -209,7 +209,7 @@ w AS (
   WINDOW p AS (PARTITION BY track_id, line_index)
 ),
 o AS (
-  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS at FROM timed_words WHERE event_id % 3 <> 1
+  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS at FROM timed_words
 ),
 best AS (
   SELECT w.track_id, w.n, arg_min(o.at, abs(o.at - w.start_us) * 10 + CASE WHEN o.at > w.start_us THEN 1 ELSE 0 END) AS b

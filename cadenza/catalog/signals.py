@@ -102,9 +102,9 @@ bins AS (
 
 _CLIPS = _SAMPLES + """,
 clip AS (
-  SELECT vec_id AS clip_id, vec_id // 8 AS track_id, q, list_extract(embedding, q + 21)::DOUBLE * 0.5 + ((q * 7) % 5 - 2) * 0.01 AS c,
+  SELECT vec_id AS clip_id, vec_id // 8 AS track_id, q, list_extract(embedding, q + 1)::DOUBLE * 0.5 + ((q * 7) % 5 - 2) * 0.01 AS c,
          vec_id % 8 * 640000 + vec_id % 3 * 400000 AS cursor_us
-  FROM embeddings CROSS JOIN range(24) t(q)
+  FROM embeddings CROSS JOIN range(64) t(q)
 )"""
 
 # best hit per job: jobs(clip_id, track_id, rs, re) at a decimation factor
@@ -130,7 +130,7 @@ jc AS (SELECT * FROM jobs WHERE len >= 200 AND re - rs >= 200),
 """ + _HIT.format(x="1", f=4, jobs="jc") + """,
 found AS (SELECT jc.*, rs + lag * 4 AS tick, confidence FROM jc JOIN h1 USING (clip_id)),
 jf AS (
-  SELECT clip_id, track_id, greatest(0, tick - 50) AS rs, least(len, tick + 24 + 50) AS re FROM found WHERE confidence >= 0.25
+  SELECT clip_id, track_id, greatest(0, tick - 50) AS rs, least(len, tick + 64 + 50) AS re FROM found WHERE confidence >= 0.25
   UNION ALL SELECT clip_id, track_id, rs, re FROM jobs WHERE NOT (len >= 200 AND re - rs >= 200)
 ),""" + _HIT.format(x="2", f=1, jobs="jf") + """
 SELECT clip_id, rs + lag AS lag, confidence FROM jf JOIN h2 USING (clip_id)
@@ -145,7 +145,7 @@ ORACLE = {
     "syllable_starts": "WITH " + TIMED_WORDS + """,
 w AS (SELECT track_id, n, start_us, end_us, event_id % 4 + 1 AS k FROM timed_words),
 o AS (
-  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS tick FROM timed_words WHERE event_id % 3 <> 1
+  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS tick FROM timed_words
 ),
 first AS (
   SELECT w.track_id, w.n, k, tick, tick > start_us + 30000 AND tick < end_us - 30000 AS good

@@ -91,10 +91,14 @@ def requests(spark, sf_dir):
     )
 
 
-def stored_transcripts(spark, sf_dir, remainder):
+#: Documents whose transcripts are stored already; those of the others are new.
+STORED = "doc_id % 3 = 1"
+
+
+def stored_transcripts(spark, sf_dir, which):
     return (
         B.table(spark, sf_dir, "documents")
-        .filter(F.col("doc_id") % 3 == remainder)
+        .filter(which)
         .select(
             F.sha2("text", 256).alias("sha"),
             F.lit("m1").alias("model"),
@@ -161,10 +165,10 @@ QUERIES = {
     "doc_migrate": lambda s, d: T.doc_migrate(stored_documents(s, d)),
     "asset_manifest": lambda s, d: T.asset_manifest(assets(s, d), 20_000),
     "asset_dedup": lambda s, d: T.asset_dedup(T.asset_manifest(assets(s, d))),
-    "cache_misses": lambda s, d: T.cache_misses(requests(s, d), stored_transcripts(s, d, 1)),
-    "cache_hits": lambda s, d: T.cache_hits(requests(s, d), stored_transcripts(s, d, 1), ["result_id"]),
+    "cache_misses": lambda s, d: T.cache_misses(requests(s, d), stored_transcripts(s, d, STORED)),
+    "cache_hits": lambda s, d: T.cache_hits(requests(s, d), stored_transcripts(s, d, STORED), ["result_id"]),
     "cache_put": lambda s, d: T.cache_put(
-        stored_transcripts(s, d, 1), stored_transcripts(s, d, 2), ["result_id"]
+        stored_transcripts(s, d, STORED), stored_transcripts(s, d, f"not ({STORED})"), ["result_id"]
     ),
     "upsert_latest": upserted,
     "delete_keys": lambda s, d: T.delete_keys(job_events(s, d), odd_jobs(s, d), ["job_id"]),
@@ -270,7 +274,7 @@ SELECT * FROM want JOIN first USING (sha, model, language)""",
     "cache_put": "WITH " + _CACHE + """
 SELECT sha, model, language, arg_min(result_id, part * 1000000000 + result_id) AS result_id,
        arg_min(result_chars, part * 1000000000 + result_id) AS result_chars
-FROM stored WHERE part IN (1, 2) GROUP BY sha, model, language""",
+FROM (SELECT * REPLACE (CASE WHEN part = 1 THEN 1 ELSE 2 END AS part) FROM stored) GROUP BY sha, model, language""",
     "upsert_latest": "WITH " + _JOBS + """
 SELECT job_id, status, progress, updated_us, event_id FROM jobs
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_us DESC, event_id DESC) = 1""",

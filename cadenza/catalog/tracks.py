@@ -108,6 +108,12 @@ def realigned(spark, sf_dir):
     return T.line_realign(lines, heard_words(spark, sf_dir), line_onsets(spark, sf_dir))
 
 
+def late_captions(spark, sf_dir):
+    """Captions of which every second track begins five seconds late."""
+    shift = F.col("track_id") % 2 * 5_000_000
+    return B.captions(spark, sf_dir).withColumns({c: F.col(c) + shift for c in ("start_us", "end_us")})
+
+
 QUERIES = {
     "monotone_reject": lambda s, d: T.monotone_reject(jittered(s, d)),
     "gap_interpolate": lambda s, d: T.gap_interpolate(open_tokens(s, d), B.durations(s, d)),
@@ -119,7 +125,7 @@ QUERIES = {
     ),
     "gap_markers": lambda s, d: T.gap_markers(T.overlap_trim(B.captions(s, d))),
     "gap_markers_intro": lambda s, d: T.gap_markers(
-        T.overlap_trim(B.captions(s, d).filter(~F.col("instrumental"))), intro=True
+        T.overlap_trim(late_captions(s, d)), intro=True
     ),
     "proportional_layout": layout,
     "proportional_words": lambda s, d: T.proportional_words(layout(s, d)),
@@ -249,7 +255,7 @@ distributed AS (
 
 _REALIGN = _DISTRIBUTE + """,
 o AS (
-  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS tick FROM timed_words WHERE event_id % 3 <> 1
+  SELECT DISTINCT track_id, greatest(0, start_us + ((event_id * 31) % 401 - 200) * 1000) AS tick FROM timed_words
 ),
 best AS (
   SELECT w.track_id, w.idx, w.k, arg_min(tick, abs(tick - w.start_us) * 10 + CASE WHEN tick > w.start_us THEN 1 ELSE 0 END) AS b
@@ -349,8 +355,9 @@ FROM ends JOIN durations USING (track_id)""",
     "overlap_trim": "WITH " + CAPTIONS + "," + _TRIM.format(src="captions")
     + " SELECT track_id, idx, start_us, end_us FROM trimmed",
     "gap_markers": "WITH " + CAPTIONS + "," + _TRIM.format(src="captions") + "," + _MARK.format(opening="NULL"),
-    "gap_markers_intro": "WITH " + CAPTIONS + ","
-    + _TRIM.format(src="(SELECT * FROM captions WHERE NOT instrumental)") + "," + _MARK.format(opening="0"),
+    "gap_markers_intro": "WITH " + CAPTIONS + """,
+late AS (SELECT * REPLACE (start_us + track_id % 2 * 5000000 AS start_us, end_us + track_id % 2 * 5000000 AS end_us) FROM captions),"""
+    + _TRIM.format(src="late") + "," + _MARK.format(opening="0"),
     "proportional_layout": "WITH " + _LAYOUT + " SELECT * FROM layout",
     "proportional_words": "WITH " + _LAYOUT + "," + _CAPTION_VOCAB + """,
 lw AS (
