@@ -22,8 +22,9 @@ from cadenza.llm.base import pieces, sha
 
 #: Pieces that a worker remembers; it starts anew beyond that.
 REMEMBERED = 400_000
-#: Pieces of one query, and bytes from which a piece takes the query for long ones.
-AT_ONCE, LONG = 20_000, 64
+#: Pieces and bytes of one query (a longer piece stands alone), and bytes from which a piece
+#: takes the query for long ones.
+AT_ONCE, BYTES_AT_ONCE, LONG = 20_000, 1_000_000, 64
 #: Bytes of text whose pieces are looked up together.
 TOGETHER = 4_000_000
 #: Code points below this have their classes spelled out, for the faster standard matcher.
@@ -46,38 +47,50 @@ WITH RECURSIVE s(w, i, id, nx, done) AS (
   ) b ON b.w = s.w
   WHERE NOT s.done AND (b.w IS NULL OR s.i <> b.place)
 )"""
-# the same, but all places of the least rank at once where no token made of the new one
-# ranks before it (then the order among these places cannot matter)
+# The same for long pieces, many places at once; i is the token's first byte and a contracted
+# token's place keeps -1.  What happens elsewhere reaches a place only through one growing
+# token, and no token is longer than {reach} bytes.  So a place is contracted as soon as no
+# rank within {reach} bytes before and twice that behind it comes first.  Equal ranks before it do
+# no harm where the new token makes no better pair with what stands beside it (calm); of
+# a run of overlapping places every second one is taken, once the run's start is settled.
 _LONG = """
-WITH RECURSIVE s(w, i, id, nx, done) AS (
-  SELECT w, i, id, nx, false FROM start
-  UNION ALL
-  SELECT w, (row_number() OVER (PARTITION BY w ORDER BY i) - 1)::INTEGER, id, nx, done
-  FROM (
-    WITH pairs AS (
-      SELECT s.w, s.i, m.rank, m.free, min(m.rank) OVER (PARTITION BY s.w) AS least
-      FROM s JOIN merges m ON m.pair = s.id::BIGINT * 65536 + s.nx WHERE NOT s.done
-    ), best AS (
-      SELECT w, i, rank, free, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run,
-             row_number() OVER (PARTITION BY w ORDER BY i) AS nth
-      FROM pairs WHERE rank = least
-    ), chosen AS (
-      SELECT w, i, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY i) AS k FROM best
-      ) WHERE nth = 1 OR (free AND k % 2 = 1)
-    )
-    SELECT s.w, s.i, coalesce(l.rank, s.id) AS id, coalesce(r.rank, s.nx) AS nx, u.w IS NULL AS done
-    FROM s
-    LEFT JOIN (SELECT DISTINCT w FROM chosen) u ON u.w = s.w
-    LEFT JOIN chosen c ON c.w = s.w AND c.i = s.i
-    LEFT JOIN chosen l ON l.w = s.w AND l.i + 1 = s.i
-    LEFT JOIN chosen r ON r.w = s.w AND r.i - 1 = s.i
-    WHERE NOT s.done AND c.w IS NULL
+WITH RECURSIVE s(w, i, id) USING KEY (w, i) AS (
+  SELECT w, i, id FROM start
+  UNION
+  (WITH live AS (
+    SELECT w, i, id, lead(id) OVER o AS nx, lead(i) OVER o AS ni, lag(id) OVER o AS pv, lead(id, 2) OVER o AS nn
+    FROM recurring.s WHERE id >= 0 WINDOW o AS (PARTITION BY w ORDER BY i)
+  ), ranked AS (
+    SELECT l.*, m.rank, CASE WHEN NOT m.free THEN m.rank END AS bound,
+           lag(m.rank) OVER (PARTITION BY l.w ORDER BY l.i) IS DISTINCT FROM m.rank AS begins
+    FROM live l LEFT JOIN merges m ON m.pair = l.id::BIGINT * 65536 + l.nx
+  ), judged AS (
+    SELECT p.w, p.i, p.ni, p.rank, sum(p.begins::INTEGER) OVER (PARTITION BY p.w ORDER BY p.i) AS run,
+           coalesce(least(a.rank, b.rank, c.rank) >= p.rank, true) AS calm
+    FROM ranked p
+    LEFT JOIN merges a ON a.pair = p.pv::BIGINT * 65536 + p.bound
+    LEFT JOIN merges b ON b.pair = p.bound::BIGINT * 65536 + p.nn
+    LEFT JOIN merges c ON c.pair = p.bound::BIGINT * 65536 + p.bound
+    WHERE p.rank IS NOT NULL
+  ), seen AS (
+    SELECT *,
+           coalesce(min(2 * rank + calm::INTEGER) OVER (PARTITION BY w ORDER BY i RANGE BETWEEN {reach} PRECEDING AND 1 PRECEDING)
+                    > 2 * rank, true) AS settled,
+           coalesce(min(rank) OVER (PARTITION BY w ORDER BY i RANGE BETWEEN 1 FOLLOWING AND {twice} FOLLOWING)
+                    >= rank, true) AS first
+    FROM judged
+  ), runs AS (
+    SELECT *, row_number() OVER r AS nth, first_value(settled) OVER r AS open,
+           bool_and(calm) OVER (PARTITION BY w, run) AS even
+    FROM seen WINDOW r AS (PARTITION BY w, run ORDER BY i)
+  ), chosen AS (
+    SELECT w, i, ni, rank FROM runs WHERE first AND open AND (nth = 1 OR (even AND nth % 2 = 1))
   )
-)"""
+  SELECT w, i, rank AS id FROM chosen UNION ALL SELECT w, ni, -1 FROM chosen)
+), s_done AS (SELECT w, i, id FROM s WHERE id >= 0)"""
 _RESULT = """
 SELECT w, string_agg(t.mark, ',' ORDER BY i) AS marks
-FROM s JOIN tokens t ON t.id = s.id WHERE done GROUP BY w"""
+FROM {table} s JOIN tokens t ON t.id = s.id {where} GROUP BY w"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,6 +114,18 @@ def _latin(pattern: str) -> re.Pattern | None:
     )
 
 
+def _portions(todo: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    part, size = [], 0
+    for word, data in todo:
+        if part and (len(part) == AT_ONCE or size + len(data) > BYTES_AT_ONCE):
+            yield part
+            part, size = [], 0
+        part.append((word, data))
+        size += len(data)
+    if part:
+        yield part
+
+
 class Codec:
     """Encodes and decodes pieces of text; remembers what it has met."""
 
@@ -121,6 +146,9 @@ class Codec:
                     least[a], least[b] = min(r, least.get(a, r)), min(r, least.get(b, r))
         if len(ranks) >= 65536:
             raise ValueError("token ids take 16 bits here")
+        reach = max(map(len, ranks))
+        self.short = _SHORT + _RESULT.format(table="s", where="WHERE done")
+        self.long = _LONG.format(reach=reach, twice=2 * reach) + _RESULT.format(table="s_done", where="")
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32()),
                            "free": pa.array([least.get(r, r + 1) > r for r in rank])})
@@ -144,22 +172,21 @@ class Codec:
         after = np.append(ids[1:], -1).astype(np.int32)
         after[ends - 1] = -1
         self.base.register("start", pa.table({"w": owner, "i": place, "id": ids, "nx": after}))
-        got = self.base.execute(query + _RESULT).fetchnumpy()
+        got = self.base.execute(query).fetchnumpy()
         self.base.unregister("start")
         return zip(got["w"].tolist(), got["marks"].tolist())
 
     def learn(self, words: list[str]) -> None:
         """Remember ids and decoded bytes of distinct pieces that are not known yet."""
-        by_query: dict[str, list[tuple[str, bytes]]] = {_SHORT: [], _LONG: []}
+        by_query: dict[str, list[tuple[str, bytes]]] = {self.short: [], self.long: []}
         for word in words:
             data = word.encode("utf-8", "surrogatepass")
             if (rank := self.ranks.get(data)) is not None:  # a piece that is a token is not merged
                 self.ids[word], self.decoded[word] = b"%d" % rank, data
             else:
-                by_query[_LONG if len(data) > LONG else _SHORT].append((word, data))
+                by_query[self.long if len(data) > LONG else self.short].append((word, data))
         for query, todo in by_query.items():
-            for at in range(0, len(todo), AT_ONCE):
-                part = todo[at : at + AT_ONCE]
+            for part in _portions(todo):
                 for w, marks in self._query([data for _, data in part], query):
                     marks = marks.split(",")
                     self.ids[part[w][0]] = ",".join(marks[::2]).encode()
@@ -191,7 +218,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ids (array of int) and decoded text of each row, for storing.
 
-    A null text is empty: no ids and an empty decoded text.
+    A null text is empty: no ids and an empty decoded text.  Repeated rows give repeated
+    rows, no rows no rows.  Texts of any length are encoded whole, in time that grows with
+    their length also where no space breaks them.
     """
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
@@ -209,7 +238,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; a null text is empty."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, as ``encode_documents`` gives them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

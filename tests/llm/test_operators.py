@@ -765,6 +765,28 @@ def test_bpe_forgets_and_goes_on(reference, monkeypatch):
         assert [x[1].decode() for x in own.encode([text])] == [",".join(map(str, reference.encode_ordinary(text)))]
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "a", "ab", "=-", "äöüßабвг漢字仮名"])
+@pytest.mark.parametrize("length", [65, 200, 3000])
+def test_bpe_long_pieces(reference, alphabet, length):
+    """Runs without a break, at random and in periods, against the library."""
+    rng = np.random.default_rng(length)
+    texts = ["".join(rng.choice(list(alphabet), length)) for _ in range(4)]
+    texts += [(t[:n] * length)[:length] for t in texts[:2] for n in (1, 2, 3, 5, 7)]
+    for text, (n, ids, decoded) in zip(texts, bpe.codec(PATH, PATTERN).encode(texts)):
+        assert [int(i) for i in ids.split(b",")] == reference.encode(text)
+        assert decoded.decode() == text
+
+
+def test_bpe_work_grows_with_the_length(reference):
+    """A piece of 40,000 letters once took over a minute."""
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 40_000))
+    began = time.monotonic()
+    (n, ids, decoded), = bpe.Codec(bpe.read_ranks(PATH), PATTERN).encode([text])
+    assert decoded.decode() == text and n == ids.count(b",") + 1
+    assert time.monotonic() - began < 40
+
+
 def test_bpe_edges(odd, empty, reference):
     rows = bpe.token_digests(odd, PATH, PATTERN).collect()
     assert len(rows) == 11 and bpe.token_digests(empty, PATH, PATTERN).count() == 0
