@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.base import CHUNK_CHARS, pieces
+from cadenza.llm.base import pieces
 from cadenza.session import stage, stage_files
 
 SPACE = 32
@@ -86,15 +86,9 @@ def positions(texts: list[str], pad: int) -> Positions:
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """(rows, parts of their texts, row of each part): very long texts come in several parts."""
+    """(rows, their texts, row of each text); a text of any length stays whole, so that no n-gram is lost."""
     for batch in pieces(batches):
-        parts, rows = [], []
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            text = text or ""
-            for at in range(0, max(1, len(text)), CHUNK_CHARS):
-                parts.append(text[at : at + CHUNK_CHARS])
-                rows.append(k)
-        yield batch, parts, np.array(rows)
+        yield batch, [text or "" for text in batch.column("text").to_pylist()], np.arange(len(batch))
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:

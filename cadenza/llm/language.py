@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, prefix: str = "") ->
     Only ``text`` is read; columns of the same names are replaced.  Texts that are null or
     without a letter are ``und`` with score 0 and rejected, as is everything where no
     training row existed.  Rejected otherwise means: the best language's cross-entropy lies
-    far beyond that of its own documents; lang_pred still names it.
+    far beyond that of its own documents; lang_pred still names it.  Texts of any length are
+    read whole, repeated rows are treated alike.
     """
     added = {"lang_pred": "string", "score": "double", "n_chars": "long", "entropy": "double", "rejected": "boolean"}
     added = {prefix + k: v for k, v in added.items()}

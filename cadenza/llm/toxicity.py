@@ -99,6 +99,8 @@ def fit_toxicity(training: DataFrame, labels: DataFrame) -> ToxicityModel | None
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     )
+    # labels of documents that are not learnt from choose nothing either
+    marked = stage(marked.join(training.select("doc_id").hint("merge"), "doc_id", "left_semi"), "marked")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = training.select("doc_id", "text").where(F.col("text").isNotNull())
     # labels grow with the corpus: never broadcast, whatever their size here
@@ -129,7 +131,8 @@ def _evidence_rows(rows: DataFrame, shared) -> DataFrame:
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """(doc_id, score, predicted, ratio) of each row of ``docs``; only text decides.
 
-    A null text counts as empty; without any training row every score is 0.
+    A null text counts as empty; without any training row every score is 0.  Texts of any
+    length are scored whole; repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()

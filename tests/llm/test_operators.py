@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -117,6 +118,32 @@ def test_known_chunks_are_those_of_the_whole_model(spark, monkeypatch):
         assert np.array_equal(known.log_p(found, at), model.log_p(found, at))
 
 
+def test_a_very_long_text_has_no_seams(spark):
+    """Counts of a text above two million characters are those of a plain loop."""
+    words = np.random.default_rng(3).choice(["stone", "river", "on", "x", "mountainous"], 420_000)
+    text = " ".join(words)
+    assert len(text) > 2_000_000
+    rows = spark.createDataFrame([("a", text)], "class string, text string")
+    got = {np.frombuffer(r["gram"], np.uint16).tobytes().decode("utf-16-le"): r["n"] for r in kn.count_grams(rows, 4).collect()}
+    padded = "   " + text
+    assert got == collections.Counter(padded[k - 3 : k + 1] for k in range(3, len(padded)))
+
+
+def test_labels_of_other_documents_choose_no_calibration_rows(spark, monkeypatch):
+    """Labels beyond the training rows change nothing, however many there are."""
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 3 == 0 else 'kind'} text {i}") for i in range(300)], "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    more = labels + [(i, i % 2) for i in range(1000, 3000)]
+    kind = "doc_id long, toxic int"
+    scores = [
+        sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_toxicity(
+            docs, toxicity.fit_toxicity(docs, spark.createDataFrame(each, kind))).collect())
+        for each in (labels, more)
+    ]
+    assert scores[0] == scores[1]
+
+
 def test_toxicity_counts_all_rows_but_those_that_calibrate(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
     counted, fit = [], kn.fit
