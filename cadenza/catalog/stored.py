@@ -64,6 +64,69 @@ def stored_documents(spark, sf_dir):
     )
 
 
+def project_documents(spark, sf_dir):
+    """Every document as a whole project: its lines as captions with words, and foreign fields."""
+    i = F.col("doc_id")
+    part = lambda name, value: value.alias(name)
+    split = F.filter(
+        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != "")),
+        lambda words: F.size(words) > 0,
+    )
+    caption = lambda words, n: F.struct(
+        F.array_join(words, " ").alias("text"),
+        part("startSec", n * 2.0),
+        part("endSec", n * 2.0 + F.size(words) * 0.25),
+        F.transform(
+            words,
+            lambda w, k: F.struct(
+                w.alias("text"), part("startSec", n * 2.0 + k * 0.25), part("endSec", n * 2.0 + k * 0.25 + 0.125)
+            ),
+        ).alias("words"),
+    )
+    meta = F.struct(
+        F.concat(F.lit("Doc "), i.cast("string")).alias("title"),
+        F.lit("Many").alias("artist"),
+        part("durationSec", F.lit(12.5)),
+        part("fps", F.lit(25)),
+        F.lit("1280x720").alias("resolution"),
+        F.lit("9:16").alias("aspectRatio"),
+    )
+    ident = F.concat(F.lit("d"), i.cast("string"))
+    body = F.to_json(
+        F.struct(
+            meta.alias("meta"),
+            F.transform(split, caption).alias("captions"),
+            F.struct(F.lit(True).alias("snap"), F.struct("lang").alias("nested")).alias("settings"),
+            F.col("source").alias("x_note"),
+        )
+    )
+    ages = F.array(*map(F.lit, ["", '"version":0,', '"version":3,', '"version":"x",', '"version":2,']))
+    age = F.get(ages, (i % 5).cast("int"))
+    json = F.concat(F.lit('{"id":"'), ident, F.lit('",'), age, F.substring(body, 2, 2**31 - 1))
+    return B.table(spark, sf_dir, "documents").select(
+        ident.alias("id"), F.when(i % 11 == 0, F.concat(F.lit("["), json)).otherwise(json).alias("json")
+    )
+
+
+def upgraded_documents(spark, sf_dir):
+    """What became of every document, read back from its upgraded JSON."""
+    raw = project_documents(spark, sf_dir)
+    new = T.doc_upgrade(raw)
+    v = F.parse_json("json")
+    field = lambda path, kind="string": F.try_variant_get(v, "$." + path, kind)
+    return new.join(raw.select("id", F.col("json").alias("old")), "id").select(
+        "id",
+        "valid",
+        "changed",
+        (F.col("json") == F.col("old")).alias("same_bytes"),
+        field("version", "bigint").alias("version"),
+        field("meta.title").alias("title"),
+        field("x_note").alias("note"),
+        field("settings.nested.lang").alias("lang"),
+        F.size(field("captions", "array<variant>")).cast("bigint").alias("captions"),
+    )
+
+
 def assets(spark, sf_dir):
     def files(table, ident, text, prefix):
         i = F.col(ident)
@@ -163,6 +226,9 @@ QUERIES = {
     "transcript_segments": lambda s, d: T.transcript_scan(transcripts(s, d))[2],
     "transcript_docs": lambda s, d: T.transcript_scan(transcripts(s, d))[0],
     "doc_migrate": lambda s, d: T.doc_migrate(stored_documents(s, d)),
+    "doc_upgrade": upgraded_documents,
+    "doc_captions": lambda s, d: T.doc_captions(T.doc_upgrade(project_documents(s, d))).drop("item"),
+    "doc_words": lambda s, d: T.doc_words(T.doc_captions(T.doc_upgrade(project_documents(s, d)))),
     "asset_manifest": lambda s, d: T.asset_manifest(assets(s, d), 20_000),
     "asset_dedup": lambda s, d: T.asset_dedup(T.asset_manifest(assets(s, d))),
     "cache_misses": lambda s, d: T.cache_misses(requests(s, d), stored_transcripts(s, d, STORED)),
@@ -208,6 +274,19 @@ judged AS (
   SELECT *, NOT broken AND c_custkey % 6 NOT IN (4, 5) AND c_acctbal >= 0 AND c_custkey % 13 <> 0 AS valid FROM raw
 )"""
 
+_PROJECTS = """
+projects AS (
+  SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, 'Doc ' || CAST(doc_id AS VARCHAR) AS name, lang, source,
+         doc_id % 11 = 0 AS broken, doc_id % 11 <> 0 AND doc_id % 5 <> 3 AS valid, doc_id % 5 AS age,
+         list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+                                    lambda l: list_filter(string_split(l, ' '), lambda w: w <> '')),
+                     lambda ws: len(ws) > 0) AS lines
+  FROM documents
+),
+captions AS (
+  SELECT id, unnest(lines) AS words, CAST(generate_subscripts(lines, 1) - 1 AS BIGINT) AS idx FROM projects WHERE valid
+)"""
+
 _ASSETS = """
 src AS (
   SELECT page_id AS i, html AS body, 'p' AS prefix FROM pages UNION ALL SELECT doc_id, text, 'd' FROM documents
@@ -255,6 +334,18 @@ SELECT id, CASE WHEN valid AND c_custkey % 6 IN (2, 3) THEN 2 ELSE 1 END::BIGINT
        CASE WHEN valid THEN c_acctbal ELSE 0 END AS duration_sec,
        CASE WHEN valid THEN 25 ELSE 30 END::DOUBLE AS fps, valid
 FROM judged""",
+    "doc_upgrade": "WITH " + _PROJECTS + """
+SELECT id, valid, NOT valid OR age < 2 AS changed, valid AND age >= 2 AS same_bytes,
+       CASE WHEN NOT valid THEN 1 ELSE [1, 1, 3, 1, 2][age + 1] END::BIGINT AS version,
+       CASE WHEN broken THEN 'Untitled' ELSE name END AS title, CASE WHEN valid THEN source END AS note,
+       CASE WHEN valid THEN lang END AS lang, CASE WHEN valid THEN len(lines) ELSE 0 END::BIGINT AS captions
+FROM projects""",
+    "doc_captions": "WITH " + _PROJECTS + """
+SELECT id, idx, array_to_string(words, ' ') AS text, idx * 2000000 AS start_us, idx * 2000000 + len(words) * 250000 AS end_us
+FROM captions""",
+    "doc_words": "WITH " + _PROJECTS + """
+SELECT id, idx, k, text, idx * 2000000 + k * 250000 AS start_us, idx * 2000000 + k * 250000 + 125000 AS end_us
+FROM (SELECT id, idx, unnest(words) AS text, CAST(generate_subscripts(words, 1) - 1 AS BIGINT) AS k FROM captions)""",
     "asset_manifest": "WITH " + _ASSETS + """,
 judged AS (
   SELECT *, CASE WHEN size > 20000 THEN 'oversized_upload'

@@ -134,6 +134,102 @@ def doc_migrate(raw: DataFrame) -> DataFrame:
     )
 
 
+def doc_upgrade(raw: DataFrame) -> DataFrame:
+    """Whole stored documents ``raw[id, json]`` at the current version: ``[id, json, changed, valid]``.
+
+    Documents are VARIANT values, so fields that no schema names (captions, words, settings and
+    whatever else a client stored) survive.  A document that needs no change keeps its very
+    bytes.  A missing or zero version becomes 1 and nothing else changes.  A document that is
+    no object or breaks the schema becomes the default document with its id and title.
+    """
+    def of(path: str) -> Column:
+        return F.try_variant_get("v", "$." + path, "variant")
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(of(path)), F.lit("VOID"))
+
+    def text(path: str) -> Column:
+        return F.when(kind(path) == "STRING", F.try_variant_get("v", "$." + path, "string"))
+
+    def number(path: str) -> Column:
+        return F.when(kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("v", "$." + path, "double"))
+
+    def timed(x: Column) -> Column:
+        start, end = (F.try_variant_get(x, f"$.{t}Sec", "double") for t in ("start", "end"))
+        return F.try_variant_get(x, "$.text", "string").isNotNull() & (end >= start)
+
+    captions = F.try_variant_get("v", "$.captions", "array<variant>")
+    fresh = of("version").isNull() | (number("version") == 0)
+    version = F.when(fresh, F.lit(float(DOCUMENT_VERSION))).otherwise(number("version"))
+    ok = (
+        text("id").isNotNull()
+        & (version >= 0) & (version == F.floor(version))
+        & text("meta.title").isNotNull() & text("meta.artist").isNotNull()
+        & (number("meta.durationSec") >= 0) & (number("meta.fps") > 0)
+        & text("meta.resolution").isin(RESOLUTIONS) & text("meta.aspectRatio").isin(ASPECT_RATIOS)
+        & (of("captions").isNull() | F.forall(captions, lambda x: F.coalesce(timed(x), F.lit(False))))
+    )
+    d = raw.withColumn("v", F.try_parse_json("json"))
+    d = d.withColumns({"valid": F.coalesce(ok, F.lit(False)), "fresh": F.coalesce(fresh, F.lit(False))})
+    fields = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k != "version")
+    set_version = F.create_map(F.lit("version"), F.to_variant_object(F.array(F.lit(DOCUMENT_VERSION))))
+    set_version = F.transform_values(set_version, lambda _, one: F.variant_get(one, "$[0]", "variant"))
+    default = F.to_json(
+        F.struct(
+            F.coalesce(text("id"), F.col("id")).alias("id"),
+            F.lit(DOCUMENT_VERSION).alias("version"),
+            F.struct(
+                F.coalesce(F.try_variant_get("v", "$.meta.title", "string"), F.lit("Untitled")).alias("title"),
+                F.lit("Unknown Artist").alias("artist"),
+                F.lit(0).alias("durationSec"),
+                F.lit(30).alias("fps"),
+                F.lit(RESOLUTIONS[1]).alias("resolution"),
+                F.lit(ASPECT_RATIOS[0]).alias("aspectRatio"),
+                F.lit("en").alias("language"),
+            ).alias("meta"),
+            F.array().cast("array<string>").alias("captions"),
+        )
+    )
+    upgraded = F.to_json(F.to_variant_object(F.map_concat(fields, set_version)))
+    return d.select(
+        F.when(F.col("valid"), text("id")).otherwise(F.coalesce(text("id"), F.col("id"))).alias("id"),
+        F.when(~F.col("valid"), default).when(F.col("fresh"), upgraded).otherwise(F.col("json")).alias("json"),
+        (~F.col("valid") | F.col("fresh")).alias("changed"),
+        "valid",
+    )
+
+
+def doc_captions(docs: DataFrame) -> DataFrame:
+    """Captions of whole documents ``docs[id, json]``: ``[id, idx, text, start_us, end_us, item]``.
+
+    ``item`` is the caption as it was stored; a document without captions gives no row.
+    """
+    items = F.try_variant_get(F.try_parse_json("json"), "$.captions", "array<variant>")
+    return docs.select("id", F.posexplode(items).alias("idx", "item")).select(
+        "id",
+        F.col("idx").cast("bigint").alias("idx"),
+        F.try_variant_get("item", "$.text", "string").alias("text"),
+        *_times("item"),
+        "item",
+    )
+
+
+def doc_words(captions: DataFrame) -> DataFrame:
+    """Words of the captions that ``doc_captions`` gives: ``[id, idx, k, text, start_us, end_us]``."""
+    words = F.try_variant_get("item", "$.words", "array<variant>")
+    return captions.select("id", "idx", F.posexplode(words).alias("k", "w")).select(
+        "id",
+        "idx",
+        F.col("k").cast("bigint").alias("k"),
+        F.try_variant_get("w", "$.text", "string").alias("text"),
+        *_times("w"),
+    )
+
+
+def _times(item: str) -> list[Column]:
+    return [micros_of(F.try_variant_get(item, f"$.{t}Sec", "double")).alias(f"{t}_us") for t in ("start", "end")]
+
+
 def asset_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under a path as ``[asset_id, name, mime, size, sha]``; contents stay on the executors."""
     name = F.element_at(F.split("path", "/"), -1)

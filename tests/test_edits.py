@@ -1,6 +1,7 @@
 """Edits, repairs and stored tables on small fixtures."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,37 @@ def test_old_documents(spark):
     assert got == {"p1": (1, "T", "A", True), "p2": (1, "Kept", "Unknown Artist", False), "p3": (1, "Untitled", "Unknown Artist", False)}
 
 
+def test_whole_documents_keep_what_no_schema_names(spark):
+    meta = '"meta":{"title":"T","artist":"A","durationSec":1.5,"fps":25,"resolution":"1280x720","aspectRatio":"1:1"}'
+    word = '{"text":"la","startSec":0.5,"endSec":0.75,"hint":[1,null]}'
+    caption = '{"text":"la","startSec":0.5,"endSec":1,"words":[' + word + ']}'
+    rest = meta + ',"captions":[' + caption + '],"own":{"a":[1,{"b":"\u00fc"}],"n":null}'
+    same = '{ "version" : 2, "id":"same", ' + rest + "}"
+    docs = {
+        "same": same,
+        "zero": '{"id":"zero","version":0,' + rest + "}",
+        "none": '{"id":"none",' + rest + "}",
+        "late": '{"id":"late","version":1,' + meta + ',"captions":[{"text":"x","startSec":2,"endSec":1}]}',
+        "text": '{"id":"text","version":"1",' + meta + "}",
+        "list": "[1]",
+        "cut": '{"id":',
+        "void": None,
+    }
+    raw = spark.createDataFrame(list(docs.items()), "id string, json string")
+    got = {r.id: r for r in S.doc_upgrade(raw).collect()}
+    assert got["same"].json == same and not got["same"].changed
+    for name in ("zero", "none"):
+        want = json.loads(docs[name]) | {"version": 1}
+        assert json.loads(got[name].json) == want and got[name].changed and got[name].valid
+    for name, title in (("late", "T"), ("text", "T"), ("list", "Untitled"), ("cut", "Untitled"), ("void", "Untitled")):
+        new = json.loads(got[name].json)
+        assert not got[name].valid and (new["id"], new["version"], new["meta"]["title"], new["captions"]) == (name, 1, title, [])
+    captions = S.doc_captions(S.doc_upgrade(raw))
+    assert {(r.id, r.idx, r.start_us, r.end_us) for r in captions.collect()} == {(n, 0, us(0.5), us(1)) for n in ("same", "zero", "none")}
+    assert {(r.id, r.k, r.text, r.end_us) for r in S.doc_words(captions).collect()} == {(n, 0, "la", us(0.75)) for n in ("same", "zero", "none")}
+    assert S.doc_upgrade(raw.limit(0)).count() == 0
+
+
 def test_files_to_manifest(spark, tmp_path):
     (tmp_path / "a.mp3").write_bytes(b"one")
     (tmp_path / "b.wav").write_bytes(b"one")
