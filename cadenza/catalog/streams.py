@@ -22,8 +22,9 @@ EVENT_SCHEMA = (
 
 
 def table_stream(spark, sf_dir, name, schema):
+    """A table as a stream; it may be one file or a folder of files, and only a pattern takes both."""
     configure(spark)
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def reports(spark, sf_dir):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.catalog.signals import flux
-from cadenza.catalog.streams import replayed
+from cadenza.catalog.streams import dedup, replayed
 from cadenza.operators.signals import onset_candidates, onset_thin
 from cadenza.streaming import jobs as S
 
@@ -153,3 +153,9 @@ def test_phrases_close_after_silence(spark, tmp_path):
     stream = spark.readStream.schema("track_id bigint, ts timestamp, length_s double").parquet(path)
     got = S.run_available(S.phrases(stream, 3.5, "10 seconds"), "phrase-test").orderBy("start_us").collect()
     assert [r.words for r in got] == [2, 1]
+
+
+def test_a_table_in_a_folder_of_files_is_streamed_whole(spark, tmp_path, rows):
+    spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(dedup(spark, str(tmp_path)))
+    assert got == rows(dedup(spark, SF_DIR)) and len(got) > 100
