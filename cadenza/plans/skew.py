@@ -25,11 +25,12 @@ def join_small(
 
     The salt of a row is a hash of its ``by`` columns, so a key's rows spread over
     ``salts`` tasks and a retried task assigns them alike.  ``how`` may be inner, left,
-    left_semi or left_anti.
+    left_semi or left_anti.  Both sides are shuffled: Spark takes the copies for no larger than
+    the table, so its own choice would send all of them through the driver.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+    return salted.join(copies.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def join_unique(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
