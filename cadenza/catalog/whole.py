@@ -43,7 +43,7 @@ def run(spark, sf_dir):
         (F.col("idx") % 10 / 10).alias("confidence"),
         F.col("idx").alias("anchor_id"),
     )
-    return run_sync(lines, heard, segments, durations, B.vocabulary(spark, sf_dir), anchors)
+    return run_sync(lines, heard, segments, durations, B.pair_vocabulary(spark, sf_dir), anchors)
 
 
 QUERIES = {

@@ -44,7 +44,8 @@ def sheet_owners(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = lines.filter(~F.col("instrumental")).select(
         "track_id", F.col("idx").alias("line_index"), F.posexplode(words_of(F.col("text"))).alias("pos", "raw")
     )
-    parts = normalize_tokens(words, vocabulary, False, ("part", "norm", "phonetic", "syllables"))
+    words = stage(words, "sheet-words")
+    parts = stage(normalize_tokens(words, vocabulary, False, ("part", "norm", "phonetic", "syllables")), "sheet-parts")
     # a line of text holds fewer words than a chunk, so 256 lines bound one
     return dense_index(parts, TRACK, ["line_index", "pos", "part"], by_rows("line_index", 256), "i")
 
@@ -66,7 +67,8 @@ def run_sync(
     """
     plausible, dropped = transcript_sanitize(heard, segments, durations)
     owners = stage(sheet_owners(lines, vocabulary), "owners")
-    spoken = normalize_tokens(plausible.withColumnRenamed("word", "raw"), vocabulary, True)
+    plausible = stage(plausible.withColumnRenamed("word", "raw"), "plausible")
+    spoken = stage(normalize_tokens(plausible, vocabulary, True), "spoken-forms")
     spoken = stage(
         dense_index(spoken.withColumnRenamed("j", "spoken"), TRACK, ["spoken"], by_rows("spoken"), "j"), "spoken-tokens"
     )
