@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.timecode import clamp, frame_start, idiv, seconds
+from cadenza.functions.text import let, sung_words
+from cadenza.functions.timecode import clamp, idiv, seconds
 from cadenza.plans.ordered import by_rows, nearest_neighbours, scan
 from cadenza.plans.ranges import points_in_intervals
 from cadenza.plans.skew import join_small
@@ -146,6 +147,17 @@ def nearest_onset(words: DataFrame, onsets: DataFrame, window_us: int = ONSET_WI
     )
 
 
+def even_windows(words: Column) -> Column:
+    """Equally wide windows of a caption's words, as :func:`cadenza.operators.tracks.even_words` gives them."""
+    span = F.greatest(F.lit(seconds(0.04)), F.col("end_us") - F.col("start_us"))
+
+    def windows(w: Column) -> Column:
+        edge = lambda k: F.col("start_us") + idiv(span * k, F.size(w))
+        return F.transform(w, lambda _, k: F.struct(edge(k).alias("start_us"), edge(k + 1).alias("end_us")))
+
+    return let(words, windows)
+
+
 def snap_targets(captions: DataFrame) -> DataFrame:
     """Zero and every caption edge of a track, as one target list."""
     edges = F.explode(F.array(F.lit(0).cast("bigint"), F.col("start_us"), F.col("end_us")))
@@ -263,36 +275,50 @@ def frame_active(
     ``captions[track_id, idx, start_us, end_us, text, ...]``; one without a row in ``words``
     gets its words evenly, one without any word is drawn with no word in any state.  A
     caption lists its own frames and holds its words as one array, so frames meet neither
-    captions nor words in a join, and no frame row is shuffled.
+    captions nor words in a join, and no frame row is shuffled.  Words change state on few of a
+    caption's frames: they are counted once for each run of frames between two changes.
     """
-    from cadenza.operators.tracks import caption_words_even
-
     on = ["track_id", "idx"]
-    bare = captions.join(words.select(*on).distinct(), on, "left_anti")
-    spans = [*on, "start_us", "end_us"]
-    every = words.select(*spans).unionByName(caption_words_even(bare).select(*spans))
-    held = every.groupBy(*on).agg(F.collect_list(F.struct("start_us", "end_us")).alias("__words"))
+
+    def from_frame(us: Column) -> Column:
+        """First frame whose time is ``us`` or later; frame times are rounded half up."""
+        return F.ceil((us - offset_us + lead_us - F.lit(0.5)) * fps / F.lit(1_000_000)).cast("bigint")
+
+    def states(start: Column, end: Column) -> Column:
+        return F.struct(from_frame(start).alias("begun"), from_frame(end).alias("over"))
+
+    own = words.groupBy(*on).agg(F.collect_list(states(F.col("start_us"), F.col("end_us"))).alias("__own"))
     margin = seconds(0.05)
     first = F.ceil((F.col("start_us") - margin - offset_us) * fps / F.lit(1_000_000)).cast("bigint")
     last = F.floor((F.col("end_us") + margin - offset_us) * fps / F.lit(1_000_000)).cast("bigint")
     drawn = captions.select(
-        "track_id", "idx", F.greatest(F.lit(0), first).alias("__a"), last.alias("__b")
+        *on, "start_us", "end_us", "text", F.greatest(F.lit(0), first).alias("__a"), last.alias("__b")
     ).filter("__b >= __a")
-    frames = drawn.join(held, on, "left").select(
-        *on, "__words", F.explode(F.sequence("__a", "__b")).alias("frame")
+    even = F.transform(even_windows(sung_words(F.col("text"))), lambda w: states(w["start_us"], w["end_us"]))
+    none = F.array().cast("array<struct<begun:bigint,over:bigint>>")
+    held = drawn.join(own, on, "left").select(*on, "__a", "__b", F.coalesce("__own", even, none).alias("__words"))
+    changes = F.filter(
+        F.concat("__words.begun", "__words.over"), lambda f: (f > F.col("__a")) & (f <= F.col("__b"))
+    )
+    cut = held.select(
+        *on, "__b", "__words", F.sort_array(F.array_distinct(F.concat(F.array("__a"), changes))).alias("__cuts")
     )
-    at = frame_start(F.col("frame"), fps) + offset_us - lead_us
 
     def count(state) -> Column:
-        return F.coalesce(F.size(F.filter("__words", state)), F.lit(0)).cast("bigint")
+        return F.size(F.filter("__words", state)).cast("bigint")
+
+    def run(f: Column, i: Column) -> Column:
+        return F.struct(
+            f.alias("from"),
+            F.coalesce(F.get("__cuts", i + 1) - 1, F.col("__b")).alias("to"),
+            count(lambda w: f < w["begun"]).alias("future"),
+            count(lambda w: (f >= w["begun"]) & (f >= w["over"])).alias("past"),
+            count(lambda w: (f >= w["begun"]) & (f < w["over"])).alias("active"),
+        )
 
-    return frames.select(
-        "track_id",
-        "frame",
-        "idx",
-        count(lambda w: at < w["start_us"]).alias("future"),
-        count(lambda w: (at >= w["start_us"]) & (at >= w["end_us"])).alias("past"),
-        count(lambda w: (at >= w["start_us"]) & (at < w["end_us"])).alias("active"),
+    runs = cut.select(*on, F.explode(F.transform("__cuts", run)).alias("r")).select(*on, "r.*")
+    return runs.select(
+        "track_id", F.explode(F.sequence("from", "to")).alias("frame"), "idx", "future", "past", "active"
     )
 
 

@@ -122,3 +122,32 @@ def test_captions_without_words_are_drawn(spark):
     words = spark.createDataFrame([(1, 0, 0, 900_000)], "track_id bigint, idx bigint, start_us bigint, end_us bigint")
     got = {(r.idx, r.frame): (r.future, r.past, r.active) for r in frame_active(captions, words, 4).collect()}
     assert got[0, 2] == (0, 0, 1) and got[1, 5] == (1, 0, 1) and got[1, 7] == (0, 1, 1) and got[2, 9] == (0, 0, 0)
+
+
+def test_frames_between_two_changes_are_counted_once(spark):
+    captions = spark.createDataFrame(
+        [(1, 0, 0, 3_000_000, "one two"), (1, 1, 1_000_001, 999_999, "x"), (1, 2, 500_000, 700_000, "♪"), (1, 3, 0, 100_000, None)],
+        "track_id bigint, idx bigint, start_us bigint, end_us bigint, text string",
+    )
+    words = spark.createDataFrame(
+        [(1, 0, 33_333, 33_334), (1, 0, 33_334, 2_000_000), (1, 0, 1_500_000, 1_400_000), (1, 0, 9_000_000, 9_500_000), (1, 0, None, 5)],
+        "track_id bigint, idx bigint, start_us bigint, end_us bigint",
+    )
+    for offset, lead in ((0, 0), (100_000, -40_000)):
+        active = frame_active(captions, words, 30, offset, lead)
+        got = {(r.idx, r.frame): (r.future, r.past, r.active) for r in active.collect()}
+        spans = {0: [tuple(r[2:]) for r in words.collect()], 1: [(1_000_001, 1_040_001)], 2: [], 3: []}
+        want = {}
+        for _, idx, start, end, _ in captions.collect():
+            for frame in range(0, 200):
+                if start - 50_000 <= frame * 1_000_000 / 30 + offset <= end + 50_000:
+                    at = int(frame * 1_000_000 / 30 + 0.5) + offset - lead
+                    known = [(s, e) for s, e in spans[idx] if s is not None]
+                    want[idx, frame] = (
+                        sum(at < s for s, _ in known),
+                        sum(at >= s and at >= e for s, e in known),
+                        sum(s <= at < e for s, e in known),
+                    )
+        assert got == want
+    plan = frame_active(captions, words, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan.split("Join")[0].split("explode(sequence")[0]

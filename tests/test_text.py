@@ -126,3 +126,17 @@ def test_natural_order_of_long_numbers(spark):
     long = ["1" + "0" * 19 + "9", "1" + "0" * 19 + "1", "2" * 19, "0" * 30 + "7"]
     df = spark.createDataFrame([(t,) for t in long], "t string")
     assert [r.t for r in natural_sort(df, "t").collect()] == sorted(long, key=int)
+
+
+def test_parts_are_counted_as_normal_forms_split(spark):
+    words = [
+        "", "'", "-", "...", "&", " % ", "#1", "plain", "Don't", "DON’T", "d.o.n.t", "dooont", "illl", "i'm!", "1d",
+        "(gonna)", "gonnna", "gon-na", "rock'n'roll", "23", "0012", "1234567", "é", "♪", "...aint", "İm", "ID", "x" * 40,
+    ]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    w = F.col("w")
+    parts = X.parts_of(X.normalized(w))
+    got = df.select("w", X.part_count(w).alias("n"), F.size(parts).alias("want")).collect()
+    assert [(r.w, r.n) for r in got] == [(r.w, r.want) for r in got]
+    got = df.select("w", X.first_part(w).alias("p"), F.try_element_at(parts, F.lit(1)).alias("want")).collect()
+    assert [(r.w, r.p) for r in got] == [(r.w, r.want) for r in got]
