@@ -103,18 +103,16 @@ def project_documents(spark, sf_dir):
     ages = F.array(*map(F.lit, ["", '"version":0,', '"version":3,', '"version":"x",', '"version":2,']))
     age = F.get(ages, (i % 5).cast("int"))
     json = F.concat(F.lit('{"id":"'), ident, F.lit('",'), age, F.substring(body, 2, 2**31 - 1))
-    return B.table(spark, sf_dir, "documents").select(
+    return B.texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").select(
         ident.alias("id"), F.when(i % 11 == 0, F.concat(F.lit("["), json)).otherwise(json).alias("json")
     )
 
 
 def upgraded_documents(spark, sf_dir):
     """What became of every document, read back from its upgraded JSON."""
-    raw = project_documents(spark, sf_dir)
-    new = T.doc_upgrade(raw)
-    v = F.parse_json("json")
-    field = lambda path, kind="string": F.try_variant_get(v, "$." + path, kind)
-    return new.join(raw.select("id", F.col("json").alias("old")), "id").select(
+    new = T.doc_upgrade(project_documents(spark, sf_dir).withColumn("old", F.col("json")))
+    field = lambda path, kind="string": F.try_variant_get("v", "$." + path, kind)
+    return new.withColumn("v", F.parse_json("json")).select(
         "id",
         "valid",
         "changed",

@@ -135,7 +135,11 @@ def doc_migrate(raw: DataFrame) -> DataFrame:
 
 
 def doc_upgrade(raw: DataFrame) -> DataFrame:
-    """Whole stored documents ``raw[id, json]`` at the current version: ``[id, json, changed, valid]``.
+    """Whole stored documents ``raw[id, json, ...]`` at the current version.
+
+    Gives ``[id, json, changed, valid, captions, ...]``: ``captions`` are those of a valid document as
+    they were stored, further columns of ``raw`` stay with their row, so nobody has to join them
+    or to parse the document again.
 
     Documents are VARIANT values, so fields that no schema names (captions, words, settings and
     whatever else a client stored) survive.  A document that needs no change keeps its very
@@ -158,7 +162,6 @@ def doc_upgrade(raw: DataFrame) -> DataFrame:
         start, end = (F.try_variant_get(x, f"$.{t}Sec", "double") for t in ("start", "end"))
         return F.try_variant_get(x, "$.text", "string").isNotNull() & (end >= start)
 
-    captions = F.try_variant_get("v", "$.captions", "array<variant>")
     fresh = of("version").isNull() | (number("version") == 0)
     version = F.when(fresh, F.lit(float(DOCUMENT_VERSION))).otherwise(number("version"))
     ok = (
@@ -167,9 +170,10 @@ def doc_upgrade(raw: DataFrame) -> DataFrame:
         & text("meta.title").isNotNull() & text("meta.artist").isNotNull()
         & (number("meta.durationSec") >= 0) & (number("meta.fps") > 0)
         & text("meta.resolution").isin(RESOLUTIONS) & text("meta.aspectRatio").isin(ASPECT_RATIOS)
-        & (of("captions").isNull() | F.forall(captions, lambda x: F.coalesce(timed(x), F.lit(False))))
+        & (of("captions").isNull() | F.forall("__captions", lambda x: F.coalesce(timed(x), F.lit(False))))
     )
     d = raw.withColumn("v", F.try_parse_json("json"))
+    d = d.withColumn("__captions", F.try_variant_get("v", "$.captions", "array<variant>"))
     d = d.withColumns({"valid": F.coalesce(ok, F.lit(False)), "fresh": F.coalesce(fresh, F.lit(False))})
     fields = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k != "version")
     set_version = F.create_map(F.lit("version"), F.to_variant_object(F.array(F.lit(DOCUMENT_VERSION))))
@@ -196,15 +200,19 @@ def doc_upgrade(raw: DataFrame) -> DataFrame:
         F.when(~F.col("valid"), default).when(F.col("fresh"), upgraded).otherwise(F.col("json")).alias("json"),
         (~F.col("valid") | F.col("fresh")).alias("changed"),
         "valid",
+        F.when(F.col("valid"), F.col("__captions")).alias("captions"),
+        *[c for c in raw.columns if c not in ("id", "json")],
     )
 
 
 def doc_captions(docs: DataFrame) -> DataFrame:
     """Captions of whole documents ``docs[id, json]``: ``[id, idx, text, start_us, end_us, item]``.
 
-    ``item`` is the caption as it was stored; a document without captions gives no row.
+    ``item`` is the caption as it was stored; a document without captions gives no row.  Documents that
+    come from ``doc_upgrade`` bring their captions along and are not parsed again.
     """
-    items = F.try_variant_get(F.try_parse_json("json"), "$.captions", "array<variant>")
+    parsed = F.try_variant_get(F.try_parse_json("json"), "$.captions", "array<variant>")
+    items = F.col("captions") if "captions" in docs.columns else parsed
     return docs.select("id", F.posexplode(items).alias("idx", "item")).select(
         "id",
         F.col("idx").cast("bigint").alias("idx"),

@@ -17,3 +17,15 @@ def test_tokens_of_pairs_need_no_vocabulary_of_all_documents(spark, monkeypatch)
     monkeypatch.setattr(B, "_STAGED", {})
     assert B.heard_tokens(spark, SF_DIR).count() > 0 and B.sheet_tokens(spark, SF_DIR).count() > 0
     assert "vocabulary" not in {name for _, _, name in B._STAGED}
+
+
+def test_upgraded_documents_are_neither_joined_nor_parsed_again(spark):
+    from cadenza.catalog import stored
+    from cadenza.sources import tables
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(stored.upgraded_documents(spark, SF_DIR))
+    raw = spark.createDataFrame([("a", '{"id":"a"}', 7)], "id string, json string, note int")
+    upgraded = tables.doc_upgrade(raw)
+    assert [(r.note, r.valid, r.captions) for r in upgraded.collect()] == [(7, False, None)]
+    assert plan(tables.doc_words(tables.doc_captions(upgraded))).count("parseJson") == plan(upgraded.select("valid")).count("parseJson")
