@@ -118,8 +118,10 @@ def nearest_onset(words: DataFrame, onsets: DataFrame, window_us: int = ONSET_WI
     """Move word starts to the nearest onset within the window; the earlier one on a tie.
 
     ``words[track_id, n, start_us, end_us, confidence, line_start_us, line_end_us]``,
-    ``onsets[track_id, at_us]``.  The new start stays inside the line.
+    ``onsets[track_id, at_us]``.  The new start stays inside the line.  Further columns of ``words``
+    stay with their row.
     """
+    own = ["track_id", "n", "start_us", "end_us", "confidence", "line_start_us", "line_end_us"]
     near = nearest_neighbours(words, onsets.distinct(), TRACK, "start_us", ["n"], "at_us", CHUNK_US)
     start = F.col("start_us")
     left, right = start - F.col("prev.at"), F.col("next.at") - start
@@ -144,6 +146,7 @@ def nearest_onset(words: DataFrame, onsets: DataFrame, window_us: int = ONSET_WI
         F.when(snapped & (delta > seconds(0.02)), end).otherwise(F.col("end_us")).alias("end_us"),
         F.round(F.when(snapped, confidence).otherwise(F.col("confidence")), 6).alias("confidence"),
         snapped.alias("snapped"),
+        *[c for c in words.columns if c not in own],
     )
 
 
@@ -224,19 +227,22 @@ def anchor_warp(
         .agg(F.min_by(F.col("offset_us") - F.col("at"), "line_index").alias("fix"))
     )
 
-    def points(df: DataFrame, side: int, k: Column) -> DataFrame:
-        edge = F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("edge"), F.col("start_us").alias("t")),
-                F.struct(F.lit(1).alias("edge"), F.col("end_us").alias("t")),
-            )
-        )
-        return df.select("track_id", "idx", F.lit(side).alias("side"), k.cast("bigint").alias("k"), edge.alias("e")).select(
-            "track_id", "idx", "side", "k", "e.*"
-        )
+    return (
+        _warped(captions, hits, ["idx"], seconds(0.04)),
+        _warped(words, hits, ["idx", "k"], MIN_WORD_US),
+    )
+
 
-    every = points(captions, 0, F.lit(0)).unionByName(points(words, 1, F.col("k")))
-    near = nearest_neighbours(every, hits, TRACK, "t", ["idx", "side", "k", "edge"], "at", CHUNK_US, ["fix"])
+def _warped(rows: DataFrame, hits: DataFrame, ident: list[str], least: int) -> DataFrame:
+    """Rows ``[track_id, *ident, start_us, end_us]`` corrected by ``hits[track_id, at, fix]``."""
+    edge = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("edge"), F.col("start_us").alias("t")),
+            F.struct(F.lit(1).alias("edge"), F.col("end_us").alias("t")),
+        )
+    )
+    points = rows.select("track_id", *ident, edge.alias("e")).select("track_id", *ident, "e.*")
+    near = nearest_neighbours(points, hits, TRACK, "t", [*ident, "edge"], "at", CHUNK_US, ["fix"])
     a, b, t = F.col("prev"), F.col("next"), F.col("t")
     between = a["fix"] + F.call_function(
         "div", (b["fix"] - a["fix"]) * (t - a["at"]), F.greatest(F.lit(1).cast("bigint"), b["at"] - a["at"])
@@ -244,26 +250,19 @@ def anchor_warp(
     fix = F.coalesce(F.when(a.isNotNull() & b.isNotNull(), between), a["fix"], b["fix"])
     warped = near.select(
         "track_id",
-        "idx",
-        "side",
-        "k",
+        *ident,
         "edge",
         F.coalesce(F.greatest(F.lit(0), t + fix), t).alias("t"),
         fix.isNotNull().alias("fixed"),
     )
-    rows = warped.groupBy("track_id", "side", "idx", "k").agg(
+    both = warped.groupBy("track_id", *ident).agg(
         F.min(F.when(F.col("edge") == 0, F.col("t"))).alias("start_us"),
         F.min(F.when(F.col("edge") == 1, F.col("t"))).alias("end_us"),
         F.bool_or("fixed").alias("fixed"),
     )
-    least = F.when(F.col("side") == 0, seconds(0.04)).otherwise(MIN_WORD_US)
-    rows = rows.withColumn(
-        "end_us",
-        F.when(F.col("fixed"), F.greatest(F.col("start_us") + least, F.col("end_us"))).otherwise(F.col("end_us")),
-    )
-    return (
-        rows.filter("side = 0").select("track_id", "idx", "start_us", "end_us"),
-        rows.filter("side = 1").select("track_id", "idx", "k", "start_us", "end_us"),
+    kept = F.greatest(F.col("start_us") + least, F.col("end_us"))
+    return both.select(
+        "track_id", *ident, "start_us", F.when(F.col("fixed"), kept).otherwise(F.col("end_us")).alias("end_us")
     )
 
 

@@ -29,3 +29,10 @@ def test_upgraded_documents_are_neither_joined_nor_parsed_again(spark):
     upgraded = tables.doc_upgrade(raw)
     assert [(r.note, r.valid, r.captions) for r in upgraded.collect()] == [(7, False, None)]
     assert plan(tables.doc_words(tables.doc_captions(upgraded))).count("parseJson") == plan(upgraded.select("valid")).count("parseJson")
+
+
+def test_warped_captions_read_no_words(spark):
+    from cadenza.catalog import joins
+
+    plan = joins.warped(spark, SF_DIR)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
