@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import let, sung_words, syllables
+from cadenza.functions.text import first_part, let, sung_words, syllables, words_of
 from cadenza.functions.timecode import idiv, seconds
 from cadenza.plans.folds import chunked_fold
 from cadenza.plans.maps import ChunkMaps, map_base, maps_joined, sweep_maps
@@ -439,123 +439,99 @@ def caption_order(captions: DataFrame, width_us: int = CHUNK_US) -> DataFrame:
     )
 
 
-def line_distribute(lines: DataFrame, matches: DataFrame) -> DataFrame:
+def line_distribute(lines: DataFrame, matches: DataFrame, window: tuple[str, ...] = ()) -> DataFrame:
     """Place the words of each line inside its window.
 
     ``lines[track_id, idx, text, start_us, end_us]``; ``matches[track_id, idx, k,
     heard_start_us, heard_end_us]`` holds the transcript time of matched words.  A heard
     time within 0.2 s of the window is used (confidence 0.85); other words get a share of
     the window by weight, from a cursor behind the word before (0.45).  Then overlaps are
-    split and short words stretched.  The array folded is one caption's words.
+    split and short words stretched.  The array folded is one caption's words, which stay in
+    its row: only matches are grouped by caption.  Of several matches of a word the earliest counts.
+    ``window`` names two columns for the line's own start and end, if they are wanted.
     """
     weight = lambda w: F.greatest(
         F.lit(100),
         syllables(w) * 120 + F.least(F.lit(300), F.length(w) * 15),
     ).cast("bigint")
-    words = (
-        lines.withColumn("__words", sung_first(F.col("text")))
-        .select("track_id", "idx", "start_us", "end_us", F.posexplode("__words").alias("k", "w"))
-        .withColumn("k", F.col("k").cast("bigint"))
-        .withColumn("__weight", weight(F.col("w")["norm"]))
+    heard_times = F.struct("k", F.col("heard_start_us").alias("hs"), F.col("heard_end_us").alias("he"))
+    heard = matches.filter("k >= 0").groupBy("track_id", "idx").agg(F.sort_array(F.collect_list(heard_times)).alias("__all"))
+    first_of_k = lambda m, i: (i == 0) | (F.get("__all", i - 1)["k"] != m["k"])
+    heard = heard.select("track_id", "idx", F.filter("__all", first_of_k).alias("__heard"))
+    weighed = F.transform(
+        sung_first(F.col("text")),
+        lambda w, k: F.struct(
+            k.cast("bigint").alias("k"), w["raw"].alias("text"), weight(w["norm"]).alias("weight")
+        ),
     )
     packed = (
-        words.join(matches, ["track_id", "idx", "k"], "left")
-        .groupBy("track_id", "idx", "start_us", "end_us")
-        .agg(
-            F.sum("__weight").alias("__total"),
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "k",
-                        F.col("w")["raw"].alias("text"),
-                        F.col("__weight").alias("weight"),
-                        F.col("heard_start_us").alias("hs"),
-                        F.col("heard_end_us").alias("he"),
-                    )
-                )
-            ).alias("__items"),
-        )
+        lines.select("track_id", "idx", "start_us", "end_us", weighed.alias("__items"))
+        .join(heard, ["track_id", "idx"], "left")
+        .withColumn("__total", F.aggregate("__items.weight", F.lit(0).cast("bigint"), lambda a, w: a + w))
     )
     lo, hi, total = F.col("start_us"), F.col("end_us"), F.col("__total")
     span = F.greatest(F.lit(seconds(0.2)), hi - lo)
     near = seconds(0.2)
-    item = "struct<k:bigint,text:string,raw:bigint,start_us:bigint,end_us:bigint,confidence:double>"
-
-    def place(acc: Column, x: Column) -> Column:
-        """Place one word, then part it from the word before; ``let`` keeps terms single."""
-        near_window = (x["hs"] >= lo - near) & (x["he"] <= hi + near)
-
-        def with_start(heard: Column, start: Column) -> Column:
-            natural = F.greatest(F.lit(MIN_WORD_US), idiv(x["weight"] * span, total))
-            end = F.when(heard, F.least(hi, F.greatest(start + MIN_WORD_US, x["he"]))).otherwise(
-                F.least(hi, start + natural)
-            )
-            return let(end, lambda e: with_end(heard, start, e))
-
-        def with_end(heard: Column, start: Column, end: Column) -> Column:
-            parted = F.when(start < acc["prev_end"], idiv(acc["prev_end"] + start, 2)).otherwise(start)
-            return let(parted, lambda at: finished(heard, start, end, at))
-
-        def finished(heard: Column, start: Column, end: Column, at: Column) -> Column:
-            stretched = F.when(end - at < MIN_WORD_US, F.least(hi, at + MIN_WORD_US)).otherwise(end)
-            return let(stretched, lambda stop: grown(heard, start, end, at, stop))
-
-        def grown(heard: Column, start: Column, end: Column, at: Column, stop: Column) -> Column:
-            row = F.struct(
-                x["k"].alias("k"),
-                x["text"].alias("text"),
-                start.alias("raw"),
-                at.alias("start_us"),
-                stop.alias("end_us"),
-                F.when(heard, 0.85).otherwise(0.45).alias("confidence"),
-            )
-            return F.struct(
-                F.greatest(acc["cursor"] + seconds(0.04), end).alias("cursor"),
-                stop.alias("prev_end"),
-                F.concat(acc["out"], F.array(row)).alias("out"),
-            )
-
-        return let(
-            F.coalesce(near_window, F.lit(False)),
-            lambda heard: let(
-                F.when(heard, F.greatest(lo, x["hs"])).otherwise(acc["cursor"]),
-                lambda start: with_start(heard, start),
-            ),
+    item = "struct<raw:bigint,start_us:bigint,end_us:bigint,heard:boolean,cursor:bigint,next:int>"
+
+    def place(placed: Column, x: Column) -> Column:
+        """Add one word's row, made from the row before; ``let`` keeps terms single and holds no array."""
+        return F.concat(placed, F.array(let(F.get(placed, F.size(placed) - 1), lambda last: with_last(last, x))))
+
+    def with_last(last: Column, x: Column) -> Column:
+        following = F.coalesce(last["next"], F.lit(0))
+        return let(F.get("__heard", following), lambda m: with_match(last, x, following, m))
+
+    def with_match(last: Column, x: Column, following: Column, m: Column) -> Column:
+        matched = F.coalesce(m["k"] == x["k"], F.lit(False))
+        heard = matched & F.coalesce((m["hs"] >= lo - near) & (m["he"] <= hi + near), F.lit(False))
+        start = F.when(heard, F.greatest(lo, m["hs"])).otherwise(F.coalesce(last["cursor"], lo))
+        begun = F.struct(heard.alias("heard"), start.alias("start"), (following + matched.cast("int")).alias("next"))
+        return let(begun, lambda w: with_start(last, x, m, w))
+
+    def with_start(last: Column, x: Column, m: Column, w: Column) -> Column:
+        natural = F.greatest(F.lit(MIN_WORD_US), idiv(x["weight"] * span, total))
+        end = F.when(w["heard"], F.least(hi, F.greatest(w["start"] + MIN_WORD_US, m["he"]))).otherwise(
+            F.least(hi, w["start"] + natural)
         )
+        parted = F.when(w["start"] < last["end_us"], idiv(last["end_us"] + w["start"], 2)).otherwise(w["start"])
+        return let(F.struct(end.alias("end"), parted.alias("at")), lambda e: finished(last, w, e))
 
-    seed = F.struct(
-        lo.alias("cursor"),
-        F.lit(None).cast("bigint").alias("prev_end"),
-        F.array().cast(f"array<{item}>").alias("out"),
-    )
-    placed = packed.withColumn("__rows", F.aggregate("__items", seed, place, lambda acc: acc["out"]))
+    def finished(last: Column, w: Column, e: Column) -> Column:
+        stretched = F.when(e["end"] - e["at"] < MIN_WORD_US, F.least(hi, e["at"] + MIN_WORD_US)).otherwise(e["end"])
+        return F.struct(
+            w["start"].alias("raw"),
+            e["at"].alias("start_us"),
+            stretched.alias("end_us"),
+            w["heard"].alias("heard"),
+            F.greatest(F.coalesce(last["cursor"], lo) + seconds(0.04), e["end"]).alias("cursor"),
+            w["next"].alias("next"),
+        )
+
+    placed = packed.withColumn("__rows", F.aggregate("__items", F.array().cast(f"array<{item}>"), place))
 
     def cut(x: Column, i: Column) -> Column:
         after = F.get("__rows", i + 1)["raw"]
+        word = F.get("__items", i)
         end = F.when(after < x["end_us"], idiv(x["end_us"] + after, 2)).otherwise(x["end_us"])
         return F.struct(
-            x["k"].alias("k"),
-            x["text"].alias("text"),
+            word["k"].alias("k"),
+            word["text"].alias("text"),
             x["start_us"].alias("start_us"),
             end.alias("end_us"),
-            x["confidence"].alias("confidence"),
+            F.when(x["heard"], 0.85).otherwise(0.45).alias("confidence"),
         )
 
-    return placed.select("track_id", "idx", F.explode(F.transform("__rows", cut)).alias("r")).select(
-        "track_id", "idx", "r.*"
+    bounds = [c.alias(name) for c, name in zip((lo, hi), window)]
+    return placed.select("track_id", "idx", *bounds, F.explode(F.transform("__rows", cut)).alias("r")).select(
+        "track_id", "idx", "r.*", *window
     )
 
 
 def sung_first(text: Column) -> Column:
     """Words of a line with the first part of their normal form."""
-    from cadenza.functions.text import normalized, parts_of, words_of
-
     return F.transform(
-        words_of(text),
-        lambda w: F.struct(
-            w.alias("raw"),
-            F.coalesce(F.try_element_at(parts_of(normalized(w)), F.lit(1)), F.lower(w)).alias("norm"),
-        ),
+        words_of(text), lambda w: F.struct(w.alias("raw"), F.coalesce(first_part(w), F.lower(w)).alias("norm"))
     )
 
 
@@ -570,15 +546,9 @@ def line_realign(
     from cadenza.operators.scores import realign_confidence
     from cadenza.operators.signals import syllable_starts
 
-    placed = line_distribute(lines, matches).join(
-        lines.select(
-            "track_id", "idx", F.col("start_us").alias("line_start_us"), F.col("end_us").alias("line_end_us")
-        ),
-        ["track_id", "idx"],
-    )
+    placed = line_distribute(lines, matches, ("line_start_us", "line_end_us"))
     placed = stage(placed.withColumn("n", F.struct("idx", "k")), "placed-words")
-    snapped = stage(nearest_onset(placed, onsets), "snapped-words")
-    words = snapped.join(placed.select("track_id", "n", "idx", "k", "text"), ["track_id", "n"])
+    words = nearest_onset(placed, onsets)
     syllabic = words.select("track_id", "n", "start_us", "end_us", syllables(F.col("text")).alias("syllables"))
     starts = syllable_starts(syllabic, onsets).select("track_id", "n.idx", "n.k", "syllable", "start_us")
     scores = realign_confidence(

@@ -31,8 +31,36 @@ def test_upgraded_documents_are_neither_joined_nor_parsed_again(spark):
     assert plan(tables.doc_words(tables.doc_captions(upgraded))).count("parseJson") == plan(upgraded.select("valid")).count("parseJson")
 
 
+def test_words_of_a_line_stay_in_its_row(spark):
+    from cadenza.operators.tracks import line_distribute
+
+    lines = spark.createDataFrame(
+        [(1, 0, "don't stop", 0, 2_000_000), (1, 1, "", 0, 5), (1, 2, "go", 0, 900_000)],
+        "track_id bigint, idx bigint, text string, start_us bigint, end_us bigint",
+    )
+    matches = spark.createDataFrame(
+        [(1, 0, 1, 1_200_000, 1_500_000), (1, 0, 1, 1_300_000, 1_600_000), (1, 0, 9, 0, 1), (1, 2, -1, 0, 1)],
+        "track_id bigint, idx bigint, k bigint, heard_start_us bigint, heard_end_us bigint",
+    )
+    placed = line_distribute(lines, matches)
+    got = sorted((r.idx, r.k, r.text, r.start_us, r.confidence) for r in placed.collect())
+    assert got == [(0, 0, "don't", 0, 0.45), (0, 1, "stop", 1_200_000, 0.85), (2, 0, "go", 0, 0.45)]
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
 def test_warped_captions_read_no_words(spark):
     from cadenza.catalog import joins
 
     plan = joins.warped(spark, SF_DIR)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_realigned_words_are_not_joined_with_themselves(spark):
+    from cadenza.catalog import tracks
+
+    words, _, scores = tracks.realigned(spark, SF_DIR)
+    for df in (words, scores):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "snapped-words" not in plan and "[track_id" in plan
+    # one join of the ordered scan, of its rows with its chunks
+    assert words._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
