@@ -1107,25 +1107,27 @@ def block_matches(blocks: DataFrame) -> DataFrame:
     ).select("pair_id", (F.col("i0") + F.col("o")).alias("i"), (F.col("j0") + F.col("o")).alias("j"))
 
 
-def _open_stretches(rows: DataFrame, position: str, starts: DataFrame, taken: DataFrame) -> DataFrame:
-    """Unmatched tokens with the number of the gap they lie in (blocks begun before them)."""
-    marks = starts.select("pair_id", F.col("at").alias(position), F.lit(1).alias("begins"))
-    counted = rows.join(marks, ["pair_id", position], "left").withColumn(
-        "gap",
-        F.sum(F.coalesce("begins", F.lit(0))).over(Window.partitionBy("pair_id").orderBy(position)),
-    )
-    return counted.join(taken, ["pair_id", position], "left_anti").select(
-        "pair_id", "gap", position, "norm", "phonetic"
+def _placed(rows: DataFrame, position: str, blocks: DataFrame) -> DataFrame:
+    """Tokens with the number of the gap they lie in (blocks begun before them), and their block if they are matched.
+
+    Block starts go through one window with the tokens: blocks never overlap, so that the last
+    one begun is a token's own or has ended.  Matched tokens are not listed and nothing is joined, so
+    that no table of them, small as its blocks are on disk, can be broadcast.
+    """
+    marks = blocks.filter("pair_id is not null").select(
+        "pair_id", F.col(f"{position}0").alias(position), F.struct("i0", "j0", "len").alias("begun")
     )
+    past = Window.partitionBy("pair_id").orderBy(position)
+    last = F.last("begun", ignorenulls=True).over(past)
+    tokens_and_marks = rows.select("pair_id", position, "norm", "phonetic").unionByName(marks, allowMissingColumns=True)
+    placed = tokens_and_marks.withColumns({"gap": F.count("begun").over(past), "block": last}).filter("begun is null")
+    own = F.col(position) < F.col(f"block.{position}0") + F.col("block.len")
+    return placed.select("pair_id", "gap", position, "norm", "phonetic", F.when(own, F.col("block")).alias("block"))
 
 
 def _stretches(ref: DataFrame, hyp: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tokens of both sides outside the blocks, with the stretch they lie in."""
-    matched = block_matches(blocks)
-    return tuple(
-        _open_stretches(rows, p, blocks.select("pair_id", F.col(f"{p}0").alias("at")), matched.select("pair_id", p))
-        for rows, p in ((ref, "i"), (hyp, "j"))
-    )
+    return tuple(_placed(rows, p, blocks).filter("block is null").drop("block") for rows, p in ((ref, "i"), (hyp, "j")))
 
 
 def align_chain(ref: DataFrame, hyp: DataFrame, k: int = SEED) -> DataFrame:
@@ -1142,9 +1144,13 @@ def align_chain(ref: DataFrame, hyp: DataFrame, k: int = SEED) -> DataFrame:
     for shorter in range(k, 1, -1):
         found = align_blocks(*_stretches(ref, hyp, blocks), shorter, ("pair_id", "gap"))
         blocks = stage(blocks.unionByName(found), "blocks")
-    matched = block_matches(blocks)
-    sure = matched.join(ref.select("pair_id", "i", "norm"), ["pair_id", "i"]).select(
-        "pair_id", F.lit("match").alias("op"), "i", "j", exact_score(F.col("norm")).alias("score")
+    matched = _placed(ref, "i", blocks).filter("block is not null")
+    sure = matched.select(
+        "pair_id",
+        F.lit("match").alias("op"),
+        "i",
+        (F.col("block.j0") + F.col("i") - F.col("block.i0")).alias("j"),
+        exact_score(F.col("norm")).alias("score"),
     )
     r, h = _stretches(ref, hyp, blocks)
     between = _align_groups(r, h, ["pair_id", "gap"]).select("pair_id", "op", "i", "j", "score")
