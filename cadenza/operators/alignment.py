@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from cadenza.functions.text import words_of
 from cadenza.operators.text import token_forms
+from cadenza.plans.skew import grown
 from cadenza.session import configure, stage
 
 # the Arrow function travels with the job, so executors need no copy of this package
@@ -138,7 +139,7 @@ def normalize_tokens(
     transcript side the first.  Tokens that make up at least a ten-thousandth of the table's
     text, at most ten thousand of them, are broadcast; the shuffle then has no hot word left.
     """
-    new = rows.select("raw").distinct().join(vocabulary.select("raw").distinct(), ["raw"], "left_anti")
+    new = rows.select("raw").distinct().join(grown(vocabulary.select("raw").distinct()), ["raw"], "left_anti")
     # read by both branches below, and dear to make
     new = stage(token_forms(new.withColumn("freq", F.lit(0).cast("bigint"))), "new-forms")
     wanted = ["raw", "freq", *dict.fromkeys(("part", *columns))]
@@ -150,7 +151,7 @@ def normalize_tokens(
     frequent = F.broadcast(parts.filter("common").drop("common"))
     rare = parts.filter("not common").drop("common")
     rest = rows.join(F.broadcast(frequent.select("raw").distinct()), ["raw"], "left_anti")
-    return rows.join(frequent, ["raw"]).unionByName(rest.join(rare, ["raw"]))
+    return rows.join(frequent, ["raw"]).unionByName(rest.join(grown(rare), ["raw"]))
 
 
 def asr_coverage(pairs: DataFrame, ref: DataFrame, hyp: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:

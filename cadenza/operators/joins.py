@@ -13,7 +13,7 @@ from cadenza.functions.text import let, sung_words
 from cadenza.functions.timecode import clamp, idiv, seconds
 from cadenza.plans.ordered import by_rows, nearest_neighbours, scan
 from cadenza.plans.ranges import points_in_intervals
-from cadenza.plans.skew import join_small
+from cadenza.plans.skew import grown, join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -33,7 +33,7 @@ def match_times(path: DataFrame, heard: DataFrame) -> DataFrame:
 
     ``path[pair_id, i, j, score]`` (matches only), ``heard[pair_id, j, start_us, end_us]``.
     """
-    return path.join(heard, ["pair_id", "j"]).select(
+    return path.join(grown(heard), ["pair_id", "j"]).select(
         "pair_id",
         "i",
         "j",
@@ -56,7 +56,7 @@ def segment_interval_join(captions: DataFrame, words: DataFrame, segments: DataF
         F.min_by("start_us", "k").alias("first_us"),
         F.max_by("end_us", "k").alias("last_us"),
     )
-    sung = captions.filter(~F.col("instrumental")).select(*on).join(centre, on)
+    sung = captions.filter(~F.col("instrumental")).select(*on).join(grown(centre), on)
     sung = stage(sung, "caption-centres")
     seg = segments.select(
         "track_id", F.col("k").alias("seg_k"), F.col("start_us").alias("seg_lo"), F.col("end_us").alias("seg_hi")
@@ -72,11 +72,11 @@ def segment_interval_join(captions: DataFrame, words: DataFrame, segments: DataF
     nearest = F.when(before.isNull() | (after < before), F.col("next")).otherwise(F.col("prev"))
     placed = near.select(
         *on, "first_us", "last_us", nearest["at"].alias("near_lo"), nearest["seg_hi"].alias("near_hi")
-    ).join(inside, on, "left")
+    ).join(grown(inside), on, "left")
     first = seg.groupBy("track_id").agg(F.min("seg_lo").alias("first_seg"))
     lo = F.coalesce("inside.seg_lo", "near_lo")
     hi = F.coalesce("inside.seg_hi", "near_hi")
-    joined = join_small(captions.join(placed, on, "left"), first, TRACK, ["idx"], "left")
+    joined = join_small(captions.join(grown(placed), on, "left"), first, TRACK, ["idx"], "left")
     start = F.greatest(F.lit(0), F.least(F.col("first_us") - seconds(0.08), lo))
     quiet = F.greatest(F.col("first_seg") - seconds(0.35), F.col("start_us"))
     has_words = F.col("first_us").isNotNull()
@@ -198,7 +198,7 @@ def anchor_remap(anchors: DataFrame, lines: DataFrame) -> DataFrame:
         lines.select("track_id", "idx", "instrumental"), TRACK, ["idx"], by_rows("idx"), sum_before={"ordinal": sung}
     ).filter(~F.col("instrumental"))
     return anchors.join(
-        ordinals.select("track_id", F.col("idx").alias("line_index"), "ordinal"), ["track_id", "line_index"]
+        grown(ordinals.select("track_id", F.col("idx").alias("line_index"), "ordinal")), ["track_id", "line_index"]
     ).drop("line_index").withColumnRenamed("ordinal", "line_index")
 
 
@@ -222,7 +222,7 @@ def anchor_warp(
         "track_id", F.col(ordinal).alias("line_index"), F.col("start_us").alias("at")
     )
     hits = (
-        hits.join(lines, ["track_id", "line_index"])
+        hits.join(grown(lines), ["track_id", "line_index"])
         .groupBy("track_id", "at")
         .agg(F.min_by(F.col("offset_us") - F.col("at"), "line_index").alias("fix"))
     )

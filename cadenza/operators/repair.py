@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.timecode import clamp, idiv, seconds
 from cadenza.plans.ordered import by_rows, scan
 from cadenza.plans.ranges import points_in_intervals
-from cadenza.plans.skew import join_small
+from cadenza.plans.skew import grown, join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -203,7 +203,7 @@ def transcript_sanitize(
     muted = points_in_intervals(
         plausible.select("track_id", "j", mid.alias("__mid")), "__mid", quiet, "__lo", "__hi", TRACK, seconds(30)
     ).select("track_id", "j").distinct()
-    spoken = stage(plausible.join(muted, ["track_id", "j"], "left_anti"), "spoken")
+    spoken = stage(plausible.join(grown(muted), ["track_id", "j"], "left_anti"), "spoken")
     linked = scan(
         spoken, TRACK, ["j"], by_rows("j"), lag={"__prev": F.struct(F.lower("word").alias("w"), "start_us")}
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.timecode import clamp
+from cadenza.plans.skew import grown
 
 LINE = ["track_id", "line_index"]
 
@@ -16,7 +17,7 @@ def line_confidence(lines: DataFrame, words: DataFrame) -> DataFrame:
         F.avg(F.col("matched").cast("double")).alias("m"), F.avg("confidence").alias("c")
     )
     value = F.when(F.col("m").isNull(), 0.2).otherwise(clamp(0.55 * F.col("m") + 0.45 * F.col("c"), 0.0, 1.0))
-    return lines.join(scored, LINE, "left").select(*LINE, F.round(value, 6).alias("confidence"))
+    return lines.join(grown(scored), LINE, "left").select(*LINE, F.round(value, 6).alias("confidence"))
 
 
 def line_score(captions: DataFrame, words: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def line_score(captions: DataFrame, words: DataFrame, anchors: DataFrame) -> Dat
         F.when(F.col("instrumental"), 1.0).when(F.col("dense").isNull(), 0.2).otherwise(clamp(score, 0.0, 1.0))
     )
     return (
-        captions.join(w, LINE, "left").join(a, LINE, "left").select(*LINE, F.round(value, 6).alias("score"))
+        captions.join(grown(w), LINE, "left").join(grown(a), LINE, "left").select(*LINE, F.round(value, 6).alias("score"))
     )
 
 

@@ -26,7 +26,7 @@ from cadenza.operators.tracks import (
     overlap_trim,
 )
 from cadenza.plans.ordered import by_rows, dense_index
-from cadenza.plans.skew import join_small
+from cadenza.plans.skew import grown, join_small
 from cadenza.session import stage
 
 TRACK = ["track_id"]
@@ -82,15 +82,15 @@ def run_sync(
     ).withColumnRenamed("pair_id", "track_id")
     matches = stage(matches, "matches")
     accepted = monotone_reject(matches.select("track_id", "i", "start_us")).filter("accepted")
-    timed = matches.join(accepted.select("track_id", "i"), ["track_id", "i"], "left_semi")
+    timed = matches.join(grown(accepted.select("track_id", "i")), ["track_id", "i"], "left_semi")
     tokens = owners.select("track_id", "i", F.col("syllables").alias("weight")).join(
-        timed.select("track_id", "i", "start_us", "end_us", "confidence"), ["track_id", "i"], "left"
+        grown(timed.select("track_id", "i", "start_us", "end_us", "confidence")), ["track_id", "i"], "left"
     )
     filled = stage(gap_interpolate(tokens.fillna(0.0, ["confidence"]), durations), "filled")
     swept = monotone_sweep(filled.select("track_id", "i", "start_us", "end_us"))
     words = stage(
-        owners.join(swept, ["track_id", "i"])
-        .join(filled.select("track_id", "i", "confidence", "matched"), ["track_id", "i"])
+        owners.join(grown(swept), ["track_id", "i"])
+        .join(grown(filled.select("track_id", "i", "confidence", "matched")), ["track_id", "i"])
         .select(
             "track_id",
             "line_index",
@@ -106,14 +106,14 @@ def run_sync(
     merged = stage(fragment_merge(words).withColumnRenamed("word_no", "k"), "merged-words")
     captions = _captions(lines, words, merged, durations)
     with_index = merged.join(
-        captions.filter(~F.col("instrumental")).select("track_id", "line_index", "idx"), ["track_id", "line_index"]
+        grown(captions.filter(~F.col("instrumental")).select("track_id", "line_index", "idx")), ["track_id", "line_index"]
     ).select("track_id", "idx", "k", "text", "start_us", "end_us", "confidence")
     with_index = stage(with_index, "caption-words")
 
     widened = segment_interval_join(
         captions.select("track_id", "idx", "start_us", "end_us", "instrumental"), with_index, segments
     )
-    ordinals = captions.select("track_id", "idx", "ordinal")
+    ordinals = grown(captions.select("track_id", "idx", "ordinal"))
     located = anchor_remap(anchors, lines.select("track_id", "idx", "instrumental"))
     cap_times, word_times = anchor_warp(
         stage(widened.join(ordinals, ["track_id", "idx"]), "widened"), with_index, located, ordinal="ordinal"
@@ -129,9 +129,9 @@ def run_sync(
     )
     final = (
         captions.drop("start_us", "end_us", "confidence")
-        .join(cap_times, ["track_id", "idx"])
+        .join(grown(cap_times), ["track_id", "idx"])
         .join(
-            scores.select("track_id", F.col("line_index").alias("ordinal"), "score"), ["track_id", "ordinal"], "left"
+            grown(scores.select("track_id", F.col("line_index").alias("ordinal"), "score")), ["track_id", "ordinal"], "left"
         )
         .select(
             "track_id",
@@ -143,7 +143,7 @@ def run_sync(
             F.coalesce("score", F.lit(1.0)).alias("confidence"),
         )
     )
-    timed_words = word_times.join(with_index.drop("start_us", "end_us"), ["track_id", "idx", "k"])
+    timed_words = word_times.join(grown(with_index.drop("start_us", "end_us")), ["track_id", "idx", "k"])
     return Synced(final, timed_words, sync_summary(captions, dropped))
 
 
@@ -155,8 +155,8 @@ def _captions(lines: DataFrame, words: DataFrame, merged: DataFrame, durations:
     )
     confidence = line_confidence(sung.select("track_id", "line_index"), words)
     sung = (
-        sung.join(windows, ["track_id", "line_index"], "left")
-        .join(confidence, ["track_id", "line_index"])
+        sung.join(grown(windows), ["track_id", "line_index"], "left")
+        .join(grown(confidence), ["track_id", "line_index"])
     )
     sung = (
         join_small(sung, durations, TRACK, ["line_index"])

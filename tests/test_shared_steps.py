@@ -64,3 +64,49 @@ def test_realigned_words_are_not_joined_with_themselves(spark):
         assert "snapped-words" not in plan and "[track_id" in plan
     # one join of the ordered scan, of its rows with its chunks
     assert words._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_what_grows_in_the_sync_is_not_broadcast(spark, monkeypatch):
+    """Tables of words, lines and tokens are small files at first; only their rows tell how large they are."""
+    import re
+
+    from cadenza.operators.alignment import normalize_tokens
+    from cadenza.operators.joins import match_times
+    from cadenza.operators.text import raw_tokens, token_dim
+    from cadenza.plans import sync
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    grows = lambda df: re.findall(r"BroadcastHashJoin \[(?:\w+#\d+L?, )*(?:i|j|k|idx|line_index|raw)#.*", plan(df))
+    staged = {}
+    monkeypatch.setattr(sync, "stage", lambda df, label, own=sync.stage: staged.setdefault(label, []).append(df) or own(df, label))
+    verse = "seven lanterns swing above our harbour"
+    lines = spark.createDataFrame(
+        [(t, k, verse, False) for t in (1, 2) for k in range(3)], "track_id bigint, idx bigint, text string, instrumental boolean"
+    )
+    heard = spark.createDataFrame(
+        [(t, j, w, j * 400_000, j * 400_000 + 300_000) for t in (1, 2) for j, w in enumerate((verse + " hey").split() * 3)],
+        "track_id bigint, j bigint, word string, start_us bigint, end_us bigint",
+    )
+    segments = spark.createDataFrame(
+        [(t, 0, 0, 9_000_000, 0.1) for t in (1, 2)],
+        "track_id bigint, k bigint, start_us bigint, end_us bigint, no_speech_prob double",
+    )
+    durations = spark.createDataFrame([(1, 10_000_000), (2, 10_000_000)], "track_id bigint, duration_us bigint")
+    anchors = spark.createDataFrame(
+        [(1, 0, 0, 0.5, 0)], "track_id bigint, line_index bigint, offset_us bigint, confidence double, anchor_id bigint"
+    )
+    vocabulary = sync.stage(token_dim(raw_tokens(lines.select("text"))), "vocabulary")
+    # as if read from files, which are small for their rows
+    tables = [sync.stage(t, "given") for t in (lines, heard, segments, durations)]
+    result = sync.run_sync(*tables, vocabulary, sync.stage(anchors, "given"))
+    assert result.captions.filter("not instrumental").count() == 6
+    assert result.words.select("track_id", "idx", "k").distinct().count() == result.words.count() == 36
+    found = {f"{label} {n}": grows(df) for label, dfs in staged.items() for n, df in enumerate(dfs)}
+    words = tables[1].withColumnRenamed("word", "raw")
+    path = sync.stage(spark.range(9).selectExpr("1L AS pair_id", "id AS i", "id AS j", "1D AS score"), "path")
+    found["times"] = grows(match_times(path, tables[1].withColumnRenamed("track_id", "pair_id")))
+    found["words"] = grows(result.words)
+    # the frequent words, at most ten thousand, are meant to be
+    assert len([j for j in grows(normalize_tokens(words, vocabulary, True)) if "LeftAnti" not in j]) == 1
+    steps = {"matches", "filled", "timed-tokens", "caption-words", "lines", "times", "words"}
+    assert not {name: joins for name, joins in found.items() if joins and name.split()[0] in steps}
